@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postmatch.functions.arrays import fold
+
 
 def bounded_percentage(value: Column) -> Column:
     """Clamp to 0..100 and round to two digits, ties to even; null and NaN give 0.
@@ -22,18 +24,15 @@ def percentage(part: Column, whole: Column) -> Column:
 
 def dot(a: Column, b: Column) -> Column:
     """Dot product of two arrays, summed in double from left to right."""
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+    products = F.call_function(
+        "zip_with", a, b, F.expr("(x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)")
+    )
+    return fold(products, "0D", "(total, x) -> total + x")
 
 
 def norm(vector: Column) -> Column:
-    return F.sqrt(
-        F.aggregate(
-            vector,
-            F.lit(0.0),
-            lambda total, x: total + x.cast("double") * x.cast("double"),
-        )
-    )
+    squares = "(total, x) -> total + CAST(x AS DOUBLE) * CAST(x AS DOUBLE)"
+    return F.sqrt(fold(vector, "0D", squares))
 
 
 def cosine_percentage(a: Column, b: Column, norm_a: Column | None = None,

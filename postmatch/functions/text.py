@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postmatch import fixed
+from postmatch.functions.arrays import bind, in_list, keep, strings
 
 # Whitespace as Unicode defines it, plus the four ASCII separators.
 _SPACE = r"[\s\x1c-\x1f]"
@@ -37,7 +38,7 @@ def tokens(text: Column) -> Column:
 
 def content_tokens(words: Column, stop_words: Sequence[str]) -> Column:
     """Keep tokens longer than two characters that are not stop words."""
-    return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(list(stop_words)))
+    return keep(words, f"w -> length(w) > 2 AND w NOT IN ({in_list(stop_words)})")
 
 
 def flag(text: Column, default: bool = False) -> Column:
@@ -51,9 +52,7 @@ def comma_list(items: Column) -> Column:
 
 def contained_terms(text: Column, terms: Sequence[str]) -> Column:
     """The given terms that occur anywhere in the text, in the given order."""
-    if not terms:
-        return F.array().cast("array<string>")
-    return F.filter(F.array(*map(F.lit, terms)), lambda term: F.contains(text, term))
+    return bind("b", f"filter({strings(terms)}, term -> contains(b.text, term))", text=text)
 
 
 def escape_html(text: Column) -> Column:

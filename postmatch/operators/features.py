@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postmatch import fixed
+from postmatch.functions.arrays import bind
 from postmatch.functions.numbers import bounded_percentage, percentage
 from postmatch.functions.text import contained_terms, content_tokens, tokens
 from postmatch.options import MatchOptions
@@ -13,7 +14,7 @@ from postmatch.options import MatchOptions
 
 def found_in(text: Column, terms: Column) -> Column:
     """The elements of an array column that are substrings of the text."""
-    return F.filter(terms, lambda term: F.contains(text, term))
+    return bind("b", "filter(b.terms, t -> contains(b.text, t))", terms=terms, text=text)
 
 
 def title_tokens(title: Column, options: MatchOptions) -> Column:
@@ -28,7 +29,7 @@ def title_match(profile_text: Column, title_words: Column) -> Column:
 def max_years(text: Column) -> Column:
     """Greatest number of years named in normalised text, or null."""
     found = F.regexp_extract_all(text, F.lit(fixed.YEARS_PATTERN), F.lit(1))
-    return F.array_max(F.transform(found, lambda years: years.cast("double")))
+    return F.array_max(found.cast("array<double>"))
 
 
 def experience_match(required: Column, profile_years: Column) -> Column:

@@ -1,122 +1,106 @@
 """Weighted keywords of one posting, computed inside its own row.
 
 A posting's tokens never leave the row: they are sorted, counted by the gaps
-between run starts, and ranked in place. There is no explode, no
-grouping and no exchange, so the cost grows with the text alone and no key can
-become hot.
+between the starts of equal runs, and ranked as packed integers. There is no
+explode, no grouping and no exchange, so the cost grows with the text alone and no
+key can become hot.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postmatch.functions.arrays import bind, each, fold
 from postmatch.functions.numbers import percentage
-from postmatch.options import MatchOptions
 
 SKILL_BOOST = 2
-NOT_A_TOKEN = 2_147_483_647
-
+AFTER_TOKENS = 1 << 30
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it many times inside ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
 
+def _runs(words: Column) -> Column:
+    """``first position << 31 | count`` of every distinct token, in token order.
 
-def term_counts(words: Column) -> Column:
-    """``array<struct<token, n, first_pos>>`` of a token array, sorted by token."""
-
-    def runs(ordered: Column) -> Column:
-        starts = F.filter(
-            F.sequence(F.lit(0), F.size(ordered)),
-            lambda i: (i < F.size(ordered))
-            & (
-                (i == 0)
-                | (F.get(ordered, i - 1)["token"] != F.get(ordered, i)["token"])
-            ),
-        )
-        return _bind(
-            starts,
-            lambda at: F.transform(
-                at,
-                lambda start, j: F.struct(
-                    F.get(ordered, start)["token"].alias("token"),
-                    (F.coalesce(F.get(at, j + 1), F.size(ordered)) - start)
-                    .cast("long")
-                    .alias("n"),
-                    F.get(ordered, start)["pos"].alias("first_pos"),
-                ),
-            ),
-        )
-
-    placed = F.transform(words, lambda w, i: F.struct(w.alias("token"), i.alias("pos")))
-    return _bind(F.sort_array(placed), runs)
-
-
-def boosted_counts(counts: Column, skills: Column) -> Column:
-    """Raise the weight of skills; skills that are not tokens join with the boost alone.
-
-    A posting without tokens has no keywords at all.
+    Sorting tokens with their positions puts the first position of each token at
+    the start of its run; the next start gives the run's length.
     """
-    raised = F.transform(
-        counts,
-        lambda c: F.struct(
-            c["token"].alias("token"),
-            (c["n"] + F.when(F.array_contains(skills, c["token"]), SKILL_BOOST).otherwise(0))
-            .alias("weight"),
-            c["first_pos"].alias("first_pos"),
-        ),
+    ordered = F.sort_array(each(words, "(w, i) -> struct(w, i AS at)"))
+    starts = bind(
+        "b",
+        """struct(b.s, filter(sequence(0, size(b.s)), i -> i < size(b.s) AND
+            (i = 0 OR get(b.s, i).w != get(b.s, i - 1).w)) AS start)""",
+        s=ordered,
     )
-    plain = F.transform(counts, lambda c: c["token"])
-    added = F.transform(
-        F.array_except(skills, plain),
-        lambda skill: F.struct(
-            skill.alias("token"),
-            F.lit(SKILL_BOOST).cast("long").alias("weight"),
-            F.lit(NOT_A_TOKEN).alias("first_pos"),
-        ),
+    return bind(
+        "b",
+        """transform(b.r.start, (at, j) ->
+            shiftleft(CAST(get(b.r.s, at).at AS BIGINT), 31)
+            + coalesce(get(b.r.start, j + 1), size(b.r.s)) - at)""",
+        r=starts,
     )
-    return F.when(F.size(counts) > 0, F.concat(raised, added)).otherwise(raised)
-
-
-def top_keywords(weighted: Column, options: MatchOptions) -> Column:
-    """The heaviest keywords: weight down, then first position, then token."""
-    order = F.sort_array(
-        F.transform(
-            weighted,
-            lambda k: F.struct(
-                (-k["weight"]).alias("down"),
-                k["first_pos"].alias("first_pos"),
-                k["token"].alias("token"),
-            ),
-        )
-    )
-    return F.transform(
-        F.slice(order, 1, options.top_keywords),
-        lambda k, i: F.struct(
-            k["token"].alias("token"),
-            (-k["down"]).alias("weight"),
-            (i + 1).cast("int").alias("rank"),
-        ),
+
+
+def term_counts(words: Column) -> Column:
+    """``array<struct<token, n, first_pos>>`` of a token array, by token."""
+    return bind(
+        "b",
+        """transform(b.runs, r -> struct(
+            get(b.words, CAST(shiftright(r, 31) AS INT)) AS token,
+            r & 2147483647L AS n, CAST(shiftright(r, 31) AS INT) AS first_pos))""",
+        runs=_runs(words),
+        words=words,
     )
 
 
-def weighted_keywords(words: Column, skills: Column, options: MatchOptions) -> Column:
-    """``array<struct<token, weight, rank>>`` from content tokens and skills."""
-    return _bind(
-        term_counts(words),
-        lambda counts: top_keywords(boosted_counts(counts, skills), options),
+def weighted_keywords(words: Column, skills: Column, top: int | None = None) -> Column:
+    """``array<struct<token, weight, rank>>``: count plus a boost for skills.
+
+    Heaviest first, equal weights in order of first appearance. Skills that are
+    not tokens carry the boost alone and come after the tokens of that weight, by
+    name. A posting without tokens has no keywords at all. ``top`` keeps the first
+    so many.
+    """
+    terms = bind(
+        "b",
+        """struct(b.words, b.skills, b.runs, IF(size(b.runs) = 0, array(),
+            filter(b.skills, s -> NOT array_contains(b.words, s))) AS added)""",
+        words=words,
+        skills=skills,
+        runs=_runs(words),
+    )
+    keys = bind(
+        "b",
+        f"""struct(b.t.words, b.t.added, sort_array(concat(
+            transform(b.t.runs, r -> shiftright(r, 31) - shiftleft((r & 2147483647L)
+                + IF(array_contains(b.t.skills, get(b.t.words, CAST(shiftright(r, 31) AS INT))),
+                     {SKILL_BOOST}L, 0L), 31)),
+            transform(b.t.added, (s, i) -> {AFTER_TOKENS}L + i - shiftleft({SKILL_BOOST}L, 31))
+            )) AS keys)""",
+        t=terms,
+    )
+    best = "b.k.keys" if top is None else f"slice(b.k.keys, 1, {int(top)})"
+    return bind(
+        "b",
+        f"""transform({best}, (key, i) -> struct(
+            IF((key & 2147483647L) < {AFTER_TOKENS},
+               get(b.k.words, CAST(key & 2147483647L AS INT)),
+               get(b.k.added, CAST((key & 2147483647L) - {AFTER_TOKENS} AS INT))) AS token,
+            -shiftright(key, 31) AS weight, i + 1 AS rank))""",
+        k=keys,
     )
 
 
 def total_weight(keywords: Column) -> Column:
-    return F.aggregate(keywords, F.lit(0).cast("long"), lambda total, k: total + k["weight"])
+    return fold(keywords, "0L", "(total, k) -> total + k.weight")
 
 
 def keyword_match(profile_text: Column, keywords: Column, total: Column | None = None) -> Column:
     """Weight of the keywords the profile contains, as a share of all their weight."""
     total = total_weight(keywords) if total is None else total
-    found = F.filter(keywords, lambda k: F.contains(profile_text, k["token"]))
+    found = bind(
+        "b",
+        "filter(b.keywords, k -> contains(b.text, k.token))",
+        keywords=keywords,
+        text=profile_text,
+    )
     return percentage(total_weight(found), total)

@@ -42,7 +42,9 @@ def posting_features(postings: DataFrame, options: MatchOptions, encoder) -> Dat
     )
     weighed = found.withColumn(
         "_keywords",
-        keywords.weighted_keywords(F.col("_words"), F.col("_skills"), options),
+        keywords.weighted_keywords(
+            F.col("_words"), F.col("_skills"), options.top_keywords
+        ),
     ).withColumn("_weight", keywords.total_weight(F.col("_keywords")))
     coded = encoder.encode(weighed, "_text", "_words", "_vector")
     return coded.withColumn("_norm", norm(F.col("_vector")))

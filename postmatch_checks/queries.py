@@ -324,12 +324,11 @@ def term_freq(spark, sf_dir):
 
 @query
 def boosted_terms(spark, sf_dir):
-    base = _features(spark, sf_dir).withColumn(
-        "_counts", keywords.term_counts(F.col("_words"))
-    )
-    terms = keywords.boosted_counts(F.col("_counts"), F.col("_skills"))
+    """Every weighted keyword, before the cut."""
+    terms = keywords.weighted_keywords(F.col("_words"), F.col("_skills"))
     return (
-        base.select("posting_id", F.explode_outer(terms).alias("term"))
+        _features(spark, sf_dir)
+        .select("posting_id", F.explode_outer(terms).alias("term"))
         .where(F.col("term").isNotNull())
         .select("posting_id", "term.token", "term.weight")
     )
