@@ -19,8 +19,8 @@ def strings(values) -> str:
 
 
 def in_list(values) -> str:
-    """SQL value list for ``IN``."""
-    return ", ".join(_literal(value) for value in values) or "NULL"
+    """SQL value list for ``IN``; an empty list matches only the empty string."""
+    return ", ".join(_literal(value) for value in values) or "''"
 
 
 def _literal(value: str) -> str:
