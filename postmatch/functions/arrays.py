@@ -14,16 +14,17 @@ from pyspark.sql import functions as F
 
 def strings(values) -> str:
     """SQL array literal of strings."""
-    quoted = ", ".join(_literal(value) for value in values)
-    return f"CAST(array({quoted}) AS array<string>)"
+    items = ", ".join(quoted(value) for value in values)
+    return f"CAST(array({items}) AS array<string>)"
 
 
 def in_list(values) -> str:
     """SQL value list for ``IN``; an empty list matches only the empty string."""
-    return ", ".join(_literal(value) for value in values) or "''"
+    return ", ".join(quoted(value) for value in values) or "''"
 
 
-def _literal(value: str) -> str:
+def quoted(value: str) -> str:
+    """SQL string literal."""
     escaped = value.replace("\\", "\\\\").replace("'", "\\'")
     return f"'{escaped}'"
 

@@ -62,21 +62,31 @@ def weighted_keywords(words: Column, skills: Column, top: int | None = None) ->
     """
     terms = bind(
         "b",
-        """struct(b.words, b.skills, b.runs, IF(size(b.runs) = 0, array(),
-            filter(b.skills, s -> NOT array_contains(b.words, s))) AS added)""",
+        """struct(b.words, b.runs,
+            transform(b.skills, s -> array_position(b.words, s) - 1) AS boosted,
+            IF(size(b.runs) = 0, array(),
+               filter(b.skills, s -> NOT array_contains(b.words, s))) AS added)""",
         words=words,
         skills=skills,
         runs=_runs(words),
     )
+    # Tokens seen once and not boosted weigh 1. They matter only where fewer than
+    # ``top`` keywords weigh more, so most texts rank a fraction of their tokens.
+    heavy = """filter(b.t.runs, r -> (r & 2147483647L) > 1
+        OR array_contains(b.t.boosted, shiftright(r, 31)))"""
+    ranked = "b.t.runs" if top is None else (
+        f"get(transform(array({heavy}), h -> "
+        f"IF(size(h) + size(b.t.added) < {int(top)}, b.t.runs, h)), 0)"
+    )
+    pool = bind("b", f"struct(b.t, {ranked} AS runs)", t=terms)
     keys = bind(
         "b",
-        f"""struct(b.t.words, b.t.added, sort_array(concat(
-            transform(b.t.runs, r -> shiftright(r, 31) - shiftleft((r & 2147483647L)
-                + IF(array_contains(b.t.skills, get(b.t.words, CAST(shiftright(r, 31) AS INT))),
-                     {SKILL_BOOST}L, 0L), 31)),
-            transform(b.t.added, (s, i) -> {AFTER_TOKENS}L + i - shiftleft({SKILL_BOOST}L, 31))
+        f"""struct(b.p.t.words, b.p.t.added, sort_array(concat(
+            transform(b.p.runs, r -> shiftright(r, 31) - shiftleft((r & 2147483647L)
+                + IF(array_contains(b.p.t.boosted, shiftright(r, 31)), {SKILL_BOOST}L, 0L), 31)),
+            transform(b.p.t.added, (s, i) -> {AFTER_TOKENS}L + i - shiftleft({SKILL_BOOST}L, 31))
             )) AS keys)""",
-        t=terms,
+        p=pool,
     )
     best = "b.k.keys" if top is None else f"slice(b.k.keys, 1, {int(top)})"
     return bind(

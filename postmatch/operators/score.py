@@ -21,7 +21,7 @@ SCORE_COLUMNS = (
     "recommendation",
 )
 _POSTING_FEATURES = (
-    "_text", "_words", "_skills", "_keywords", "_weight", "_title_words", "_years",
+    "_text", "_has_text", "_words", "_skills", "_keywords", "_weight", "_title_words", "_years",
     "_education", "_vector", "_norm",
 )
 
@@ -31,6 +31,7 @@ def posting_features(postings: DataFrame, options: MatchOptions, encoder) -> Dat
     read = postings.withColumn("_text", normalise(F.col("job_description")))
     found = read.withColumns(
         {
+            "_has_text": F.col("_text") != "",
             "_words": content_tokens(tokens(F.col("_text")), options.stop_list()),
             "_skills": skills.skills_in(F.col("_text"), options),
             "_title_words": features.title_tokens(
@@ -91,7 +92,7 @@ def recommendation(score: Column, missing: Column) -> Column:
 def score_pairs(pairs: DataFrame, options: MatchOptions) -> DataFrame:
     """Add the score columns to rows that hold posting features and a profile."""
     profile = F.col("profile")
-    has_text = F.col("_text") != ""
+    has_text = F.col("_has_text")
     nothing = F.array().cast("array<string>")
 
     def part(value: Column) -> Column:
@@ -102,7 +103,7 @@ def score_pairs(pairs: DataFrame, options: MatchOptions) -> DataFrame:
             "profile_id": profile["profile_id"],
             "semantic_match": part(
                 semantic_match(
-                    profile["text"], F.col("_text"), profile["vector"], F.col("_vector"),
+                    profile["text"] != "", profile["vector"], F.col("_vector"),
                     profile["norm"], F.col("_norm"),
                 )
             ),

@@ -79,10 +79,9 @@ class ModelEncoder:
         return df.withColumn(out, vectors(F.col(text)))
 
 
-def semantic_match(profile_text: Column, posting_text: Column, profile_vector: Column,
-                   posting_vector: Column, profile_norm: Column | None = None,
+def semantic_match(both_have_text: Column, profile_vector: Column, posting_vector: Column,
+                   profile_norm: Column | None = None,
                    posting_norm: Column | None = None) -> Column:
     """Cosine percentage of two texts' vectors; an empty text gives 0."""
-    return F.when((profile_text == "") | (posting_text == ""), 0.0).otherwise(
-        cosine_percentage(profile_vector, posting_vector, profile_norm, posting_norm)
-    )
+    cosine = cosine_percentage(profile_vector, posting_vector, profile_norm, posting_norm)
+    return F.when(both_have_text, cosine).otherwise(0.0)

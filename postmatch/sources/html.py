@@ -12,6 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postmatch.functions.arrays import bind, each, keep, quoted
 from postmatch.functions.text import squeeze, strip
 
 NAMED_ENTITIES = {
@@ -22,7 +23,7 @@ NAMED_ENTITIES = {
 }
 
 _MARK = "\x01"
-_UNSEEN = r"(?s)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>"
+_UNSEEN = r"(?s)<(?:script\b.*?</script>|style\b.*?</style>|!--.*?-->|[^>]*>)"
 _ANCHOR = r"(?s)<a\b[^>]*>"
 _HREF = r"""\shref\s*=\s*(?:"([^"]*)"|'([^']*)')"""
 _CARD_ID = r"""\sdata-job-id\s*=\s*(?:"([^"]*)"|'([^']*)')"""
@@ -36,25 +37,17 @@ def element(tag: str, css_class: str | None = None) -> str:
 
 def decode_entities(text: Column, named: Mapping[str, str] = NAMED_ENTITIES) -> Column:
     """Numeric and the given named references; ``&amp;`` last, so nothing decodes twice."""
-    for pattern, radix in ((r"&#(\d{1,7});", 10), (r"&#[xX]([0-9a-fA-F]{1,6});", 16)):
-        codes = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
-        opening = "&#" if radix == 10 else "&#x"
-
-        def character(code: Column, radix: int = radix) -> Column:
-            number = F.lpad(F.conv(code, radix, 16), 8, "0")
-            return F.decode(F.unhex(number), "UTF-32")
-
-        prepared = text if radix == 10 else F.replace(text, F.lit("&#X"), F.lit("&#x"))
-        text = F.aggregate(
-            codes,
-            prepared,
-            lambda done, code: F.replace(
-                done, F.concat(F.lit(opening), code, F.lit(";")), character(code)
-            ),
-        )
-    for reference, plain in named.items():
-        text = F.replace(text, F.lit(reference), F.lit(plain))
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+    decoded = "b.text"
+    for opening, digits, radix in (("&#", r"(\\d{1,7})", 10), ("&#x", "([0-9a-fA-F]{1,6})", 16)):
+        character = f"decode(unhex(lpad(conv(code, {radix}, 16), 8, '0')), 'UTF-32')"
+        decoded = f"""aggregate(
+            array_distinct(regexp_extract_all(b.text, '{opening}{digits};', 1)), {decoded},
+            (done, code) -> replace(done, concat('{opening}', code, ';'), {character}))"""
+    decoded = f"IF(contains(b.text, '&#'), {decoded}, b.text)"
+    for reference, plain in [*named.items(), ("&amp;", "&")]:
+        decoded = f"replace({decoded}, {quoted(reference)}, {quoted(plain)})"
+    plain_case = F.regexp_replace(text, "&#X", "&#x")
+    return bind("b", f"IF(contains(b.text, '&'), {decoded}, b.text)", text=plain_case)
 
 
 def markup_text(markup: Column) -> Column:
@@ -87,17 +80,22 @@ def _attribute(tag: Column, pattern: str) -> Column:
 def href(card: Column, marker: str = "/jobs/view/",
          css_class: str = "base-card__full-link") -> Column:
     """Raw link of a card: by marker in the address, else by class, else any."""
-    anchors = F.filter(
-        F.regexp_extract_all(F.coalesce(card, F.lit("")), F.lit(_ANCHOR), F.lit(0)),
-        lambda a: F.regexp_like(a, F.lit(_HREF)),
+    tags = F.regexp_extract_all(F.coalesce(card, F.lit("")), F.lit(_ANCHOR), F.lit(0))
+    address = f"concat(regexp_extract(a, {quoted(_HREF)}, 1), regexp_extract(a, {quoted(_HREF)}, 2))"
+    with_class = quoted(f"""\\sclass\\s*=\\s*["'][^"']*\\b{css_class}\\b""")
+    anchors = each(
+        keep(tags, f"a -> regexp_like(a, {quoted(_HREF)})"),
+        f"a -> struct({address} AS href, regexp_like(a, {with_class}) AS listed)",
     )
-    with_class = f"""\\sclass\\s*=\\s*["'][^"']*\\b{css_class}\\b"""
-    pick = F.coalesce(
-        F.get(F.filter(anchors, lambda a: F.contains(_attribute(a, _HREF), F.lit(marker))), F.lit(0)),
-        F.get(F.filter(anchors, lambda a: F.regexp_like(a, F.lit(with_class))), F.lit(0)),
-        F.get(anchors, F.lit(0)),
+    pick = bind(
+        "b",
+        f"""coalesce(
+            get(filter(b.anchors, a -> contains(a.href, {quoted(marker)})), 0),
+            get(filter(b.anchors, a -> a.listed), 0),
+            get(b.anchors, 0)).href""",
+        anchors=anchors,
     )
-    return F.coalesce(strip(F.replace(_attribute(pick, _HREF), F.lit("&amp;"), F.lit("&"))), F.lit(""))
+    return F.coalesce(strip(F.replace(pick, F.lit("&amp;"), F.lit("&"))), F.lit(""))
 
 
 def _plain_ascii(address: Column) -> Column:
@@ -105,12 +103,9 @@ def _plain_ascii(address: Column) -> Column:
     pieces = F.regexp_extract_all(
         address, F.lit(r"[^\x21-\x7e]+|[\x21-\x7e]+"), F.lit(0)
     )
-    encoded = F.transform(
+    encoded = each(
         pieces,
-        lambda p: F.when(
-            F.regexp_like(p, F.lit(r"[^\x21-\x7e]")),
-            F.replace(F.url_encode(p), F.lit("+"), F.lit("%20")),
-        ).otherwise(p),
+        r"p -> IF(regexp_like(p, '[^\\x21-\\x7e]'), replace(url_encode(p), '+', '%20'), p)",
     )
     return F.array_join(encoded, "")
 

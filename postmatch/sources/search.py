@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postmatch.functions.text import normalise
+from postmatch.functions.arrays import bind, quoted
 from postmatch.operators.skew import top_per_group
 from postmatch.sources import html
 
@@ -34,12 +34,19 @@ def matches_search(title: Column, description: Column, location: Column, *,
 
     An empty keyword or place does not filter.
     """
-    body = F.concat_ws(" ", normalise(title), normalise(description))
     condition = F.lit(True)
-    for word in keyword.lower().split():
-        condition = condition & F.contains(body, F.lit(word))
     if place:
-        condition = condition & (F.lower(location) == place.lower())
+        condition = F.lower(location) == place.lower()
+    words = keyword.lower().split()
+    if words:
+        each_word = " AND ".join(
+            f"(contains(b.title, {quoted(w)}) OR contains(b.text, {quoted(w)}))" for w in words
+        )
+        lowered = {
+            "title": F.lower(F.coalesce(title, F.lit(""))),
+            "text": F.lower(F.coalesce(description, F.lit(""))),
+        }
+        condition = condition & bind("b", each_word, **lowered)
     return condition
 
 

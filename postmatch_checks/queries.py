@@ -23,7 +23,8 @@ from postmatch.options import MatchOptions
 from postmatch.plans.batch import run_match
 from postmatch.sinks import report, tables as sink
 from postmatch.sources import descriptions, html, payloads, search
-from postmatch.sources.postings import read_postings
+from postmatch.sources.pages import read_pages
+from postmatch.sources.postings import read_postings, spread
 from postmatch.sources.profiles import assemble
 from postmatch.streaming.incremental import score_new_files, scored_so_far
 from postmatch_checks import tables
@@ -92,7 +93,7 @@ def profile_text(spark, sf_dir):
 
 @query
 def html_text(spark, sf_dir):
-    return tables.table(spark, sf_dir, "pages").select(
+    return read_pages(spark, f"{sf_dir}/pages.parquet").select(
         "page_id", html.container_text(F.col("html"), html.element("article")).alias("body")
     )
 
@@ -159,7 +160,7 @@ def total_cards(spark, sf_dir):
 
 
 def _cards(spark, sf_dir):
-    pages = tables.derive(spark, sf_dir, tables.CARD_PAGES)
+    pages = spread(tables.derive(spark, sf_dir, tables.CARD_PAGES), "page_id")
     return search.card_rows(
         search.page_cards(pages, _options().card_cap, carry=["page_id"])
     )

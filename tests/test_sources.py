@@ -142,9 +142,9 @@ def test_search_url(one):
 
 
 def test_matches_search(one):
-    def match(title, text, place, **wanted):
+    def match(title, text, where, **wanted):
         wanted = {"keyword": "", "place": ""} | wanted
-        return one(search.matches_search(F.col("t"), F.col("d"), F.col("p"), **wanted), t=title, d=text, p=place)
+        return one(search.matches_search(F.col("t"), F.col("d"), F.col("p"), **wanted), t=title, d=text, p=where)
 
     assert match("QA", None, "Here", keyword="qa", place="HERE") is True
     assert match("QA", "engineer", "Here", keyword="Engineer QA") is True
