@@ -48,6 +48,14 @@ NO_POSTINGS = "No jobs were available for scoring."
 TRUE_FLAGS = ("1", "true", "yes", "y", "on")
 BLOCKED_STATUSES = (403, 429)
 
+# --- fixed values: marks of result cards, links and blocked pages ------------
+LINK_MARKER = "/jobs/view/"
+LINK_CLASS = "base-card__full-link"
+ID_ATTRIBUTE = "data-job-id"
+ID_IN_LINK = r"jobs/view/(\d+)"
+DESCRIPTION_CLASS = "show-more-less-html__markup"
+BLOCKED_MARKER = "authwall"
+
 # --- fixed values: headers of the posting and score tables -------------------
 POSTING_HEADERS = {
     "position": "Serial Number",

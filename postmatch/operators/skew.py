@@ -15,7 +15,8 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, *, how: str, spread
     Keys with more than ``hot_rows`` left rows are found by a count that combines
     before its shuffle. There are at most ``rows / hot_rows`` of them, which
     bounds what is broadcast. Their left rows spread over ``salts`` buckets and
-    only their right rows are repeated; all other rows keep bucket 0.
+    only their right rows are repeated; all other rows keep bucket 0. The count reads
+    ``left`` once more, for its key alone: pass a written table when it is costly.
     """
     hot = (
         left.groupBy(key)

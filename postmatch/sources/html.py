@@ -12,6 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postmatch import fixed
 from postmatch.functions.arrays import bind, each, keep, quoted
 from postmatch.functions.text import squeeze, strip
 
@@ -26,13 +27,21 @@ _MARK = "\x01"
 _UNSEEN = r"(?s)<(?:script\b.*?</script>|style\b.*?</style>|!--.*?-->|[^>]*>)"
 _ANCHOR = r"(?s)<a\b[^>]*>"
 _HREF = r"""\shref\s*=\s*(?:"([^"]*)"|'([^']*)')"""
-_CARD_ID = r"""\sdata-job-id\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+_CARD_ID = rf"""\s{fixed.ID_ATTRIBUTE}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+
+
+def _has_class(name: str) -> str:
+    """Pattern of a class attribute that lists this class among others."""
+    return rf"""\sclass\s*=\s*["'](?:[^"'>]*\s)?{name}(?:\s[^"'>]*)?["']"""
 
 
 def element(tag: str, css_class: str | None = None) -> str:
     """Pattern for the content of the first element with this tag (and class)."""
-    extra = f"""[^>]*\\bclass\\s*=\\s*["'][^"'>]*\\b{css_class}\\b""" if css_class else ""
-    return f"(?s)<{tag}\\b{extra}[^>]*>(.*?)</{tag}>"
+    extra = f"[^>]*{_has_class(css_class)}" if css_class else ""
+    return rf"(?s)<{tag}\b{extra}[^>]*>(.*?)</{tag}>"
+
+
+DESCRIPTION = element("div", fixed.DESCRIPTION_CLASS)
 
 
 def decode_entities(text: Column, named: Mapping[str, str] = NAMED_ENTITIES) -> Column:
@@ -56,7 +65,7 @@ def markup_text(markup: Column) -> Column:
     return strip(decode_entities(F.regexp_replace(marked, f"{_MARK}+", " ")))
 
 
-def container_text(html: Column, container: str) -> Column:
+def container_text(html: Column, container: str = DESCRIPTION) -> Column:
     """Text of the first container; no container gives the empty string."""
     return markup_text(F.coalesce(F.regexp_extract(html, container, 1), F.lit("")))
 
@@ -77,12 +86,12 @@ def _attribute(tag: Column, pattern: str) -> Column:
     return F.when(F.regexp_like(tag, F.lit(pattern)), found)
 
 
-def href(card: Column, marker: str = "/jobs/view/",
-         css_class: str = "base-card__full-link") -> Column:
+def href(card: Column, marker: str = fixed.LINK_MARKER,
+         css_class: str = fixed.LINK_CLASS) -> Column:
     """Raw link of a card: by marker in the address, else by class, else any."""
     tags = F.regexp_extract_all(F.coalesce(card, F.lit("")), F.lit(_ANCHOR), F.lit(0))
     address = f"concat(regexp_extract(a, {quoted(_HREF)}, 1), regexp_extract(a, {quoted(_HREF)}, 2))"
-    with_class = quoted(f"""\\sclass\\s*=\\s*["'][^"']*\\b{css_class}\\b""")
+    with_class = quoted(_has_class(css_class))
     anchors = each(
         keep(tags, f"a -> regexp_like(a, {quoted(_HREF)})"),
         f"a -> struct({address} AS href, regexp_like(a, {with_class}) AS listed)",
@@ -135,13 +144,13 @@ def absolute(link: Column, page_url: Column) -> Column:
     return _plain_ascii(resolved)
 
 
-def card_link(card: Column, page_url: Column, marker: str = "/jobs/view/",
-              css_class: str = "base-card__full-link") -> Column:
+def card_link(card: Column, page_url: Column, marker: str = fixed.LINK_MARKER,
+              css_class: str = fixed.LINK_CLASS) -> Column:
     """Absolute link of a card, or the empty string."""
     return absolute(href(card, marker, css_class), page_url)
 
 
-def card_id(card: Column, link: Column, pattern: str = r"jobs/view/(\d+)") -> Column:
+def card_id(card: Column, link: Column, pattern: str = fixed.ID_IN_LINK) -> Column:
     """Posting id: the card's own or a nested id attribute, else digits of its link.
 
     The first tag carrying the attribute is the card itself whenever it has one.

@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postmatch import fixed
 from postmatch.functions.arrays import bind, quoted
 from postmatch.operators.skew import top_per_group
 from postmatch.sources import html
@@ -74,8 +75,8 @@ def page_cards(pages: DataFrame, cap: int = 100, *, url: str = "url",
     )
 
 
-def card_rows(cards: DataFrame, marker: str = "/jobs/view/",
-              id_pattern: str = r"jobs/view/(\d+)", url: str = "url") -> DataFrame:
+def card_rows(cards: DataFrame, marker: str = fixed.LINK_MARKER,
+              id_pattern: str = fixed.ID_IN_LINK, url: str = "url") -> DataFrame:
     """Add the card's title text, link and posting id."""
     linked = cards.withColumns(
         {
@@ -105,18 +106,18 @@ def first_rows_per_search(df: DataFrame, cap: int, search: str, order: str) -> D
     )
 
 
-def blocked(url: Column, marker: str = "authwall") -> Column:
+def blocked(url: Column, marker: str = fixed.BLOCKED_MARKER) -> Column:
     return F.contains(url, F.lit(marker))
 
 
-def split_blocked(pages: DataFrame, marker: str = "authwall",
+def split_blocked(pages: DataFrame, marker: str = fixed.BLOCKED_MARKER,
                   url: str = "url") -> tuple[DataFrame, DataFrame]:
     """Pages to use, and pages whose landing address shows a block."""
     is_blocked = F.coalesce(blocked(F.col(url), marker), F.lit(False))
     return pages.where(~is_blocked), pages.where(is_blocked)
 
 
-def fail_if_blocked(pages: DataFrame, marker: str = "authwall", url: str = "url") -> DataFrame:
+def fail_if_blocked(pages: DataFrame, marker: str = fixed.BLOCKED_MARKER, url: str = "url") -> DataFrame:
     """Stop the run at the first blocked page."""
     checked = F.when(blocked(F.col(url), marker), F.raise_error(F.lit("search was blocked")))
     return pages.withColumn(url, checked.otherwise(F.col(url)))

@@ -236,6 +236,11 @@ def _steps() -> dict[str, str]:
             "CASE WHEN raw = '' THEN '' ELSE origin || replace(raw, '&amp;', '&') END, '[^\\x21-\\x7e]+|[\\x21-\\x7e]+'), "
             "lambda s: CASE WHEN regexp_matches(s, '[^\\x21-\\x7e]') THEN url_encode(s) ELSE s END), '') AS job_link FROM card2"
         ),
+        "card_id": (
+            "SELECT *, coalesce(nullif(regexp_extract(card, '\\sdata-job-id=\"([^\"]*)\"', 1), ''), "
+            f"regexp_extract(job_link, 'jobs/view/(\\d+)', 1)) AS job_id, {_squeeze(_markup('card'))} AS job_title FROM card"
+        ),
+        "fetched_page": tables.over_views(tables.FETCHED_FOR_PAGES),
         "with_id": tables.over_views(tables.CARDS_WITH_IDS),
         "attempt": tables.over_views(tables.FETCHED),
         "payload_row": tables.over_views(tables.PAYLOADS),
@@ -304,12 +309,9 @@ def _finals() -> dict[str, str]:
         "first_100": "SELECT page_id, url, (row_number() OVER (ORDER BY page_id))::INT AS serial_number FROM (SELECT page_id, url FROM pages ORDER BY page_id LIMIT 100)",
         "first_per_search": capped,
         "total_cards": r"SELECT page_id, len(regexp_extract_all(html, '(?s)<li\b[^>]*>.*?</li>'))::INT AS total_cards FROM pages",
-        "card_text": f"SELECT page_id, position, total_cards, {_squeeze(_markup('card'))} AS job_title FROM card",
+        "card_text": "SELECT page_id, position, total_cards, job_title FROM card_id",
         "page_link": "SELECT page_id, position, job_link FROM card",
-        "page_id": (
-            "SELECT page_id, position, coalesce(nullif(regexp_extract(card, '\\sdata-job-id=\"([^\"]*)\"', 1), ''), "
-            "regexp_extract(job_link, 'jobs/view/(\\d+)', 1)) AS job_id FROM card"
-        ),
+        "page_id": "SELECT page_id, position, job_id FROM card_id",
         "source_fallback": (
             "SELECT posting_id, description_source, md5(CASE description_source WHEN 'page' THEN page_text "
             f"WHEN 'json' THEN json_text WHEN 'ui' THEN ui_text ELSE '' END) AS text_md5 FROM ({chosen})"
@@ -378,6 +380,16 @@ def _finals() -> dict[str, str]:
         "scored_sink": f"SELECT {_ALL} FROM one",
         "safe_path": "SELECT posting_id, job_title, TRUE AS moved FROM posting",
         "batch_run": f"SELECT {_ALL} FROM best",
+        "pages_to_postings": (
+            "SELECT page_id, position, job_title, job_link, job_id, "
+            "CASE description_source WHEN 'page' THEN page_text WHEN 'json' THEN json_text WHEN 'ui' THEN job_title ELSE '' END AS job_description, "
+            "description_source FROM (SELECT c.*, g.text AS page_text, j.text AS json_text, CASE "
+            "WHEN c.job_id <> '' AND coalesce(g.status, 200) NOT IN (403, 429) AND coalesce(g.text, '') <> '' THEN 'page' "
+            "WHEN c.job_id <> '' AND coalesce(g.status, 200) NOT IN (403, 429) AND coalesce(j.text, '') <> '' THEN 'json' "
+            "WHEN c.job_title <> '' THEN 'ui' ELSE 'none' END AS description_source FROM card_id c "
+            "LEFT JOIN (SELECT * FROM fetched_page WHERE source = 'page') g USING (job_id) "
+            "LEFT JOIN (SELECT * FROM fetched_page WHERE source = 'json') j USING (job_id) WHERE NOT contains(c.url, 'spam-farm'))"
+        ),
         "incremental": f"SELECT {_ALL} FROM one",
     }
 

@@ -21,6 +21,7 @@ from postmatch.operators.score import (
 from postmatch.operators.semantic import HashingEncoder, StoredVectors
 from postmatch.options import MatchOptions
 from postmatch.plans.batch import run_match
+from postmatch.plans.ingest import postings_from_pages
 from postmatch.sinks import report, tables as sink
 from postmatch.sources import descriptions, html, payloads, search
 from postmatch.sources.pages import read_pages
@@ -586,6 +587,17 @@ def batch_run(spark, sf_dir):
     return _flat(top)
 
 
+@query
+def pages_to_postings(spark, sf_dir):
+    """Result pages to postings: blocked pages out, cards, ids, links, descriptions."""
+    found = postings_from_pages(
+        spread(tables.derive(spark, sf_dir, tables.CARD_PAGES), "page_id"),
+        tables.derive(spark, sf_dir, tables.FETCHED_FOR_PAGES),
+        blocked_marker="spam-farm",
+    )
+    return found.drop("posting_id")
+
+
 @query
 def incremental(spark, sf_dir):
     """Postings that land as several files, scored file by file."""

@@ -84,6 +84,17 @@ SELECT 'j' || CAST(doc_id AS STRING), 'json',
 FROM {documents}
 """
 
+FETCHED_FOR_PAGES = """
+SELECT CAST(500000 + page_id AS STRING) AS job_id, 'page' AS source,
+ CASE WHEN page_id % 3 = 0 THEN 429 ELSE 200 END AS status,
+ CASE WHEN page_id % 3 = 1 THEN 'from page of ' || url END AS text
+FROM {pages}
+UNION ALL
+SELECT CAST(500000 + page_id AS STRING), 'json', 200, 'from json of ' || url FROM {pages}
+UNION ALL
+SELECT CAST(600000 + page_id AS STRING), 'json', 200, 'from json of ' || url FROM {pages}
+"""
+
 PAYLOADS = """
 SELECT event_id,
  CASE WHEN event_type = 'error' THEN '{"error": "HTTP ' || CASE WHEN value < 10 THEN '429' ELSE '500' END || '"}'

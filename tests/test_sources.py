@@ -82,7 +82,10 @@ def test_markup_text(one, markup, expected):
 def test_container_by_class_and_absence(one):
     page = '<div class="x">no</div><div id="q" class="a text__markup b"><p>yes</p></div>'
     assert one(html.container_text(F.col("x"), html.element("div", "text__markup")), x=page) == "yes"
+    assert one(html.container_text(F.col("x"), html.element("div", "markup")), x=page) == ""
     assert one(html.container_text(F.col("x"), html.element("article")), x=page) == ""
+    known = '<div class="show-more-less-html__markup clamp">a<br>b</div>'
+    assert one(html.container_text(F.col("x")), x=known) == "a b"
     assert one(html.container_text(F.col("x"), html.element("article")), x=None) == ""
 
 
