@@ -131,16 +131,15 @@ def test_stored_vectors(spark):
     assert [r.semantic_match for r in scored.orderBy("posting_id").collect()] == [96.0, 0.0, 0.0]
 
 
-def load_toy_model():
-    def encode(texts):
-        if any("bad" in text for text in texts):
-            raise ValueError("cannot encode")
-        return [[float(len(text)), 1.0] for text in texts]
-
-    return encode
+def test_model_encoder_gives_zero_where_the_model_refuses(spark):
+    def load_toy_model():
+        def encode(texts):
+            if any("bad" in text for text in texts):
+                raise ValueError("cannot encode")
+            return [[float(len(text)), 1.0] for text in texts]
 
+        return encode
 
-def test_model_encoder_gives_zero_where_the_model_refuses(spark):
     postings = posting(spark, ("", "good"), ("", "bad text"), ("", "fine words"))
     scored = score_postings(postings, profile(spark, "good"), encoder=ModelEncoder(load_toy_model))
     by_id = {r.posting_id: r.semantic_match for r in scored.collect()}
