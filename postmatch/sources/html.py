@@ -119,11 +119,29 @@ def _plain_ascii(address: Column) -> Column:
     return F.array_join(encoded, "")
 
 
-def absolute(link: Column, page_url: Column) -> Column:
-    """Resolve a link against the page it stands on, as a browser would.
+def _without_dots(address: Column) -> Column:
+    """Take ``.`` and ``..`` steps out of an address's path."""
+    parts = bind(
+        "b",
+        r"""struct(regexp_extract(b.a, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) AS origin,
+            split(regexp_extract(b.a, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([^?#]*)', 1), '/') AS steps,
+            regexp_extract(b.a, '^[^?#]*(.*)$', 1) AS rest)""",
+        a=address,
+    )
+    walked = bind(
+        "b",
+        """concat(b.p.origin, array_join(aggregate(b.p.steps, array(''), (done, s) -> CASE
+                WHEN s = '..' THEN slice(done, 1, greatest(size(done) - 1, 1))
+                WHEN s = '.' THEN done ELSE concat(done, array(s)) END), '/'),
+            IF(element_at(b.p.steps, -1) IN ('.', '..'), '/', ''), b.p.rest)""",
+        p=parts,
+    )
+    has_dots = F.regexp_like(address, F.lit(r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^?#]*/\.\.?(?:[/?#]|$)"))
+    return F.when(has_dots, walked).otherwise(address)
 
-    Dot segments are left alone.
-    """
+
+def absolute(link: Column, page_url: Column) -> Column:
+    """Resolve a link against the page it stands on, as a browser would."""
     scheme = F.regexp_extract(page_url, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)
     origin = F.regexp_extract(page_url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
     bare = F.regexp_extract(page_url, r"^([^?#]*)", 1)
@@ -141,7 +159,7 @@ def absolute(link: Column, page_url: Column) -> Column:
         )
         .otherwise(F.concat(folder, link))
     )
-    return _plain_ascii(resolved)
+    return _plain_ascii(_without_dots(resolved))
 
 
 def card_link(card: Column, page_url: Column, marker: str = fixed.LINK_MARKER,

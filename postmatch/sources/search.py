@@ -78,12 +78,12 @@ def page_cards(pages: DataFrame, cap: int = 100, *, url: str = "url",
 def card_rows(cards: DataFrame, marker: str = fixed.LINK_MARKER,
               id_pattern: str = fixed.ID_IN_LINK, url: str = "url") -> DataFrame:
     """Add the card's title text, link and posting id."""
-    linked = cards.withColumns(
+    linked = cards.withColumn("_href", html.href(F.col("card"), marker)).withColumns(
         {
             "job_title": html.card_text(F.col("card")),
-            "job_link": html.card_link(F.col("card"), F.col(url), marker),
+            "job_link": html.absolute(F.col("_href"), F.col(url)),
         }
-    )
+    ).drop("_href")
     return linked.withColumn(
         "job_id", html.card_id(F.col("card"), F.col("job_link"), id_pattern)
     )

@@ -96,6 +96,9 @@ def test_container_by_class_and_absence(one):
         ("<li><a href='/x'>1</a><a class='base-card__full-link z' href='y'>2</a></li>", "https://h.example/p/y"),
         ('<li><a name="n">0</a><a href=" //o.example/z ">1</a></li>', "https://o.example/z"),
         ('<li><a href="?q=1">1</a></li>', "https://h.example/p/q?q=1"),
+        ('<li><a href="../x/./y/../z?u=/../">1</a></li>', "https://h.example/x/z?u=/../"),
+        ('<li><a href="/a/b/..">1</a></li>', "https://h.example/a/"),
+        ('<li><a href="/../../a">1</a></li>', "https://h.example/a"),
         ('<li><a href="#f">1</a></li>', "https://h.example/p/q?w=1#f"),
         ('<li><a href="mailto:a@b">1</a></li>', "mailto:a@b"),
         ('<li><a href="/für dich">1</a></li>', "https://h.example/f%C3%BCr%20dich"),
