@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmatch.llm import pieces, pii, quality
+from postmatch.llm import decontaminate, pieces, pii, quality
 
 #: The file of the merge-type model, found by the tokenizer package where it is installed.
 PIECES = "piece_bpe_32k.model"
@@ -32,10 +32,17 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("key")
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_pii": op2_pii,
     "op6_quality": op6_quality,
+    "op9_decontamination": op9_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_decontamination": decontaminate.ORACLE}
