@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmatch.llm import decontaminate, pieces, pii, quality
+from postmatch.llm import decontaminate, pieces, pii, quality, simhash
 
 #: The file of the merge-type model, found by the tokenizer package where it is installed.
 PIECES = "piece_bpe_32k.model"
@@ -28,6 +28,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_pii": op2_pii,
+    "op3_simhash": op3_simhash,
     "op6_quality": op6_quality,
     "op9_decontamination": op9_decontamination,
 }
