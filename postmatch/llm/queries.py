@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmatch.llm import decontaminate, pieces, pii, quality, simhash
+from postmatch.llm import decontaminate, pieces, pii, quality, simhash, substrings
 
 #: The file of the merge-type model, found by the tokenizer package where it is installed.
 PIECES = "piece_bpe_32k.model"
@@ -36,6 +36,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_leaks(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -47,6 +51,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_simhash": op3_simhash,
     "op6_quality": op6_quality,
+    "op8_substrings": op8_substrings,
     "op9_decontamination": op9_decontamination,
 }
 
