@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmatch.llm import decontaminate, pieces, pii, quality, shards, simhash, substrings
+from postmatch.llm import decontaminate, pages, pieces, pii, quality, shards, simhash, substrings
 
 #: The file of the merge-type model, found by the tokenizer package where it is installed.
 PIECES = "piece_bpe_32k.model"
@@ -32,6 +32,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_rows(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_pii": op2_pii,
     "op3_simhash": op3_simhash,
+    "op4_main_text": op4_main_text,
     "op5_shards": op5_shards,
     "op6_quality": op6_quality,
     "op8_substrings": op8_substrings,
