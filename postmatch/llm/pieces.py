@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 
 import ahocorasick
@@ -234,22 +235,31 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
                        "doc_id bigint, ids array<int>, decoded string")
 
 
-def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
-    """As ``encode_documents``, but with counts and digests in place of ids and texts."""
+def encode_digests(docs: DataFrame, model_path: str, with_ids: bool = False) -> DataFrame:
+    """As ``encode_documents``, with counts and digests of the ids and decoded texts;
+    the ids themselves come last if asked for."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = model(model_path)
-        counts, coded, decoded = [], [], []
+        counts, coded, decoded, kept = [], [], [], []
         for text in texts(batch):
             ids = own.encode(text)
             counts.append(len(ids))
             coded.append(hashlib.sha256(
                 " ".join(map(own.id_text.__getitem__, ids)).encode()).hexdigest())
             decoded.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(counts, pa.int64()),
-             pa.array(coded, pa.string()), pa.array(decoded, pa.string())],
-            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            if with_ids:
+                kept.append(pa.array(ids, pa.int32()))
+        columns = [batch.column("doc_id"), pa.array(counts, pa.int64()),
+                   pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        if with_ids:
+            ends = pa.array([0, *itertools.accumulate(counts)], pa.int32())
+            flat = pa.concat_arrays(kept) if kept else pa.array([], pa.int32())
+            columns, names = [*columns, pa.ListArray.from_arrays(ends, flat)], [*names, "ids"]
+        return pa.RecordBatch.from_arrays(columns, names)
 
-    return map_batches(thin(docs, "doc_id", "text"), work,
-                       "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return map_batches(
+        thin(docs, "doc_id", "text"), work,
+        "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+        + ", ids array<int>" * with_ids)

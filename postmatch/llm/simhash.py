@@ -235,11 +235,12 @@ def components(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that stand for their component.
 
-    That is the row of the smallest id; of equal ids one row stays. Rows with a null
-    id stay, since nothing tells which of them would stand for a group.
+    That is the document of the smallest id. Equal rows become one; rows of one id
+    with different texts are one document and stay or go together. Rows with a null id
+    stay, since nothing tells which of them would stand for a group.
     """
     found = components(docs)
     kept = staged(found.where("doc_id = component_id").select(
         F.col("doc_id").alias("_kept_id")).distinct(), "kept")
     stay = docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi")
-    return stay.unionAll(docs.where("doc_id IS NULL"))
+    return stay.dropDuplicates(["doc_id", "text"]).unionAll(docs.where("doc_id IS NULL"))
