@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmatch.llm import decontaminate, pages, pieces, pii, quality, shards, simhash, substrings
+from postmatch.llm import decontaminate, pages, pieces, pii, quality, shards, simhash, substrings, toxicity
 
 #: The file of the merge-type model, found by the tokenizer package where it is installed.
 PIECES = "piece_bpe_32k.model"
@@ -44,6 +44,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_digests(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op4_main_text": op4_main_text,
     "op5_shards": op5_shards,
     "op6_quality": op6_quality,
+    "op7_toxicity": op7_toxicity,
     "op8_substrings": op8_substrings,
     "op9_decontamination": op9_decontamination,
 }
