@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmatch.llm import decontaminate, pages, pieces, pii, quality, shards, simhash, substrings, toxicity
+from postmatch.llm import decontaminate, language, pages, pieces, pii, quality, shards, simhash, substrings, toxicity
 
 #: The file of the merge-type model, found by the tokenizer package where it is installed.
 PIECES = "piece_bpe_32k.model"
@@ -58,6 +58,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("key")
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_pii": op2_pii,
@@ -68,6 +72,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_substrings": op8_substrings,
     "op9_decontamination": op9_decontamination,
+    "op10_language_model": op10_language_model,
 }
 
 ORACLES: dict[str, str] = {"op9_decontamination": decontaminate.ORACLE}
