@@ -1,7 +1,8 @@
 """Fixed values that results depend on.
 
-Every value here must stay exactly as it is for scores to come out right; all of
-them can be replaced through :class:`postmatch.options.MatchOptions`.
+Every value here must stay exactly as it is for scores to come out right. The
+vocabularies and weights can be replaced through
+:class:`postmatch.options.MatchOptions`, marks of pages by arguments.
 """
 
 # --- fixed values: skill vocabulary ---------------------------------------
@@ -55,6 +56,7 @@ ID_ATTRIBUTE = "data-job-id"
 ID_IN_LINK = r"jobs/view/(\d+)"
 DESCRIPTION_CLASS = "show-more-less-html__markup"
 BLOCKED_MARKER = "authwall"
+RESULTS_ID = "main-content"
 
 # --- fixed values: headers of the posting and score tables -------------------
 POSTING_HEADERS = {

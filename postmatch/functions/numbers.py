@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postmatch.functions.arrays import fold
+from postmatch.functions.arrays import bind, each, fold, keep
 
 
 def bounded_percentage(value: Column) -> Column:
@@ -30,6 +30,25 @@ def dot(a: Column, b: Column) -> Column:
     return fold(products, "0D", "(total, x) -> total + x")
 
 
+def nonzero(vector: Column) -> Column:
+    """``array<struct<at, x>>``: the entries of a vector that are not zero, in order."""
+    listed = each(vector, "(x, i) -> struct(i AS at, CAST(x AS DOUBLE) AS x)")
+    return keep(listed, "e -> e.x IS NULL OR e.x != 0")
+
+
+def sparse_dot(entries: Column, vector: Column) -> Column:
+    """Dot product with the non-zero entries of one side: the same sum in the same
+    order, since a zero adds nothing."""
+    return bind(
+        "b",
+        "aggregate(b.e, 0D, (total, e) -> total + e.x * CAST(get(b.v, e.at) AS DOUBLE))",
+        e=entries, v=vector)
+
+
+def sparse_norm(entries: Column) -> Column:
+    return F.sqrt(fold(entries, "0D", "(total, e) -> total + e.x * e.x"))
+
+
 def norm(vector: Column) -> Column:
     squares = "(total, x) -> total + CAST(x AS DOUBLE) * CAST(x AS DOUBLE)"
     return F.sqrt(fold(vector, "0D", squares))

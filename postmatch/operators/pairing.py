@@ -1,18 +1,21 @@
 """Bring postings and profiles together.
 
-Three exact ways, chosen by a check of the profile table's size:
-
-* few profiles, each against every posting: the profile table travels as one
-  array from a scalar subquery and each posting is expanded over it, so the plan
-  has no join and no exchange of postings;
-* more profiles than the bound: postings and profiles meet in (profile block,
-  posting slice) cells through an equi-join, so no task holds either side whole;
-* a key such as the search a posting came from: an equi-join, broadcast behind
-  the same check, else shuffled with hot keys salted.
+Three exact ways:
+
+* each posting with every profile: the profile table travels as one array from a
+  scalar subquery and each posting is expanded over it, so the plan has no join and
+  no exchange of postings;
+* more profiles than one array may hold: the same for one block of profiles after
+  another, so no posting is ever shuffled or repeated for a shuffle;
+* a key such as the search a posting came from: an equi-join, broadcast behind a
+  check of the profiles' size, else shuffled with hot keys split.
+
+The size is that of the profiles' ids and texts: measuring it runs no encoder.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil
 
 from pyspark.sql import DataFrame
@@ -33,36 +36,33 @@ def table_size(df: DataFrame) -> tuple[int, int]:
     return row["n"], row["bytes"]
 
 
-def every_pair(postings: DataFrame, profiles: DataFrame, *, max_profiles: int = MAX_PROFILES,
-               max_bytes: int = MAX_BYTES, slices: int | None = None) -> DataFrame:
-    """Each posting with each profile, the profile as a struct column ``profile``."""
-    count, size = table_size(profiles)
+def every_pair(postings: DataFrame, profiles: DataFrame, *, size: tuple[int, int] | None = None,
+               max_profiles: int = MAX_PROFILES, max_bytes: int = MAX_BYTES,
+               stage=None) -> DataFrame:
+    """Each posting with each profile, the profile as a struct column ``profile``.
+
+    ``size`` is the rows and bytes of the profiles, measured here if it is not given.
+    """
+    rows, width = size or table_size(profiles)
     packed = profiles.select(F.struct("*").alias("profile"))
-    if count <= max_profiles and size <= max_bytes:
-        gathered = packed.agg(F.collect_list("profile").alias("profiles")).scalar()
+    blocks = max(ceil(rows / max_profiles), ceil(width / max_bytes), 1)
+    if blocks > 1 and stage is not None:
+        postings = stage(postings)
+    block = F.pmod(F.xxhash64("profile.profile_id"), F.lit(blocks))
+
+    def paired(number: int) -> DataFrame:
+        own = packed if blocks == 1 else packed.where(block == number)
+        gathered = own.agg(F.collect_list("profile").alias("profiles")).scalar()
         return postings.select("*", F.explode(gathered).alias("profile"))
 
-    blocks = max(ceil(count / max_profiles), ceil(size / max_bytes))
-    if slices is None:
-        slices = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def numbers(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = postings.withColumn(
-        "_slice", F.pmod(F.xxhash64("posting_id"), F.lit(slices)).cast("int")
-    ).withColumn("_block", numbers(blocks))
-    right = packed.withColumn(
-        "_block", F.pmod(F.xxhash64("profile.profile_id"), F.lit(blocks)).cast("int")
-    ).withColumn("_slice", numbers(slices))
-    return left.join(right.hint("shuffle_hash"), ["_block", "_slice"]).drop("_block", "_slice")
+    return reduce(DataFrame.unionAll, map(paired, range(blocks)))
 
 
 def keyed_pairs(postings: DataFrame, profiles: DataFrame, key: str, *,
-                max_bytes: int = MAX_BYTES) -> DataFrame:
+                size: tuple[int, int] | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Each posting with the profiles that share its ``key``."""
     packed = profiles.select(F.col(key), F.struct("*").alias("profile"))
-    _, size = table_size(profiles)
-    if size <= max_bytes:
+    _, width = size or table_size(profiles)
+    if width <= max_bytes:
         return postings.join(F.broadcast(packed), key)
     return salted_join(postings, packed, key, how="inner", spread_by="posting_id")

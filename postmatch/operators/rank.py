@@ -25,7 +25,6 @@ def top_per_profile(scored: DataFrame, k: int = 10) -> DataFrame:
         ["profile_id"],
         [F.desc("ats_score"), F.asc("posting_id")],
         k,
-        spread_by="posting_id",
     )
 
 

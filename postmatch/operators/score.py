@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmatch import fixed
-from postmatch.functions.numbers import bounded_percentage, norm
+from postmatch.functions.numbers import bounded_percentage, nonzero, norm, sparse_norm
 from postmatch.functions.text import comma_list, content_tokens, normalise, tokens
 from postmatch.operators import features, keywords, skills
-from postmatch.operators.pairing import every_pair, keyed_pairs
+from postmatch.operators.pairing import MAX_PROFILES, every_pair, keyed_pairs, table_size
 from postmatch.operators.semantic import HashingEncoder, semantic_match
 from postmatch.options import MatchOptions
 
@@ -58,14 +58,14 @@ def profile_features(profiles: DataFrame, options: MatchOptions, encoder,
         "words", content_tokens(tokens(F.col("text")), options.stop_list())
     )
     coded = encoder.encode(read, "text", "words", "vector")
-    return coded.select(
+    return coded.withColumn("vector", nonzero(F.col("vector"))).select(
         "profile_id",
         *([key] if key else []),
         "text",
         skills.skills_in(F.col("text"), options).alias("skills"),
         features.profile_years(F.col("text"), options).alias("years"),
         "vector",
-        norm(F.col("vector")).alias("norm"),
+        sparse_norm(F.col("vector")).alias("norm"),
     )
 
 
@@ -137,7 +137,7 @@ def score_pairs(pairs: DataFrame, options: MatchOptions) -> DataFrame:
     )
     return scored.withColumns(
         {
-            "missing_skills": skills.shown_missing(F.col("_missing"), options),
+            "missing_skills": F.col("_missing"),
             "recommendation": F.when(
                 has_text, recommendation(F.col("ats_score"), F.col("_missing"))
             ).otherwise(fixed.NO_DESCRIPTION),
@@ -147,33 +147,47 @@ def score_pairs(pairs: DataFrame, options: MatchOptions) -> DataFrame:
 
 def score_postings(postings: DataFrame, profiles: DataFrame,
                    options: MatchOptions | None = None, encoder=None,
-                   key: str | None = None) -> DataFrame:
+                   key: str | None = None, stage=None,
+                   max_profiles: int = MAX_PROFILES) -> DataFrame:
     """Score postings against profiles.
 
     ``profiles`` has ``profile_id, text`` (and ``key`` when pairing by key). The
     posting's own columns come back first, then ``profile_id`` and the scores.
+
+    More than ``max_profiles`` profiles pass over the postings in blocks. ``stage``,
+    a function that writes a table and reads it again, then keeps the postings'
+    features from being computed for every block.
     """
     options = options or MatchOptions()
     encoder = encoder or HashingEncoder()
     left = posting_features(postings, options, encoder)
+    size = table_size(profiles.select("profile_id", "text"))
     right = profile_features(profiles, options, encoder, key)
-    pairs = keyed_pairs(left, right, key) if key else every_pair(left, right)
+    if key:
+        pairs = keyed_pairs(left, right, key, size=size)
+    else:
+        pairs = every_pair(left, right, size=size, max_profiles=max_profiles, stage=stage)
     return score_pairs(pairs, options).select(
         *postings.columns, "profile_id", *SCORE_COLUMNS
     )
 
 
-def report_columns(scored: DataFrame) -> DataFrame:
-    """The posting and score columns under their display headers, lists joined.
+def report_columns(scored: DataFrame, options: MatchOptions | None = None) -> DataFrame:
+    """All raw columns, then the scores; known ones under their display headers.
 
-    The education signal counts in the score but is not a display column.
+    Lists are joined and the missing skills cut to those shown. The education signal
+    counts in the score but is not a display column.
     """
-    shown = {**fixed.POSTING_HEADERS, **fixed.SCORE_HEADERS}
-    lists = ("matched_skills", "missing_skills")
+    options = options or MatchOptions()
+    values = {
+        "matched_skills": comma_list(F.col("matched_skills")),
+        "missing_skills": comma_list(skills.shown_missing(F.col("missing_skills"), options)),
+    }
+    known = [n for n in fixed.POSTING_HEADERS if n in scored.columns]
+    raw = [n for n in scored.columns if n not in (*known, *SCORE_COLUMNS)]
+    ours = [n for n in fixed.SCORE_HEADERS if n in scored.columns]
     return scored.select(
-        *[
-            (comma_list(F.col(name)) if name in lists else F.col(name)).alias(header)
-            for name, header in shown.items()
-            if name in scored.columns
-        ]
+        *[F.col(n).alias(fixed.POSTING_HEADERS[n]) for n in known],
+        *raw,
+        *[values.get(n, F.col(n)).alias(fixed.SCORE_HEADERS[n]) for n in ours],
     )

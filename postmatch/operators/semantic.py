@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmatch.functions.numbers import cosine_percentage
+from postmatch.functions.numbers import bounded_percentage, sparse_dot
 
 
 @dataclass(frozen=True)
@@ -79,9 +79,10 @@ class ModelEncoder:
         return df.withColumn(out, vectors(F.col(text)))
 
 
-def semantic_match(both_have_text: Column, profile_vector: Column, posting_vector: Column,
-                   profile_norm: Column | None = None,
-                   posting_norm: Column | None = None) -> Column:
-    """Cosine percentage of two texts' vectors; an empty text gives 0."""
-    cosine = cosine_percentage(profile_vector, posting_vector, profile_norm, posting_norm)
-    return F.when(both_have_text, cosine).otherwise(0.0)
+def semantic_match(both_have_text: Column, profile_entries: Column, posting_vector: Column,
+                   profile_norm: Column, posting_norm: Column) -> Column:
+    """Cosine percentage of two texts' vectors, the profile's by its non-zero entries;
+    an empty text gives 0."""
+    cosine = F.try_divide(
+        sparse_dot(profile_entries, posting_vector), profile_norm * posting_norm) * 100
+    return F.when(both_have_text, bounded_percentage(cosine)).otherwise(0.0)

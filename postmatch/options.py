@@ -16,7 +16,9 @@ from postmatch import fixed
 class MatchOptions:
     """Everything a run can vary; the defaults give the documented scores.
 
-    ``stop_words=None`` takes Spark's own English list.
+    ``stop_words=None`` takes Spark's own English list. ``keyword``, ``location`` and
+    ``as_of`` select a run's postings where they are set; ``card_cap`` limits the cards
+    that are read from a page.
     """
 
     skills: tuple[str, ...] = fixed.SKILLS
@@ -27,7 +29,7 @@ class MatchOptions:
     shown_missing: int = 12
     experience_years: float = 0.0
     top_matches: int = 10
-    card_cap: int = 100
+    card_cap: int | None = None
     recency_seconds: int = 86_400
     keyword: str = ""
     location: str = ""

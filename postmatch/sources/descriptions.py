@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmatch import fixed
-from postmatch.operators.skew import salted_join
 
 PAGE = "page"
 JSON = "json"
@@ -17,24 +16,30 @@ def _usable(text: Column) -> Column:
     return F.nullif(F.coalesce(text, F.lit("")), F.lit(""))
 
 
-def fetched_by_id(fetched: DataFrame) -> DataFrame:
-    """One row per job id from ``job_id, source, status, text`` rows.
+def one_attempt(fetched: DataFrame) -> DataFrame:
+    """One whole try of each source of a job id, from ``job_id, source, status, text``.
 
-    A single grouped pass replaces one join per source. Several tries of one
-    source give its greatest status and text, whatever order they come in.
-    """
-    def of(source: str, column: str) -> Column:
-        return F.max(F.when(F.col("source") == source, F.col(column)))
+    With a column ``attempted_at`` that is the latest try. Without one it is the best:
+    a text that came without failure, else a call without failure, else a refused one,
+    else any; of equally good ones the lowest status and the first text.
 
+    Spark cuts to one row before the exchange, and the rows stay dealt by id for the
+    joins that follow.
+    """
+    status, text = F.col("status"), F.col("text")
+    good = F.coalesce(status < 400, F.lit(True))
+    order = [
+        (good & _usable(text).isNotNull()).desc(), good.desc(),
+        F.coalesce(status.isin(*fixed.BLOCKED_STATUSES), F.lit(False)).desc(),
+        status.asc_nulls_last(), text.asc_nulls_last(),
+    ]
+    if "attempted_at" in fetched.columns:
+        order.insert(0, F.col("attempted_at").desc_nulls_last())
+    tries = Window.partitionBy("job_id", "source").orderBy(*order)
     return (
         fetched.where(F.col("source").isin(PAGE, JSON) & (F.col("job_id") != ""))
-        .groupBy("job_id")
-        .agg(
-            of(PAGE, "status").alias("page_status"),
-            of(PAGE, "text").alias("page_text"),
-            of(JSON, "status").alias("json_status"),
-            of(JSON, "text").alias("json_text"),
-        )
+        .withColumn("_try", F.row_number().over(tries))
+        .where("_try = 1")
     )
 
 
@@ -70,8 +75,9 @@ def attach_descriptions(cards: DataFrame, fetched: DataFrame,
     """Add ``job_description`` and ``description_source`` to cards.
 
     ``cards`` has ``posting_id, job_id, ui_text``. Cards without an id get a join
-    key of their own that matches nothing, so they do not pile up in one task; ids
-    listed very often are salted by the join.
+    key of their own that matches nothing, so they do not pile up in one task. An id
+    listed very often is split by Spark's skew join, which leaves the cards' side free
+    to be split.
     """
     keyed = cards.withColumn(
         "_key",
@@ -80,8 +86,13 @@ def attach_descriptions(cards: DataFrame, fetched: DataFrame,
             F.concat(F.lit("\x00"), F.col(spread_by).cast("string")),
         ),
     )
-    results = fetched_by_id(fetched).withColumnRenamed("job_id", "_key")
-    joined = salted_join(keyed, results, "_key", how="left", spread_by=spread_by)
+    tries = one_attempt(fetched)
+    joined = keyed
+    for source in (PAGE, JSON):
+        own = tries.where(F.col("source") == source).select(
+            F.col("job_id").alias("_key"),
+            F.col("status").alias(f"{source}_status"), F.col("text").alias(f"{source}_text"))
+        joined = joined.join(own, "_key", "left")
     chosen = choose(
         F.col("job_id"), F.col("page_status"), F.col("page_text"),
         F.col("json_status"), F.col("json_text"), F.col("ui_text"),

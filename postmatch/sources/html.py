@@ -1,13 +1,14 @@
-"""Text, cards, links and ids out of landed HTML, by regular expressions.
+"""Text, cards, links and ids out of landed HTML.
 
-The patterns take the first match of a container and do not balance nested
-containers of the same tag. Void and unclosed tags are fine, which is why no XML
-reader is used.
+Markup is cut into tags and texts once, and folds walk the nesting, so containers and
+cards come out whole. Void and unclosed tags, either case and attributes without quotes
+are fine, which is why no XML reader is used.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,24 +25,98 @@ NAMED_ENTITIES = {
 }
 
 _MARK = "\x01"
-_UNSEEN = r"(?s)<(?:script\b.*?</script>|style\b.*?</style>|!--.*?-->|[^>]*>)"
-_ANCHOR = r"(?s)<a\b[^>]*>"
-_HREF = r"""\shref\s*=\s*(?:"([^"]*)"|'([^']*)')"""
-_CARD_ID = rf"""\s{fixed.ID_ATTRIBUTE}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+_UNSEEN = r"(?is)<(?:script\b.*?</script\s*>|style\b.*?</style\s*>|!--.*?-->|[^>]*>)"
+_ANCHOR = r"""(?is)<a(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+#: Comments, scripts, tags and the texts between them, in order and whole.
+_PIECE = (
+    r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)"
+    r"""|</?[a-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|<[^>]*>|[^<]+|<"""
+)
+#: Elements that do not part the text around them.
+_INLINE = (
+    r"(?is)</?(?:a|abbr|b|bdi|bdo|cite|code|data|dfn|em|font|i|kbd|mark|q|s|samp|small|span|strong"
+    r"|sub|sup|time|u|var|wbr)(?=[\s/>])[^>]*>"
+)
 
 
-def _has_class(name: str) -> str:
-    """Pattern of a class attribute that lists this class among others."""
-    return rf"""\sclass\s*=\s*["'](?:[^"'>]*\s)?{name}(?:\s[^"'>]*)?["']"""
+def _attribute_pattern(name: str) -> str:
+    """Pattern of an attribute, quoted or not; one of three groups has its value."""
+    return rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 
-def element(tag: str, css_class: str | None = None) -> str:
-    """Pattern for the content of the first element with this tag (and class)."""
-    extra = f"[^>]*{_has_class(css_class)}" if css_class else ""
-    return rf"(?s)<{tag}\b{extra}[^>]*>(.*?)</{tag}>"
+_HREF = _attribute_pattern("href")
+_CARD_ID = _attribute_pattern(fixed.ID_ATTRIBUTE)
 
 
-DESCRIPTION = element("div", fixed.DESCRIPTION_CLASS)
+def _value(tag: str, name: str) -> str:
+    """SQL for the value of a tag's attribute; absent gives the empty string."""
+    pattern = quoted(_attribute_pattern(name))
+    return "concat(" + ", ".join(f"regexp_extract({tag}, {pattern}, {k})" for k in (1, 2, 3)) + ")"
+
+
+def _lists_class(tag: str, css_class: str) -> str:
+    """SQL for whether a tag's class attribute lists this class among others."""
+    return f"array_contains(split({_value(tag, 'class')}, '[ \\\\t\\\\r\\\\n\\\\f]+'), {quoted(css_class)})"
+
+
+class Element(NamedTuple):
+    """Which element is meant: by tag name, by class, or by both."""
+
+    tag: str | None = None
+    css_class: str | None = None
+
+    def matches(self, tag: str, name: str) -> str:
+        wanted = [f"{name} = {quoted(self.tag)}"] if self.tag else []
+        wanted += [_lists_class(tag, self.css_class)] if self.css_class else []
+        return " AND ".join([f"NOT startswith({name}, '/')", *wanted])
+
+
+DESCRIPTION = Element(css_class=fixed.DESCRIPTION_CLASS)
+
+
+def _pieces(html: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(_PIECE), F.lit(0))
+
+
+def _named(names: str) -> str:
+    """SQL for the tags of ``b.p`` with their places and lower-case names."""
+    pattern = quoted(rf"(?i)^<(/?(?:{names}))(?=[\s/>])")
+    return (
+        f"filter(transform(b.p, (x, i) -> struct(i AS at, lower(regexp_extract(x, {pattern}, 1)) AS name, "
+        "x AS tag)), t -> t.name != '')"
+    )
+
+
+def content(html: Column, element: Element = DESCRIPTION) -> Column:
+    """Markup inside the first such element, up to the tag that closes it.
+
+    Elements of the same name inside are counted, so the content is whole; one that
+    is never closed ends with the page. No such element gives the empty string.
+    """
+    opened = bind(
+        "b",
+        f"""struct(b.p, b.tags, get(filter(b.tags, t -> {element.matches('t.tag', 't.name')}), 0) AS first)""",
+        p=_pieces(html), tags=bind("b", _named("[a-z][^\\s/>]*"), p=_pieces(html)),
+    )
+    closed = bind(
+        "b",
+        """struct(b.o.p, b.o.first, aggregate(
+            filter(b.o.tags, t -> t.at > b.o.first.at
+                AND (t.name = b.o.first.name OR t.name = concat('/', b.o.first.name))),
+            struct(1 AS depth, -1 AS upto),
+            (a, t) -> CASE WHEN a.upto >= 0 THEN a
+                WHEN t.name = b.o.first.name THEN struct(a.depth + 1 AS depth, -1 AS upto)
+                WHEN a.depth > 1 THEN struct(a.depth - 1 AS depth, -1 AS upto)
+                ELSE struct(0 AS depth, t.at AS upto) END).upto AS upto)""",
+        o=opened,
+    )
+    inside = bind(
+        "b",
+        """IF(b.c.first IS NULL, '', array_join(slice(b.c.p, b.c.first.at + 2,
+            IF(b.c.upto < 0, size(b.c.p), b.c.upto) - b.c.first.at - 1), ''))""",
+        c=closed,
+    )
+    return F.coalesce(inside, F.lit(""))
 
 
 def decode_entities(text: Column, named: Mapping[str, str] = NAMED_ENTITIES) -> Column:
@@ -65,24 +140,69 @@ def markup_text(markup: Column) -> Column:
     return strip(decode_entities(F.regexp_replace(marked, f"{_MARK}+", " ")))
 
 
-def container_text(html: Column, container: str = DESCRIPTION) -> Column:
-    """Text of the first container; no container gives the empty string."""
-    return markup_text(F.coalesce(F.regexp_extract(html, container, 1), F.lit("")))
+def container_text(html: Column, element: Element = DESCRIPTION) -> Column:
+    """Text of the first such element; no such element gives the empty string."""
+    return markup_text(content(html, element))
+
 
+def cards(html: Column, scope: str | None = fixed.RESULTS_ID) -> Column:
+    """The markup of every result card of a page, in page order.
 
-def cards(html: Column, card: str = r"(?s)<li\b[^>]*>.*?</li>") -> Column:
-    """The markup of every result card of a page, in page order."""
-    return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(card), F.lit(0))
+    A card is an item of an unordered list inside the ``main`` element with the id
+    ``scope``; without a scope, of any unordered list. Lists are walked with a stack of
+    open lists and items, so an item holds its inner lists whole, and these items are
+    cards too. The next item or the list's end closes an item that has no end tag.
+    """
+    scoped = "TRUE" if scope is None else "exists(c.kept, s -> s.k = 'scope')"
+    is_scope = "FALSE" if scope is None else f"{_value('t.tag', 'id')} = {quoted(scope)}"
+    # Where the stack is cut when a tag comes, and what is pushed then.
+    cut = """CASE
+        WHEN t.name IN ('li', '/li') THEN size(a.stack) - IF(get(a.stack, size(a.stack) - 1).k = 'li', 1, 0)
+        WHEN t.name = '/main' THEN size(a.stack) - array_position(
+            reverse(transform(a.stack, s -> IF(s.k IN ('main', 'scope'), 'main', ''))), 'main')
+        WHEN startswith(t.name, '/') THEN CASE
+            WHEN get(a.stack, size(a.stack) - 1).k = substring(t.name, 2) THEN size(a.stack) - 1
+            WHEN get(a.stack, size(a.stack) - 1).k = 'li'
+                AND get(a.stack, size(a.stack) - 2).k = substring(t.name, 2) THEN size(a.stack) - 2
+            ELSE size(a.stack) END
+        ELSE size(a.stack) END"""
+    step = f"""get(transform(array({cut}), n -> get(transform(array(struct(
+            slice(a.stack, 1, CAST(n AS INT)) AS kept,
+            slice(a.stack, CAST(n AS INT) + 1, size(a.stack)) AS gone)), c -> struct(
+        IF(startswith(t.name, '/'), c.kept, concat(c.kept, array(struct(
+            CASE WHEN t.name = 'main' AND {is_scope} THEN 'scope' ELSE t.name END AS k, t.at AS at,
+            t.name = 'li' AND coalesce(get(c.kept, size(c.kept) - 1).k = 'ul', FALSE) AND {scoped} AS card)))) AS stack,
+        concat(a.done, transform(filter(c.gone, s -> s.card), s -> struct(
+            s.at AS at, t.at - IF(t.name = '/li', 0, 1) AS upto))) AS done)), 0)), 0)"""
+    walked = bind(
+        "b",
+        f"""struct(b.p, aggregate({_named('ul|ol|menu|li|main')}, struct(
+            CAST(array() AS array<struct<k: string, at: int, card: boolean>>) AS stack,
+            CAST(array() AS array<struct<at: int, upto: int>>) AS done),
+            (a, t) -> {step}) AS w)""",
+        p=_pieces(html),
+    )
+    return bind(
+        "b",
+        """transform(array_sort(concat(b.r.w.done, transform(filter(b.r.w.stack, s -> s.card),
+                s -> struct(s.at AS at, size(b.r.p) - 1 AS upto)))),
+            d -> array_join(slice(b.r.p, d.at + 1, d.upto - d.at + 1), ''))""",
+        r=walked,
+    )
 
 
 def card_text(card: Column) -> Column:
-    """All text of a card on one line, case kept."""
-    return squeeze(markup_text(F.coalesce(card, F.lit(""))))
+    """All text of a card on one line, case kept.
+
+    As in a browser, inline elements do not part words and all others do.
+    """
+    seen = F.regexp_replace(F.coalesce(card, F.lit("")), _INLINE, "")
+    return squeeze(markup_text(seen))
 
 
 def _attribute(tag: Column, pattern: str) -> Column:
-    """Value of a quoted attribute, or null where the tag does not have it."""
-    found = F.concat(F.regexp_extract(tag, pattern, 1), F.regexp_extract(tag, pattern, 2))
+    """Value of an attribute, or null where the tag does not have it."""
+    found = F.concat(*(F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)))
     return F.when(F.regexp_like(tag, F.lit(pattern)), found)
 
 
@@ -90,11 +210,9 @@ def href(card: Column, marker: str = fixed.LINK_MARKER,
          css_class: str = fixed.LINK_CLASS) -> Column:
     """Raw link of a card: by marker in the address, else by class, else any."""
     tags = F.regexp_extract_all(F.coalesce(card, F.lit("")), F.lit(_ANCHOR), F.lit(0))
-    address = f"concat(regexp_extract(a, {quoted(_HREF)}, 1), regexp_extract(a, {quoted(_HREF)}, 2))"
-    with_class = quoted(_has_class(css_class))
     anchors = each(
         keep(tags, f"a -> regexp_like(a, {quoted(_HREF)})"),
-        f"a -> struct({address} AS href, regexp_like(a, {with_class}) AS listed)",
+        f"a -> struct({_value('a', 'href')} AS href, {_lists_class('a', css_class)} AS listed)",
     )
     pick = bind(
         "b",

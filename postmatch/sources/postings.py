@@ -19,7 +19,7 @@ POSTING_SCHEMA = T.StructType(
         T.StructField("job_description", T.StringType()),
     ]
 )
-REQUIRED = ("posting_id", "job_description")
+REQUIRED = ("job_description",)
 OPTIONAL_TEXT = ("job_title", "job_link")
 
 
@@ -31,8 +31,9 @@ def conform(df: DataFrame, names: Mapping[str, str] | None = None) -> DataFrame:
     """Apply the posting contract to a table.
 
     ``names`` maps our column names to the table's. Display headers such as
-    ``Job Description`` are understood without it. Id and description must be
-    there; a missing title or link becomes the empty string.
+    ``Job Description`` are understood without it. The description must be there;
+    a missing title or link becomes the empty string. Without an id a posting's id is
+    a hash of its link, title and description, so equal postings share one.
     """
     renames = {**fixed.POSTING_HEADERS, **(names or {})}
     for ours, theirs in renames.items():
@@ -45,18 +46,24 @@ def conform(df: DataFrame, names: Mapping[str, str] | None = None) -> DataFrame:
     for name in OPTIONAL_TEXT:
         if name not in df.columns:
             df = df.withColumn(name, F.lit(""))
+    if "posting_id" not in df.columns:
+        df = df.withColumn("posting_id", F.xxhash64("job_link", "job_title", "job_description"))
     return df
 
 
 def spread(df: DataFrame, key: str = "posting_id") -> DataFrame:
-    """Use every core when the input has fewer partitions than that.
+    """Use every core on an input that would be read by fewer tasks than that.
 
     A small file arrives as one or two scan tasks, yet scoring is compute-bound.
-    Inputs that already split into enough tasks, as any large table does, are left
-    where they are. Hashing a unique key keeps the split the same on a retry.
+    The planner's own estimate of the size tells how many tasks a scan will have;
+    nothing runs for it. Inputs of enough tasks, as any large table is, are left where
+    they are. Hashing a unique key keeps the split the same on a retry.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if cores > 1 and df.rdd.getNumPartitions() < 2 * cores:
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    per_task = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    if cores > 1 and size // per_task < 2 * cores:
         return df.repartition(2 * cores, key)
     return df
 

@@ -33,11 +33,13 @@ def assemble(parts: DataFrame, *, profile: str = "profile_id", part: str = "part
 
 
 def readable(profiles: DataFrame) -> DataFrame:
-    """Fail the run when a profile has no text."""
-    checked = F.when(F.col("text") != "", F.col("text")).otherwise(
-        F.raise_error(F.concat(F.lit(f"{EMPTY_PROFILE} "), F.col("profile_id").cast("string")))
-    )
-    return profiles.withColumn("text", checked)
+    """Fail the run when a profile has no text.
+
+    The check is a filter: it runs whichever columns are read later.
+    """
+    message = F.concat(F.lit(f"{EMPTY_PROFILE} "), F.col("profile_id").cast("string"))
+    stop = F.raise_error(message).cast("boolean")
+    return profiles.where(F.when(F.col("text") != "", F.lit(True)).otherwise(stop))
 
 
 def split_unreadable(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:

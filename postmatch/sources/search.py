@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime, timedelta
+from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postmatch import fixed
@@ -52,24 +53,32 @@ def matches_search(title: Column, description: Column, location: Column, *,
 
 
 def posted_recently(posted_at: Column, as_of: datetime, seconds: int = 86_400) -> Column:
-    """Posted within the window before ``as_of``; a plain bound that scans can use."""
+    """Posted within the window before ``as_of``; a plain bound that scans can use.
+
+    A time with a zone is moved to the session's zone; one without is read in it.
+    """
     since = as_of - timedelta(seconds=seconds)
+    if since.tzinfo is not None:
+        zone = SparkSession.active().conf.get("spark.sql.session.timeZone")
+        since = since.astimezone(ZoneInfo(zone)).replace(tzinfo=None)
     return posted_at >= F.lit(since.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
-def page_cards(pages: DataFrame, cap: int = 100, *, url: str = "url",
-               markup: str = "html", carry: Sequence[str] = ()) -> DataFrame:
-    """One row per card, the first ``cap`` of each page, numbered from 1.
+def page_cards(pages: DataFrame, cap: int | None = None, *, url: str = "url",
+               markup: str = "html", carry: Sequence[str] = (),
+               scope: str | None = fixed.RESULTS_ID) -> DataFrame:
+    """One row per card of each page, or its first ``cap`` cards, numbered from 1.
 
-    ``total_cards`` counts before the cap. Everything happens inside the page's
-    row, so only the capped cards are ever expanded.
+    ``total_cards`` counts before the cap; ``scope`` is that of :func:`html.cards`.
+    Everything happens inside the page's row.
     """
-    listed = pages.withColumn("_cards", html.cards(F.col(markup)))
+    listed = pages.withColumn("_cards", html.cards(F.col(markup), scope))
+    shown = F.col("_cards") if cap is None else F.slice("_cards", 1, cap)
     return listed.select(
         *carry,
         url,
         F.size("_cards").alias("total_cards"),
-        F.posexplode_outer(F.slice("_cards", 1, cap)).alias("_at", "card"),
+        F.posexplode_outer(shown).alias("_at", "card"),
     ).where(F.col("card").isNotNull()).select(
         *carry, url, "total_cards", (F.col("_at") + 1).alias("position"), "card"
     )
@@ -101,9 +110,7 @@ def first_rows(df: DataFrame, cap: int, order: str) -> DataFrame:
 
 def first_rows_per_search(df: DataFrame, cap: int, search: str, order: str) -> DataFrame:
     """The same cap for many result lists held in one table."""
-    return top_per_group(
-        df, [search], [F.asc(order)], cap, spread_by=order, rank="serial_number"
-    )
+    return top_per_group(df, [search], [F.asc(order)], cap, rank="serial_number")
 
 
 def blocked(url: Column, marker: str = fixed.BLOCKED_MARKER) -> Column:
@@ -118,6 +125,9 @@ def split_blocked(pages: DataFrame, marker: str = fixed.BLOCKED_MARKER,
 
 
 def fail_if_blocked(pages: DataFrame, marker: str = fixed.BLOCKED_MARKER, url: str = "url") -> DataFrame:
-    """Stop the run at the first blocked page."""
-    checked = F.when(blocked(F.col(url), marker), F.raise_error(F.lit("search was blocked")))
-    return pages.withColumn(url, checked.otherwise(F.col(url)))
+    """Stop the run at the first blocked page.
+
+    The check is a filter: it runs whichever columns are read later.
+    """
+    stop = F.raise_error(F.lit("search was blocked")).cast("boolean")
+    return pages.where(F.when(blocked(F.col(url), marker), stop).otherwise(F.lit(True)))

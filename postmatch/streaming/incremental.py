@@ -1,33 +1,56 @@
-"""Score new posting files as they land.
+"""The daily run: score, rank and report new posting files as they land.
 
-Each micro-batch is scored by the batch plan, so the query keeps no state and
-needs no watermark. The checkpoint remembers which files were read, in place of a
-look-back window. A batch that runs again overwrites its own folder.
+Each micro-batch goes through the batch plan, so the query keeps no state and needs no
+watermark. The checkpoint remembers which files were read, in place of a look-back
+window. A posting that lands again, in the same batch or a later one, counts where
+it came first. A batch that runs again sees the same earlier batches and overwrites its
+own folders, so it changes nothing.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from postmatch.operators.score import score_postings
 from postmatch.options import MatchOptions
-from postmatch.sources.postings import POSTING_SCHEMA, conform, spread
+from postmatch.plans.batch import scored_rows, selected, top_rows
+from postmatch.sinks.report import write_reports
+from postmatch.sinks.tables import write_scored
+from postmatch.sources.postings import POSTING_SCHEMA, conform
 
 
 def score_new_files(spark: SparkSession, source: str, profiles: DataFrame, out_path: str,
                     checkpoint: str, options: MatchOptions | None = None, *,
                     format: str = "parquet", schema: T.StructType = POSTING_SCHEMA,
-                    encoder=None, max_files: int | None = None) -> StreamingQuery:
-    """Start a run over everything new in ``source``; it ends when that is done."""
+                    encoder=None, max_files: int | None = None, top_path: str | None = None,
+                    report_path: str | None = None) -> StreamingQuery:
+    """Start a run over everything new in ``source``; it ends when that is done.
+
+    ``out_path`` gets the thin scored rows of each batch, ``top_path`` its best rows per
+    profile and ``report_path`` their pages.
+    """
+    options = options or MatchOptions()
     reader = spark.readStream.format(format).schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
 
     def score_batch(batch: DataFrame, batch_id: int) -> None:
-        scored = score_postings(spread(conform(batch)), profiles, options, encoder)
-        scored.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        own = f"batch_id={batch_id}"
+        fresh = selected(conform(batch), options).dropDuplicates(["posting_id"])
+        before = earlier(spark, out_path, batch_id)
+        if before is not None:
+            fresh = fresh.join(before, "posting_id", "left_anti")
+        write_scored(scored_rows(fresh, profiles, options, encoder), f"{out_path}/{own}")
+        if top_path or report_path:
+            top = top_rows(spark.read.parquet(f"{out_path}/{own}"), fresh, options.top_matches)
+            if top_path:
+                top.write.mode("overwrite").parquet(f"{top_path}/{own}")
+                top = spark.read.parquet(f"{top_path}/{own}")
+            if report_path:
+                write_reports(top, f"{report_path}/{own}", options.top_matches)
 
     return (
         reader.load(source)
@@ -38,6 +61,17 @@ def score_new_files(spark: SparkSession, source: str, profiles: DataFrame, out_p
     )
 
 
+def earlier(spark: SparkSession, out_path: str, batch_id: int) -> DataFrame | None:
+    """Ids that batches before this one scored, or nothing where there are none."""
+    try:
+        seen = scored_so_far(spark, out_path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    return seen.where(F.col("batch_id") < batch_id).select("posting_id").distinct()
+
+
 def scored_so_far(spark: SparkSession, out_path: str) -> DataFrame:
     """All batches as one table, with their ``batch_id``."""
     return spark.read.parquet(out_path)

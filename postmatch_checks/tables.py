@@ -15,9 +15,9 @@ from postmatch.sources.profiles import assemble, readable
 
 POSTINGS = """
 SELECT doc_id AS posting_id,
- CASE WHEN doc_id % 6 = 0 THEN 'QA Automation Engineer'
+ CASE WHEN doc_id % 6 = 0 THEN 'Browser Automation Engineer'
       WHEN doc_id % 6 = 1 THEN 'Data Platform Developer'
-      WHEN doc_id % 6 = 2 THEN 'Marketing Manager'
+      WHEN doc_id % 6 = 2 THEN 'Wedding Florist'
       WHEN doc_id % 6 = 3 THEN '  Front-End   <Web> Developer & "Lead" '
       WHEN doc_id % 6 = 4 THEN 'Test Lead' ELSE '' END AS job_title,
  CASE WHEN doc_id % 5 = 0 THEN ' ' WHEN doc_id % 5 = 1 THEN NULL
@@ -25,9 +25,9 @@ SELECT doc_id AS posting_id,
       ELSE 'https://jobs.example.com/jobs/view/' || CAST(100000 + doc_id AS STRING) || '?a=1&b=2'
       END AS job_link,
  text
- || CASE WHEN doc_id % 6 = 0 THEN ' QA automation engineer with Selenium, Python, Pytest, REST API testing, SQL, Docker, Jenkins, Git and Agile delivery.'
+ || CASE WHEN doc_id % 6 = 0 THEN ' Robot Framework, Cypress and Playwright suites on Linux; REST API checks, MySQL fixtures, Git and Jenkins.'
          WHEN doc_id % 6 = 1 THEN ' Data platform developer for Airflow, ETL, Python, PostgreSQL, Kubernetes, AWS and CI/CD.'
-         WHEN doc_id % 6 = 2 THEN ' Marketing manager for campaign strategy, content, analytics and brand events.'
+         WHEN doc_id % 6 = 2 THEN ' Florist for weddings: bouquets, early deliveries, friendly counter service.'
          WHEN doc_id % 6 = 3 THEN ' JavaScript, TypeScript, Cypress, GraphQL, GitHub Actions; excellent digital taste.'
          WHEN doc_id % 6 = 4 THEN ' Manual testing, TestNG, Appium, BrowserStack, JMeter, Postman, Jira, BDD, Playwright, MongoDB, MySQL, Linux, Unix, Azure, Java, Flask, FastAPI.'
          ELSE '' END
@@ -46,21 +46,32 @@ FROM {supplier}
 
 PROFILE_PARTS = """
 SELECT CAST(profile_id AS BIGINT) AS profile_id, part_no, text FROM (VALUES
- (1, 0, ' Senior QA Automation Engineer with 6 years of experience in Selenium, Python, Pytest, REST API testing.'),
- (1, 1, 'Postman, SQL, Docker, Jenkins, Git, Agile delivery and test automation. Bachelor degree in Computer Science. '),
+ (1, 0, ' Browser automation engineer, 5 years with Cypress, Playwright, Robot Framework and TypeScript.'),
+ (1, 1, 'REST API checks, MySQL, Linux, Git, Jenkins and Jira; accessibility reviews. Computer science degree. '),
  (2, 1, 'Airflow, ETL, PostgreSQL, Kubernetes, AWS, CI/CD and Linux. AWS certified; master degree.'),
  (2, 0, 'Data platform developer, 3.5 yrs exp with Python.'),
- (3, 0, 'Marketing manager: campaign strategy, content, analytics, brand events. 10 years.'),
+ (3, 0, 'Florist: weddings, bouquets, deliveries. 10 years.'),
  (4, 0, 'the of and for'), (4, 1, NULL)
 ) AS p(profile_id, part_no, text)
 """
 
 CARD_PAGES = """
-SELECT page_id, url,
- CASE WHEN page_id % 4 = 0 THEN replace(html, '<li>', '<li data-job-id="' || CAST(500000 + page_id AS STRING) || '">')
+SELECT page_id, url, '<ul><li><a href="/home">Home</a></li></ul><MAIN class=x id=main-content>'
+ || CASE WHEN page_id % 3 = 0 THEN replace(marked, '</li>', '')
+         WHEN page_id % 3 = 1 THEN replace(replace(marked, '<li', '<LI'), '</li>', '</LI>')
+         ELSE marked END
+ || '</MAIN><ul><li>Imprint</li></ul>' AS html
+FROM (SELECT page_id, url,
+ CASE WHEN page_id % 4 = 0 THEN replace(html, '<li>', '<li data-job-id=' || CAST(500000 + page_id AS STRING) || '>')
       WHEN page_id % 4 = 1 THEN replace(html, '<li><a ', '<li><a data-job-id="' || CAST(600000 + page_id AS STRING) || '" ')
-      WHEN page_id % 4 = 2 THEN replace(html, '<a href="/', '<a href="/jobs/view/' || CAST(700000 + page_id AS STRING) || '-')
-      ELSE html END AS html
+      WHEN page_id % 4 = 2 THEN replace(html, '<a href="/', '<A HREF="/jobs/view/' || CAST(700000 + page_id AS STRING) || '-')
+      ELSE replace(html, '</a></li>', '</a><ul><li>in<b>ner</b></li></ul> tail</li>') END AS marked
+FROM {pages})
+"""
+
+CLASS_PAGES = """
+SELECT page_id, replace(replace(html, '<article>',
+ '<SECTION id=x class="clamp show-more-less-html__markup"><section>Lead</section>'), '</article>', '</SECTION>') AS html
 FROM {pages}
 """
 
@@ -78,6 +89,11 @@ SELECT 'j' || CAST(doc_id AS STRING) AS job_id, 'page' AS source,
  CASE WHEN n_chars % 7 <= 2 THEN NULL WHEN n_chars % 7 <= 4 THEN '' ELSE text END AS text
 FROM {documents}
 UNION ALL
+SELECT 'j' || CAST(doc_id AS STRING), 'page',
+ CASE WHEN n_chars % 7 = 0 OR n_chars % 7 = 5 THEN 200 ELSE 429 END,
+ CASE WHEN n_chars % 7 = 0 OR n_chars % 7 = 5 THEN 'again ' || text END
+FROM {documents} WHERE n_chars % 7 IN (0, 5, 6)
+UNION ALL
 SELECT 'j' || CAST(doc_id AS STRING), 'json',
  CASE WHEN n_chars % 5 = 0 THEN 429 ELSE 200 END,
  CASE WHEN n_chars % 5 = 0 THEN NULL WHEN n_chars % 5 = 1 THEN '' ELSE 'json ' || text END
