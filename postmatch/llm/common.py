@@ -15,6 +15,12 @@ from pyspark.sql import functions as F
 BLANKS = "[\\x20\\x09-\\x0D]+"
 
 
+#: Folders of sessions on one machine that name none.
+OWN_FOLDERS: dict[str, str] = {}
+#: Bytes of rows that are Python objects at once.
+SLICE_BYTES = 4 << 20
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -22,12 +28,14 @@ def shared_folder(spark: SparkSession) -> str:
     that unset; it then gets a temporary folder of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        named = "file://" + tempfile.mkdtemp(prefix="postmatch-llm-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a shared folder")
+    app = spark.sparkContext.applicationId
+    if app not in OWN_FOLDERS:
+        OWN_FOLDERS[app] = "file://" + tempfile.mkdtemp(prefix="postmatch-llm-")
+    return OWN_FOLDERS[app]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -52,13 +60,15 @@ def local_path(path: str) -> str:
 
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None],
                 schema: str) -> DataFrame:
-    """``work`` on every Arrow batch of ``df``; nothing is kept between batches."""
+    """``work`` on slices of the Arrow batches of ``df``; nothing is kept between them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = work(batch)
-            if out is not None and out.num_rows:
-                yield out
+            rows = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
+            for start in range(0, batch.num_rows, rows):
+                out = work(batch.slice(start, rows))
+                if out is not None and out.num_rows:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

@@ -24,8 +24,8 @@ SPACE = "▁"
 UNKNOWN = -1
 #: Longest part whose ids are remembered, and how many a generation remembers. Two
 #: generations are kept; parts in use move to the younger one.
-PART_CHARS, PARTS = 48, 200_000
-PAIRS = 500_000
+PART_CHARS, PARTS = 32, 200_000
+PAIRS = 300_000
 
 
 class PieceModel:
@@ -57,7 +57,7 @@ class PieceModel:
         self.parts = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if separable else r"(?s).+").findall
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
-        self.beside: dict[tuple[int, int], bool] = {}
+        self.beside: dict[int, bool] = {}
         self.edges: dict[int, tuple[list[str], list[str]]] = {}
         self.id_text = [str(i) for i in ids]
         self.surface = [
@@ -101,7 +101,7 @@ class PieceModel:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether ``b`` can follow ``a``; equal scores merge from the left."""
-        key = (a, b)
+        key = a << 32 | b
         got = self.beside.get(key)
         if got is None:
             if len(self.beside) >= PAIRS:
