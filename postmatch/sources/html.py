@@ -25,7 +25,10 @@ NAMED_ENTITIES = {
 }
 
 _MARK = "\x01"
-_UNSEEN = r"(?is)<(?:script\b.*?</script\s*>|style\b.*?</style\s*>|!--.*?-->|[^>]*>)"
+_UNSEEN = (
+    r"(?is)<(?:script\b.*?</script\s*>|style\b.*?</style\s*>|!--.*?-->"
+    r"""|/?[a-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*>)"""
+)
 _ANCHOR = r"""(?is)<a(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 #: Comments, scripts, tags and the texts between them, in order and whole.
 _PIECE = (
@@ -83,7 +86,7 @@ def _named(names: str) -> str:
     pattern = quoted(rf"(?i)^<(/?(?:{names}))(?=[\s/>])")
     return (
         f"filter(transform(b.p, (x, i) -> struct(i AS at, lower(regexp_extract(x, {pattern}, 1)) AS name, "
-        "x AS tag)), t -> t.name != '')"
+        "x AS tag)), t -> t.name NOT IN ('', 'script', 'style'))"
     )
 
 

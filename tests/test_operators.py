@@ -151,8 +151,8 @@ def test_blocks_pair_like_the_small_way(spark):
     left = spark.range(50).withColumnRenamed("id", "posting_id")
     right = spark.range(9).select(F.col("id").alias("profile_id"), F.lit("t").alias("text"))
     small = every_pair(left, right)
-    blocks = every_pair(left, right, max_profiles=2, slices=3)
-    tiny = every_pair(left, right, max_bytes=40, slices=2)
+    blocks = every_pair(left, right, max_profiles=2)
+    tiny = every_pair(left, right, max_bytes=40)
     pick = lambda df: rows(df.select("posting_id", "profile.profile_id"))
     assert pick(small) == pick(blocks) == pick(tiny)
     assert len(pick(small)) == 450
@@ -183,7 +183,7 @@ def test_salted_join_equals_plain_join(spark, how):
         F.when(F.col("id") < 100, F.lit("hot")).when(F.col("id") < 110, F.lit(None)).otherwise((F.col("id") % 20).cast("string")).alias("k"),
     )
     right = spark.createDataFrame([("hot", 1), ("3", 2), ("3", 3), ("none", 4)], "k string, v int")
-    salted = salted_join(left, right, "k", how=how, spread_by="posting_id", hot_rows=10, salts=5)
+    salted = salted_join(left, right, "k", how=how, spread_by="posting_id", hot_rows=10)
     assert rows(salted.select("k", "posting_id", "v")) == rows(
         left.join(right, "k", how).select("k", "posting_id", "v")
     )
@@ -197,7 +197,7 @@ def test_top_per_group_with_a_hot_group_and_ties(spark, k):
     )
     order = [F.desc("score"), F.asc("id")]
     plain = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(*order))).where(F.col("rank") <= k)
-    mine = top_per_group(df, ["g"], order, k, spread_by="id", salts=8)
+    mine = top_per_group(df, ["g"], order, k, salts=8)
     assert rows(mine.select(*plain.columns)) == rows(plain)
 
 

@@ -4,11 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from postmatch import MatchOptions, run_match, score_new_files, score_postings
-from postmatch.operators.rank import top_matches
+from postmatch.operators.rank import top_matches, top_per_profile
 from postmatch.sinks import report
 from postmatch.sinks.tables import (
-    shared_folder, staged, stamped, write_scored, write_without_clobbering,
+    shared_folder, staging, stamped, write_display, write_scored, write_without_clobbering,
 )
+from postmatch.operators.score import SCORE_COLUMNS
 from postmatch.sources.postings import POSTING_SCHEMA
 from postmatch.streaming.incremental import scored_so_far
 from tests.samples import RESUME, STRONG, WEAK
@@ -38,21 +39,86 @@ def test_shared_folder_follows_the_session(spark):
 def test_batch_run(spark, postings, parts, tmp_path):
     source, out, page = (str(tmp_path / name) for name in ("in", "out", "page"))
     postings.write.parquet(source)
-    top = run_match(spark, source, parts, out, report_path=page)
+    top = run_match(spark, source, parts, out, report_path=page, ordered=True, staging_path=str(tmp_path / "stage"))
     written = spark.read.parquet(out)
-    assert written.count() == 60
-    assert as_rows(top) == as_rows(top_matches(written))
+    assert written.count() == 60 and "job_description" not in written.columns
+    assert as_rows(top.select(*written.columns)) == as_rows(top_matches(written))
+    assert set(postings.columns) <= set(top.columns)
+    assert not list((tmp_path / "stage").iterdir())
     assert as_rows(written) == as_rows(
         score_postings(postings, parts.select("profile_id", "text")).select(*written.columns)
     )
-    html = "\n".join(r.value for r in spark.read.text(page).collect())
+    html = "\n".join(r.value for r in spark.read.text(f"{page}/profile_id=1").collect())
     assert html.count("<tr><td>") == 10 and "</a>" in html
     assert spark.read.parquet(source).count() == 60
 
 
+def test_no_profile_pushes_another_out(spark, postings, parts, tmp_path):
+    postings.write.parquet(str(tmp_path / "in"))
+    both = parts.unionAll(spark.createDataFrame([(2, 0, "pastry chef in a bakery")], parts.schema))
+    top = run_match(spark, str(tmp_path / "in"), both, str(tmp_path / "out"), report_path=str(tmp_path / "page"))
+    ranks = sorted((r.profile_id, r["rank"]) for r in top.collect())
+    assert ranks == [(p, k) for p in (1, 2) for k in range(1, 11)]
+    for p in (1, 2):
+        assert "<tr><td>" in spark.read.text(str(tmp_path / f"page/profile_id={p}")).first().value
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 120
+
+
+def test_a_run_selects_and_skips_profiles_without_text(spark, postings, parts, tmp_path):
+    timed = postings.withColumn("location", F.when(F.col("posting_id") % 2 == 0, "Here").otherwise("There")).withColumn(
+        "posted_at", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, int(posting_id))"))
+    timed.write.parquet(str(tmp_path / "in"))
+    options = MatchOptions(keyword="airflow", location="here", as_of=datetime(2024, 1, 2, 20))
+    empty = parts.unionAll(spark.createDataFrame([(3, 0, " ")], parts.schema))
+    arguments = (spark, str(tmp_path / "in"), empty, str(tmp_path / "out"), options)
+    with pytest.raises(Exception, match="no readable text in profile 3"):
+        run_match(*arguments)
+    run_match(*arguments, unreadable_path=str(tmp_path / "bad"))
+    ids = {r.posting_id for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert ids == {i for i in range(60) if i % 2 == 0 and i >= 20 and i % 3}
+    assert [r.profile_id for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == [3]
+
+
+def test_a_run_by_key(spark, postings, parts, tmp_path):
+    postings.withColumn("search", F.col("posting_id") % 3).write.parquet(str(tmp_path / "in"))
+    keyed = parts.withColumn("search", F.lit(1).cast("long"))
+    run_match(spark, str(tmp_path / "in"), keyed, str(tmp_path / "out"), key="search")
+    assert {r.posting_id % 3 for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1}
+
+
+def test_display_table_through_csv(spark, postings, parts, tmp_path):
+    scored = score_postings(postings, parts.select("profile_id", "text")).select("posting_id", "profile_id", *SCORE_COLUMNS)
+    path = str(tmp_path / "d")
+    write_display(scored, postings.withColumn("location", F.lit("x")), path, ordered=True)
+    back = spark.read.options(header="true", multiLine="true", escape='"').csv(path)
+    assert back.columns[:4] == ["Serial Number", "Job Title", "Job Link", "Job Description"]
+    assert back.count() == 60 and {"location", "ATS Score", "Missing Skills"} <= set(back.columns)
+    write_scored(scored, str(tmp_path / "c"), "csv", header="true")
+    assert spark.read.csv(str(tmp_path / "c"), header=True).count() == 60
+
+
+def test_staging_needs_a_folder_and_goes(spark, tmp_path):
+    with pytest.raises(ValueError):
+        with staging(spark, str(tmp_path)) as stage:
+            assert stage(spark.range(3)).count() == 3
+            raise ValueError
+    assert not list(tmp_path.iterdir())
+
+
+def test_rows_sent_to_a_ranking_are_few(spark):
+    df = spark.range(4000).repartition(8).selectExpr(
+        "id AS posting_id", "id % 2 AS profile_id", "double(id * 7919 % 4001) AS ats_score")
+    top = top_per_profile(df, 5)
+    top.collect()
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    sent = int(top._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit"))
+    assert sent >= 2 and top.count() == 10
+
+
 def test_written_table_is_ordered(spark, postings, parts, tmp_path):
-    scored = staged(score_postings(postings, parts.select("profile_id", "text")))
-    write_scored(scored, str(tmp_path / "o"), "json")
+    scored = score_postings(postings, parts.select("profile_id", "text"))
+    write_scored(scored, str(tmp_path / "o"), "json", ordered=True)
     files = sorted((tmp_path / "o").glob("part-*.json"))
     lines = [line for f in files for line in f.read_text().splitlines()]
     import json
@@ -67,6 +133,8 @@ def test_write_moves_aside_when_the_path_is_taken(spark, tmp_path):
     second = write_without_clobbering(spark.range(4), path, at=at)
     assert first == path and second == str(tmp_path / "t_20240506_070809.parquet")
     assert spark.read.parquet(first).count() == 3 and spark.read.parquet(second).count() == 4
+    third = write_without_clobbering(spark.range(5), path, at=at)
+    assert third == str(tmp_path / "t_20240506_070809_1.parquet") and spark.read.parquet(third).count() == 5
     assert stamped("s3a://b/x/y.csv", at) == "s3a://b/x/y_20240506_070809.csv"
     with pytest.raises(Exception):
         write_without_clobbering(spark.range(1), path, "no-such-format")
@@ -102,9 +170,11 @@ def test_incremental_equals_batch_and_reruns_change_nothing(spark, postings, par
     run()
     postings.where("posting_id >= 30").repartition(2, "posting_id").write.mode("append").parquet(source)
     run()
-    expected = score_postings(postings, profiles, MatchOptions())
+    postings.where("posting_id < 5").coalesce(1).write.mode("append").parquet(source)  # landed before
+    run()
+    expected = score_postings(postings, profiles, MatchOptions()).drop("position", "job_description")
     got = scored_so_far(spark, out)
-    assert got.select("batch_id").distinct().count() == 3
+    assert got.select("batch_id").distinct().count() == 3 and got.count() == 60
     assert as_rows(got.select(*expected.columns)) == as_rows(expected)
     run()
     assert scored_so_far(spark, out).count() == 60

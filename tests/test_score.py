@@ -71,8 +71,10 @@ def test_recommendation(one, score, missing, expected):
 def test_advice_uses_all_missing_skills_though_twelve_show(spark):
     text = "hiring with " + ", ".join(fixed.SKILLS)
     row = score_postings(posting(spark, ("", text)), profile(spark, "nothing")).first()
-    assert len(row.missing_skills) == 12
+    assert set(row.missing_skills) == set(fixed.SKILLS)
     assert row.recommendation == fixed.LOW_WITH_MISSING
+    shown = report_columns(score_postings(posting(spark, ("", text)), profile(spark, "nothing"))).first()
+    assert len(shown["Missing Skills"].split(", ")) == 12
 
 
 def test_other_weights(one):
@@ -113,7 +115,8 @@ def test_no_postings_keep_the_schema(spark):
 
 def test_report_columns(spark):
     shown = report_columns(score_postings(posting(spark, ("t", STRONG)), profile(spark, RESUME)))
-    assert shown.columns == ["Job Title", "Job Link", "Job Description", *fixed.SCORE_HEADERS.values()]
+    assert shown.columns == ["Job Title", "Job Link", "Job Description", "posting_id", "profile_id",
+                             *fixed.SCORE_HEADERS.values()]
     assert shown.first()["Matched Skills"].startswith("airflow, docker")
 
 
@@ -122,6 +125,27 @@ def test_same_text_is_fully_similar(spark):
     assert row.semantic_match == 100.0
 
 
+def test_blocks_of_profiles_give_the_same_pairs_without_shuffling_postings(spark, tmp_path):
+    postings = posting(spark, *[(f"t{i}", f"{STRONG} word{i}") for i in range(12)])
+    postings.write.parquet(str(tmp_path / "p"))
+    postings = spark.read.parquet(str(tmp_path / "p"))
+    many = profile(spark, *[f"{RESUME} word{i}" for i in range(25)])
+    whole, parts = (score_postings(postings, many, max_profiles=n) for n in (256, 4))
+    assert sorted(map(str, parts.collect())) == sorted(map(str, whole.collect()))
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange" in line and "SinglePartition" not in line]
+    assert moved == [] and "Join" not in plan
+
+
+def test_an_encoder_is_not_run_to_measure_profiles(spark):
+    class Counting(StoredVectors):
+        def encode(self, df, text, words, out):
+            refuse = F.raise_error(F.lit("encoded")).cast("array<float>")
+            return df.withColumn(out, F.when(F.col(text) != "", refuse))
+
+    score_postings(posting(spark, ("", "x")), profile(spark, "abc"), encoder=Counting("v"))
+
+
 def test_stored_vectors(spark):
     postings = posting(spark, ("", "abc"), ("", "abc"), ("", "")).withColumn(
         "v", F.when(F.col("posting_id") != 1, F.expr("array(3f, 4f)"))

@@ -1,12 +1,13 @@
 import random
-from datetime import datetime
+import time
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from postmatch.sources import descriptions, html, payloads, search
-from postmatch.sources.postings import MissingColumn, conform, read_postings
+from postmatch.sources.postings import MissingColumn, conform, read_postings, spread
 from postmatch.sources.profiles import assemble, readable, split_unreadable
 
 # --- posting tables ---------------------------------------------------------
@@ -19,6 +20,23 @@ def test_missing_path_and_columns(spark, tmp_path):
         conform(spark.createDataFrame([(1, "t")], "posting_id long, `Job Title` string"))
 
 
+def test_a_sheet_without_ids_gets_stable_ones(spark):
+    sheet = spark.createDataFrame(
+        [("1", "t", "l", "d"), ("2", "t", "l", "e"), ("3", "t", "l", "d")],
+        "`Serial Number` string, `Job Title` string, `Job Link` string, `Job Description` string")
+    ids = [r.posting_id for r in conform(sheet).orderBy("position").collect()]
+    assert ids[0] == ids[2] != ids[1] and None not in ids
+
+
+def test_spreading_runs_no_job_and_leaves_large_inputs(spark, monkeypatch):
+    small = spread(spark.range(10).withColumnRenamed("id", "posting_id"))
+    assert small.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    grouped = spark.range(10**9).groupBy((F.col("id") % 7).alias("posting_id")).count()
+    start = time.time()
+    spread(grouped)
+    assert time.time() - start < 5
+
+
 def test_headers_and_optional_columns(spark):
     table = spark.createDataFrame([(1, "d")], "posting_id long, `Job Description` string")
     row = conform(table).first()
@@ -60,6 +78,8 @@ def test_unreadable_profiles(spark):
     assert [r.profile_id for r in bad.collect()] == [2]
     with pytest.raises(Exception, match="no readable text in profile 2"):
         readable(assemble(parts)).collect()
+    with pytest.raises(Exception, match="no readable text in profile 2"):
+        readable(assemble(parts)).select("profile_id").collect()
 
 
 # --- HTML -------------------------------------------------------------------
@@ -81,12 +101,54 @@ def test_markup_text(one, markup, expected):
 
 def test_container_by_class_and_absence(one):
     page = '<div class="x">no</div><div id="q" class="a text__markup b"><p>yes</p></div>'
-    assert one(html.container_text(F.col("x"), html.element("div", "text__markup")), x=page) == "yes"
-    assert one(html.container_text(F.col("x"), html.element("div", "markup")), x=page) == ""
-    assert one(html.container_text(F.col("x"), html.element("article")), x=page) == ""
+    assert one(html.container_text(F.col("x"), html.Element("div", "text__markup")), x=page) == "yes"
+    assert one(html.container_text(F.col("x"), html.Element("div", "markup")), x=page) == ""
+    assert one(html.container_text(F.col("x"), html.Element("article")), x=page) == ""
     known = '<div class="show-more-less-html__markup clamp">a<br>b</div>'
     assert one(html.container_text(F.col("x")), x=known) == "a b"
-    assert one(html.container_text(F.col("x"), html.element("article")), x=None) == ""
+
+
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        ('<section class="show-more-less-html__markup">a</section>b', "a"),
+        ('<div class="show-more-less-html__markup"><div>a</div><p>b</p></div>c', "a b"),
+        ("<DIV CLASS=show-more-less-html__markup>k<br>l</DIV>m", "k l"),
+        ('<div class="z show-more-less-html__markup">open<div>in</div>rest', "open in rest"),
+        ('<p class="show-more-less-html__markup"><b title="a>b">x</b><!-- </p> --> y</p>z', "x  y"),
+        ("<script>'<div class=\"show-more-less-html__markup\">'</script>none", ""),
+    ],
+)
+def test_containers_are_whole_and_found_by_class(one, page, expected):
+    assert one(html.container_text(F.col("x")), x=page) == expected
+
+
+@pytest.mark.parametrize(
+    "page, scope, expected",
+    [
+        ("<ul><li>A<li>B</ul>", None, ["<li>A", "<li>B"]),
+        ("<UL><LI>A</LI></UL>", None, ["<LI>A</LI>"]),
+        ("<ul><li>Job <ul><li>x</li></ul> City</li></ul>", None,
+         ["<li>Job <ul><li>x</li></ul> City</li>", "<li>x</li>"]),
+        ("<ul><li>nav</ul><main id=main-content><p><ul><li>one</li><li>two</ul></main><ul><li>no",
+         "main-content", ["<li>one</li>", "<li>two"]),
+        ("<ol><li>x</ol><ul><li>open", None, ["<li>open"]),
+        ("<main id='main-content'><ul><li>a</main>b</li>", "main-content", ["<li>a"]),
+        ("</ul></li><ul><li>q<p>r</ul>", None, ["<li>q<p>r"]),
+        ("<li>in no list</li>", None, []),
+    ],
+)
+def test_cards(one, page, scope, expected):
+    assert one(html.cards(F.col("x"), scope), x=page) == expected
+
+
+def test_inline_elements_do_not_part_words(one):
+    card = "<li>Soft<b>ware</b><div>x</div>y<SPAN>z</SPAN>&amp;<br>w</li>"
+    assert one(html.card_text(F.col("x")), x=card) == "Software x yz& w"
+
+
+def test_container_of_no_page(one):
+    assert one(html.container_text(F.col("x"), html.Element("article")), x=None) == ""
 
 
 @pytest.mark.parametrize(
@@ -103,6 +165,8 @@ def test_container_by_class_and_absence(one):
         ('<li><a href="mailto:a@b">1</a></li>', "mailto:a@b"),
         ('<li><a href="/für dich">1</a></li>', "https://h.example/f%C3%BCr%20dich"),
         ("<li>none</li>", ""),
+        ("<li><a href=/jobs/view/1>1</a></li>", "https://h.example/jobs/view/1"),
+        ("<li><A HREF=/x class=base-card__full-link>1</A><a href='/y'>2</a></li>", "https://h.example/x"),
     ],
 )
 def test_card_link(one, card, expected):
@@ -116,6 +180,7 @@ def test_card_link(one, card, expected):
         ('<li class="c" data-job-id="12"><a data-job-id="34">', "/jobs/view/56", "12"),
         ('<li data-job-id=""><a data-job-id=" 34 ">', "/jobs/view/56", "34"),
         ('<li><a data-job-id="">', "/jobs/view/56", ""),
+        ("<LI DATA-JOB-ID=78>", "/jobs/view/56", "78"),
         ("<li><a>", "https://h/jobs/view/56?x", "56"),
         ("<li><a>", "https://h/jobs/56", ""),
     ],
@@ -130,7 +195,9 @@ def test_cards_are_capped_numbered_and_counted(spark):
         [(1, "http://h/a", page), (2, "http://h/b", "<p>none</p>"), (3, "http://h/c", None)],
         "page_id long, url string, html string",
     )
-    cards = search.card_rows(search.page_cards(pages, 100, carry=["page_id"]))
+    whole = search.page_cards(pages, carry=["page_id"], scope=None)
+    assert whole.count() == 130
+    cards = search.card_rows(search.page_cards(pages, 100, carry=["page_id"], scope=None))
     found = cards.orderBy("page_id", "position").collect()
     assert [r.position for r in found] == list(range(1, 101))
     assert {r.total_cards for r in found} == {130}
@@ -172,6 +239,14 @@ def test_recency_bound_is_inclusive_and_reaches_the_scan(spark, tmp_path):
     assert "GreaterThanOrEqual(ts" in recent._jdf.queryExecution().executedPlan().toString()
 
 
+def test_recency_with_a_zone(spark):
+    times = spark.createDataFrame([("2024-01-02 01:29:59",), ("2024-01-02 01:45:00",)], "t string")
+    as_of = datetime(2024, 1, 3, 7, tzinfo=timezone(timedelta(hours=5, minutes=30)))
+    for kind in ("timestamp_ntz", "timestamp"):
+        found = times.select(F.col("t").cast(kind).alias("ts")).where(search.posted_recently(F.col("ts"), as_of))
+        assert [str(r.ts) for r in found.collect()] == ["2024-01-02 01:45:00"]
+
+
 def test_first_rows(spark):
     df = spark.range(500).select((499 - F.col("id")).alias("position"))
     got = search.first_rows(df, 100, "position").orderBy("position").collect()
@@ -184,6 +259,9 @@ def test_blocked(spark):
     assert usable.count() == 2 and shut.count() == 1
     with pytest.raises(Exception, match="search was blocked"):
         search.fail_if_blocked(pages).collect()
+    paged = pages.withColumn("page_id", F.lit(1))
+    with pytest.raises(Exception, match="search was blocked"):
+        search.fail_if_blocked(paged).select("page_id").collect()
     assert search.fail_if_blocked(usable).count() == 2
 
 
@@ -210,6 +288,7 @@ def test_payload(one, payload, text, error, status):
 CARDS = [
     (1, "a", "ui1"), (2, "b", "ui2"), (3, "c", None), (4, "", "ui4"), (5, None, ""),
     (6, "d", "ui6"), (7, "e", "ui7"), (8, "a", "ui8"), (9, "z", "ui9"),
+    (10, "f", "ui"), (11, "g", "ui"), (12, "h", "ui"),
 ]
 FETCHED = [
     ("a", "page", 200, "page a"), ("a", "json", 200, "json a"),
@@ -218,20 +297,34 @@ FETCHED = [
     ("d", "page", 500, "error page"), ("d", "json", 403, None),
     ("e", "page", None, None), ("e", "json", None, "json e"),
     ("", "page", 200, "nobody's"),
+    ("f", "page", 429, None), ("f", "page", 200, "good page text"),
+    ("g", "page", 200, "kept"), ("g", "page", 429, None),
+    ("h", "page", 200, "b text"), ("h", "page", 200, "a text"), ("h", "page", 500, "c text"),
 ]
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 1])
-def test_description_source(spark, monkeypatch, hot_rows):
-    plain = descriptions.salted_join
-    monkeypatch.setattr(
-        descriptions, "salted_join", lambda *a, **k: plain(*a, **k, hot_rows=hot_rows, salts=3)
-    )
+def test_the_latest_attempt_counts_where_times_are_known(spark):
+    fetched = spark.createDataFrame(
+        [("a", "page", 200, "old", 1), ("a", "page", 429, None, 2), ("b", "page", 429, None, 1), ("b", "page", 200, "new", 2)],
+        "job_id string, source string, status int, text string, attempted_at int")
+    cards = spark.createDataFrame([(1, "a", "ui"), (2, "b", "ui")], "posting_id long, job_id string, ui_text string")
+    got = descriptions.attach_descriptions(cards, fetched).orderBy("posting_id").collect()
+    assert [r.job_description for r in got] == ["ui", "new"]
+
+
+def test_no_text_is_sorted_to_choose_a_description(spark):
+    cards = spark.createDataFrame(CARDS, "posting_id long, job_id string, ui_text string")
+    fetched = spark.createDataFrame(FETCHED, "job_id string, source string, status int, text string")
+    plan = descriptions.attach_descriptions(cards, fetched)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "WindowGroupLimit" in plan
+
+
+def test_description_source(spark):
     cards = spark.createDataFrame(CARDS, "posting_id long, job_id string, ui_text string")
     fetched = spark.createDataFrame(FETCHED, "job_id string, source string, status int, text string")
     got = descriptions.attach_descriptions(cards, fetched).orderBy("posting_id").collect()
     assert [(r.posting_id, r.job_description, r.description_source) for r in got] == [
         (1, "page a", "page"), (2, "ui2", "ui"), (3, "json c", "json"), (4, "ui4", "ui"),
         (5, "", "none"), (6, "ui6", "ui"), (7, "json e", "json"), (8, "page a", "page"),
-        (9, "ui9", "ui"),
+        (9, "ui9", "ui"), (10, "good page text", "page"), (11, "kept", "page"), (12, "a text", "page"),
     ]
