@@ -84,6 +84,17 @@ class Sequence:
         rest = rank - np.where(byte > 0, upto[rows, byte - 1], 0)
         return block * 64 + byte * 8 + PLACE[raw[rows, byte], rest]
 
+    def _run(self, start: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """How many ones stand from some places on, each after the zero before ``high``."""
+        word = np.asarray(self.high[np.minimum(start >> 6, len(self.high) - 1)])
+        rest = ~(word >> (start & 63).astype(np.uint64))
+        lowest = rest & (~rest + np.uint64(1))
+        run = np.bitwise_count(lowest - np.uint64(1)).astype(np.int64)
+        far = np.flatnonzero((start & 63) + run >= 64)  # it may go on in the next word
+        if len(far):
+            run[far] = self.zero(high[far]) - start[far]
+        return run
+
     def one(self, rank: np.ndarray) -> np.ndarray:
         block = np.searchsorted(self.ones, rank.astype(self.ones.dtype), side="right") - 1
         return self._inside(block, rank - self.ones[block].astype(np.int64), True)
@@ -113,8 +124,9 @@ class Sequence:
             return out
         value = value[ok]
         high = (value >> np.uint64(self.bits)).astype(np.int64)
-        lo = np.where(high > 0, self.zero(np.maximum(high - 1, 0)) - (high - 1), 0)
-        hi = self.zero(high) - high
+        start = np.where(high > 0, self.zero(np.maximum(high - 1, 0)) + 1, 0)
+        lo = start - high
+        hi = lo + self._run(start, high)
         if first is not None:
             lo, hi = np.maximum(lo, first[ok]), np.minimum(hi, end[ok])
         want = value & np.uint64((1 << self.bits) - 1)

@@ -3,13 +3,15 @@
 Level one holds every word of the training texts as its hash, in order, with its count;
 a word's place is its number. Level two holds every pair of words under its first word:
 a monotone pointer per context gives where its followers start, the followers' numbers
-are one monotone sequence, and each has its smoothed probability in eight bits. A pair is
+are one monotone sequence, and each has its discounted probability in eight bits. A pair is
 looked up by the successor of the follower's number relative to its context, between
 two pointers. The levels are files in the shared folder, cut into shards by hash; tasks
 map them into memory, so what a machine holds of them is its page cache.
 
 Words are counted in Spark and numbered; pairs are counted by each task for as many
-texts as fit its slab, packed, and summed by shard. No count is dropped.
+texts as fit its slab, packed, and summed by shard. No count is dropped. The followers of a
+frequent context would be one large group: they are dealt over all shards by their own
+numbers, and what the shards leave of such a context for single words is summed.
 
 Smoothing is absolute discounting: a shard's discount comes from its pairs seen once
 and twice, and what is taken from a context's pairs goes to the words' own distribution,
@@ -18,8 +20,11 @@ which keeps a share for unknown words.
 
 from __future__ import annotations
 
+import itertools
 import os
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmatch.functions.arrays import bind
-from postmatch.llm.common import fresh_path, local_path, lower_ascii, raw_texts, thin, words
+from postmatch.llm.common import fresh_path, local_path, raw_texts, thin
 from postmatch.llm.eliasfano import Sequence, encoded, load, save
 
 #: Stands for the end of a text, and before its first word; white space is in no word.
@@ -37,13 +41,16 @@ END = b"\n"
 SEED = 42
 #: Tokens that a slab holds at once; a longer text is a slab of its own.
 SLAB = 1 << 19
+#: Words of a shard that can be hot contexts; it would be rare that it had more.
+OFTEN = 16
 #: Shards for each shuffle partition.
 SPREAD = 4
-#: Words whose numbers a task remembers.
+#: Words that a task remembers.
 REMEMBERED = 400_000
 #: Log probabilities from 0 down to this are kept in 255 steps.
 LEAST = -10.0
 STEPS = 255
+PROBABILITIES = 10 ** (np.arange(STEPS + 1) * (LEAST / STEPS))
 SHIFT = 1 << 63
 #: Discount of single words.
 WORD_DISCOUNT = 0.5
@@ -54,18 +61,30 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 10 == 0, F.lit(False))
 
 
-def token_hash(word: bytes) -> int:
-    """The hash that Spark's ``xxhash64`` gives, moved so that its order is kept."""
-    value = xxhash.xxh64_intdigest(word, SEED)
-    return value - SHIFT if value >= SHIFT else value + SHIFT
+def token_counts(docs: DataFrame) -> DataFrame:
+    """``h, c``: how often each token of the training texts occurs, by the hash that
+    ``xxhash64`` gives. Tasks count what they read before anything is shuffled."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
 
-def token_counts(docs: DataFrame) -> DataFrame:
-    """``h, c``: how often each token of the training texts occurs."""
-    hashes = bind("p", "concat(transform(p.w, x -> xxhash64(x)), array(p.end))",
-                  w=words(lower_ascii(F.col("text"))), end=F.xxhash64(F.lit(END.decode())))
-    rows = docs.where(~held_out(F.col("doc_id"))).select(F.explode_outer(hashes).alias("h"))
-    return rows.where("h IS NOT NULL").groupBy("h").agg(F.count("*").alias("c"))
+        def flush() -> pa.RecordBatch:
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in counts), np.uint64, len(counts))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(hashes.view(np.int64)), pa.array(counts.values(), pa.int64())], ["h", "c"])
+
+        for batch in batches:
+            for raw in raw_texts(batch):
+                counts.update(raw.lower().split())
+                counts[END] += 1
+                if len(counts) > REMEMBERED:
+                    yield flush()
+                    counts.clear()
+        if counts:
+            yield flush()
+
+    rows = docs.where(~held_out(F.col("doc_id"))).select("text")
+    return rows.mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 def by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.Table]]:
@@ -86,8 +105,21 @@ def by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, p
         yield at, pa.Table.from_batches(held)
 
 
-def write_words(docs: DataFrame, folder: str, shards: int) -> tuple[list[int], int]:
-    """Writes level one; returns where each shard's numbers start, and all tokens."""
+class Model(NamedTuple):
+    """What a task needs to open the trie; ``hot`` holds frequent contexts' numbers in
+    order, and what is left of each for single words."""
+
+    folder: str
+    starts: list[int]
+    total: int
+    shards: int
+    hot: list[int] = []
+    hot_rest: list[float] = []
+
+
+def write_words(docs: DataFrame, folder: str, shards: int) -> Model:
+    """Writes level one. Words that make up more than a shard's share of all tokens are
+    hot: as contexts they are dealt over all shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in by_key(batches, "shard"):
@@ -96,27 +128,47 @@ def write_words(docs: DataFrame, folder: str, shards: int) -> tuple[list[int], i
             arrays, facts = encoded(hashes, 2**64 - 1)
             kind = np.uint32 if counts.max() < 1 << 32 else np.int64
             save(f"{folder}/words-{shard}", {**arrays, "counts": counts.astype(kind)}, facts)
+            often = np.argsort(-counts, kind="stable")[:OFTEN]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int64()), pa.array([len(counts)], pa.int64()),
-                 pa.array([int(counts.sum())], pa.int64())], ["shard", "n", "tokens"])
+                 pa.array([int(counts.sum())], pa.int64()), pa.array([often], pa.list_(pa.int64())),
+                 pa.array([counts[often]], pa.list_(pa.int64()))], ["shard", "n", "tokens", "often", "counts"])
 
     # Equal ranges of the hash, by its first 16 bits.
     counted = token_counts(docs).withColumn(
         "shard", F.expr(f"shiftright((shiftright(h, 48) + 32768) * {shards}, 16)"))
     done = counted.repartition("shard").sortWithinPartitions("shard", "h").mapInArrow(
-        run, "shard bigint, n bigint, tokens bigint").collect()  # one row per shard
+        run, "shard bigint, n bigint, tokens bigint, often array<bigint>, counts array<bigint>"
+    ).collect()  # one row per shard
     sizes = {r.shard: r.n for r in done}
-    starts = np.concatenate([[0], np.cumsum([sizes.get(k, 0) for k in range(shards)])]).tolist()
-    return [int(x) for x in starts], sum(r.tokens for r in done)
+    starts = [0, *itertools.accumulate(sizes.get(k, 0) for k in range(shards))]
+    total = sum(r.tokens for r in done)
+    hot = [starts[r.shard] + at for r in done for at, c in zip(r.often, r.counts) if c * shards > total]
+    return Model(folder, starts, total, shards, sorted(hot))
+
+
+def parts_of(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each different key with the places where it stands."""
+    order = np.argsort(keys, kind="stable")
+    edges = np.flatnonzero(np.diff(keys[order], prepend=-1, append=-1))
+    for a, b in zip(edges, edges[1:]):
+        yield int(keys[order[a]]), order[a:b]
 
 
 class Words:
-    """Level one: numbers and counts of words. Unknown words have the number ``size``."""
+    """Level one: numbers and counts of words. Unknown words have the number ``size``.
+
+    Words that were asked for stand in a table; ``local`` gives places in it.
+    """
 
     def __init__(self, folder: str, starts: list[int], total: int):
         self.folder, self.starts, self.total = folder, np.array(starts), total
         self.size, self.opened = int(starts[-1]), {}
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.number, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def shard(self, k: int) -> tuple[Sequence, np.ndarray]:
         if k not in self.opened:
@@ -125,36 +177,43 @@ class Words:
         return self.opened[k]
 
     def look_up(self, missing: list[bytes]) -> None:
-        hashes = np.array([token_hash(w) for w in missing], np.uint64)
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in missing), np.uint64, len(missing))
+        hashes ^= np.uint64(SHIFT)
+        number = np.full(len(missing), self.size, np.int64)
+        count = np.zeros(len(missing), np.int64)
         shards = ((hashes >> np.uint64(48)).astype(np.int64) * (len(self.starts) - 1)) >> 16
-        out = np.full(len(missing), self.size, np.int64)
-        for k in np.unique(shards):
+        for k, rows in parts_of(shards):
             if self.starts[k] < self.starts[k + 1]:
-                rows = np.flatnonzero(shards == k)
-                found = self.shard(int(k))[0].find(hashes[rows])
-                out[rows[found >= 0]] = found[found >= 0] + self.starts[k]
-        self.known.update(zip(missing, out.tolist()))
-
-    def numbers(self, texts: list[list[bytes]]) -> np.ndarray:
-        """The numbers of all tokens, an end after each text."""
+                sequence, counts = self.shard(k)
+                found = sequence.find(hashes[rows])
+                rows, found = rows[found >= 0], found[found >= 0]
+                number[rows], count[rows] = found + self.starts[k], counts[found]
+        self.known.update(zip(missing, range(len(self.number), len(self.number) + len(missing))))
+        self.number, self.count = np.append(self.number, number), np.append(self.count, count)
+
+    def local(self, texts: list[list[bytes]]) -> np.ndarray:
+        """Places of all tokens in the table, an end after each text."""
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        wanted = {END}.union(*texts)
-        missing = [w for w in wanted if w not in self.known]
+            self.forget()
+        missing = {END}.union(*texts).difference(self.known)
         if missing:
-            self.look_up(missing)
-        get, end = self.known.__getitem__, self.known[END]
-        total = sum(map(len, texts)) + len(texts)
-        return np.fromiter((n for t in texts for n in (*map(get, t), end)), np.int64, total)
+            self.look_up(list(missing))
+        get, end, out = self.known.__getitem__, self.known[END], []
+        for text in texts:
+            out.extend(map(get, text))
+            out.append(end)
+        return np.fromiter(out, np.int64, len(out))
+
+    def number_of(self, word: bytes) -> int:
+        self.local([[word]])
+        return int(self.number[self.known[word]])
 
     def counts(self, numbers: np.ndarray) -> np.ndarray:
         """The counts of some numbers; 0 for the unknown."""
         out = np.zeros(len(numbers), np.int64)
-        shards = np.searchsorted(self.starts, numbers, side="right") - 1
-        for k in np.unique(shards):
+        for k, rows in parts_of(np.searchsorted(self.starts, numbers, side="right") - 1):
             if k < len(self.starts) - 1:
-                rows = np.flatnonzero(shards == k)
-                out[rows] = self.shard(int(k))[1][numbers[rows] - self.starts[k]]
+                out[rows] = self.shard(k)[1][numbers[rows] - self.starts[k]]
         return out
 
 
@@ -176,9 +235,9 @@ def slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bool],
         yield ids, marks, texts
 
 
-def pairs_of(numbers: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+def pairs_of(tokens: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Each token's context and the token; the first of a text follows an end."""
-    return np.concatenate([[end], numbers[:-1]]), numbers
+    return np.concatenate([[end], tokens[:-1]]), tokens
 
 
 def packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -200,63 +259,81 @@ def first_of(shard: np.ndarray, size: int, shards: int) -> np.ndarray:
     return -(-(shard * size) // shards)
 
 
-def write_pairs(docs: DataFrame, folder: str, starts: list[int], total: int, shards: int) -> None:
-    """Writes level two."""
+def hot_index(hot: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    """Which hot context each one is, or -1."""
+    if not len(hot):
+        return np.full(len(contexts), -1, np.int64)
+    at = np.minimum(np.searchsorted(hot, contexts), len(hot) - 1)
+    return np.where(hot[at] == contexts, at, -1)
+
+
+def write_pairs(docs: DataFrame, model: Model) -> Model:
+    """Writes level two; returns the model with what is left of the hot contexts."""
+    folder, starts, total, shards, hot, _ = model
     size = starts[-1]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = Words(folder, starts, total)
+        level, often = Words(folder, starts, total), np.array(hot, np.int64)
         for _, _, texts in slabs(batches):
-            numbers = level.numbers(texts)
-            before, token = pairs_of(numbers, level.known[END])
+            places = level.local(texts)
+            before, token = (level.number[x] for x in pairs_of(places, level.known[END]))
             keys, n = np.unique(before.astype(np.uint64) * np.uint64(size) + token.astype(np.uint64),
                                 return_counts=True)
-            shard = (keys // np.uint64(size)).astype(np.int64) * shards // size
-            edges = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
+            context = (keys // np.uint64(size)).astype(np.int64)
+            follower = (keys - context.astype(np.uint64) * np.uint64(size)).astype(np.int64)
+            shard = np.where(hot_index(often, context) >= 0, follower, context) * shards // size
+            own = list(parts_of(shard))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shard[edges[:-1]]),
-                 pa.array([packed(keys[a:b], n[a:b]) for a, b in zip(edges, edges[1:])], pa.binary())],
+                [pa.array([k for k, _ in own], pa.int64()),
+                 pa.array([packed(keys[rows], n[rows]) for _, rows in own], pa.binary())],
                 ["shard", "blob"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = Words(folder, starts, total)
+        level, often = Words(folder, starts, total), np.array(hot, np.int64)
         for shard, rows in by_key(batches, "shard"):
             keys, n = (np.concatenate(x) for x in zip(*(
                 unpacked(b.as_py()) for b in rows.column("blob"))))
             order = np.argsort(keys, kind="stable")
             keys, n = keys[order], n[order]
             first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]) != 0)
-            keys, n = keys[first], np.add.reduceat(n, first)
-            write_shard(level, folder, shard, shards, keys, n)
+            left = write_shard(level, folder, shard, shards, often, keys[first], np.add.reduceat(n, first))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int64()), pa.array([len(keys)], pa.int64())], ["shard", "pairs"])
+                [pa.array(often), pa.array(left)], ["context", "rest"])
 
     rows = docs.withColumn("held_out", held_out(F.col("doc_id"))).where("NOT held_out")
-    rows.mapInArrow(count, "shard bigint, blob binary").repartition("shard").sortWithinPartitions(
-        "shard").mapInArrow(write, "shard bigint, pairs bigint").agg(F.sum("pairs")).collect()
+    left = rows.mapInArrow(count, "shard bigint, blob binary").repartition("shard").sortWithinPartitions(
+        "shard").mapInArrow(write, "context bigint, rest double").groupBy("context").agg(F.sum("rest").alias("rest"))
+    rest = {r.context: r.rest for r in left.collect()}  # one row per hot context
+    return model._replace(hot_rest=[rest.get(k, 0.0) for k in hot])
 
 
-def write_shard(level: Words, folder: str, shard: int, shards: int, keys: np.ndarray, n: np.ndarray) -> None:
+def write_shard(level: Words, folder: str, shard: int, shards: int, hot: np.ndarray,
+                keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Writes a shard's followers: of its own contexts, then of the hot ones. Returns the
+    share that the shard takes from each hot context."""
     size = level.size
     low = int(first_of(np.int64(shard), size, shards))
     contexts = int(first_of(np.int64(shard + 1), size, shards)) - low
-    context = (keys // np.uint64(size)).astype(np.int64) - low
+    context = (keys // np.uint64(size)).astype(np.int64)
+    token = keys - context.astype(np.uint64) * np.uint64(size)
+    which = hot_index(hot, context)
+    local = np.where(which >= 0, contexts + which, context - low)
+    relative = local.astype(np.uint64) * np.uint64(size) + token
+    order = np.argsort(relative, kind="stable")
+    relative, local, n = relative[order], local[order], n[order]
     once, twice = int((n == 1).sum()), int((n == 2).sum())
     discount = once / (once + 2 * twice) if once and twice else 0.5
-    pointers = np.zeros(contexts + 1, np.int64)
-    np.cumsum(np.bincount(context, minlength=contexts), out=pointers[1:])
-    before = level.counts(np.arange(low, low + contexts))[context]
-    token = keys - (context + low).astype(np.uint64) * np.uint64(size)
-    rest = discount * np.diff(pointers)[context] / before
-    prob = (n - discount) / before + rest * level_one(level.counts(token.astype(np.int64)), level)
-    step = np.clip(np.rint(np.log10(prob) / LEAST * STEPS), 0, STEPS).astype(np.uint8)
-    relative = context.astype(np.uint64) * np.uint64(size) + token
-    followers, facts = encoded(relative, contexts * size)
+    counts = level.counts(np.concatenate([np.arange(low, low + contexts), hot]))
+    step = np.clip(np.rint(np.log10((n - discount) / counts[local]) / LEAST * STEPS), 0, STEPS).astype(np.uint8)
+    pointers = np.zeros(len(counts) + 1, np.int64)
+    np.cumsum(np.bincount(local, minlength=len(counts)), out=pointers[1:])
+    followers, facts = encoded(relative, len(counts) * size)
     starts, more = encoded(pointers, len(keys))
     save(f"{folder}/pairs-{shard}",
          {**{"f." + k: v for k, v in followers.items()}, **{"p." + k: v for k, v in starts.items()},
           "step": step},
-         {"followers": facts, "pointers": more, "discount": discount, "low": low})
+         {"followers": facts, "pointers": more, "discount": discount, "low": low, "contexts": contexts})
+    return discount * np.diff(pointers)[contexts:] / np.maximum(counts[contexts:], 1)
 
 
 def level_one(counts: np.ndarray, level: Words) -> np.ndarray:
@@ -266,60 +343,82 @@ def level_one(counts: np.ndarray, level: Words) -> np.ndarray:
 
 
 class Trie:
-    def __init__(self, folder: str, starts: list[int], total: int, shards: int):
-        self.words, self.shards, self.opened = Words(folder, starts, total), shards, {}
-        self.folder = folder
+    def __init__(self, model: Model):
+        self.words, self.shards = Words(model.folder, model.starts, model.total), model.shards
+        self.hot, self.hot_rest = np.array(model.hot, np.int64), np.array(model.hot_rest)
+        self.folder, self.opened = model.folder, {}
 
     def shard(self, k: int):
         if k not in self.opened:
             path = f"{self.folder}/pairs-{k}"
-            if not os.path.exists(path):  # no context of this shard was seen
+            if not os.path.exists(path):  # no pair of this shard was seen
                 self.opened[k] = None
             else:
                 arrays, facts = load(path)
-                self.opened[k] = (Sequence(arrays, facts["followers"], "f."),
-                                  Sequence(arrays, facts["pointers"], "p."),
-                                  arrays["step"], facts["discount"], facts["low"])
+                pointers = Sequence(arrays, facts["pointers"], "p.")
+                hot = pointers.at(facts["contexts"] + np.arange(len(self.hot) + 1)).astype(np.int64)
+                self.opened[k] = (Sequence(arrays, facts["followers"], "f."), pointers,
+                                  arrays["step"], facts, hot)
         return self.opened[k]
 
-    def log_probs(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """log10 P(token | before) for arrays of numbers."""
+    def log_probs(self, before: np.ndarray, token: np.ndarray, before_counts: np.ndarray | None = None,
+                  token_counts: np.ndarray | None = None) -> np.ndarray:
+        """log10 P(token | before) for arrays of numbers; equal contexts stand together
+        for speed."""
         size = self.words.size
-        counts = self.words.counts(token)
-        out = np.log10(level_one(counts, self.words))
-        ok = np.flatnonzero(before < size)
-        seen_before = self.words.counts(before)
-        shards = before[ok] * self.shards // max(size, 1)
-        for k in np.unique(shards):
-            part = self.shard(int(k))
+        if before_counts is None:
+            before_counts, token_counts = self.words.counts(before), self.words.counts(token)
+        found, rest = np.zeros(len(token)), np.ones(len(token))
+        first_rows = np.flatnonzero(np.diff(before, prepend=-1))
+        each = np.diff(np.append(first_rows, len(before)))
+        contexts = before[first_rows]
+        which = hot_index(self.hot, contexts)
+        home = np.where((which < 0) & (contexts < size), contexts * self.shards // max(size, 1), self.shards)
+        for k, own in parts_of(home):
+            part = self.shard(k) if k < self.shards else None
             if part is None:
                 continue
-            followers, pointers, step, discount, low = part
-            rows = ok[shards == k]
-            context = before[rows] - low
-            first, end = pointers.at(context).astype(np.int64), pointers.at(context + 1).astype(np.int64)
+            context = contexts[own] - part[3]["low"]
+            first, end = (part[1].at(context + j).astype(np.int64) for j in (0, 1))
             seen = end > first
-            rest = discount * (end - first)[seen] / seen_before[rows[seen]]
-            out[rows[seen]] += np.log10(rest)
-            known = np.flatnonzero(seen & (token[rows] < size))
-            relative = context[known].astype(np.uint64) * np.uint64(size) + token[rows[known]].astype(np.uint64)
-            place = followers.find(relative, first[known], end[known])
-            hit = place >= 0
-            out[rows[known[hit]]] = step[place[hit]] * (LEAST / STEPS)
-        return out
+            own, context, first, end = own[seen], context[seen], first[seen], end[seen]
+            rows = np.repeat(first_rows[own] - (np.cumsum(each[own]) - each[own]), each[own])
+            rows += np.arange(len(rows))
+            rest[rows] = np.repeat(
+                part[3]["discount"] * (end - first) / before_counts[first_rows[own]], each[own])
+            self._followers(part, rows, token, found, *(np.repeat(x, each[own]) for x in (context, first, end)))
+        which = np.repeat(which, each)
+        rows = np.flatnonzero(which >= 0)
+        if len(rows):
+            rest[rows] = self.hot_rest[which[rows]]
+            home = np.where(token[rows] < size, token[rows] * self.shards // max(size, 1), self.shards)
+            for k, own in parts_of(home):
+                part = self.shard(k) if k < self.shards else None
+                if part is not None:
+                    asked, start = which[rows[own]], part[4]
+                    self._followers(part, rows[own], token, found, asked + part[3]["contexts"],
+                                    start[asked], start[asked + 1])
+        return np.log10(found + rest * level_one(token_counts, self.words))
+
+    def _followers(self, part, rows, token, found, context, first, end) -> None:
+        """Fills in what the pairs of some rows keep of their probability."""
+        size = self.words.size
+        known = np.flatnonzero(token[rows] < size)
+        relative = context[known].astype(np.uint64) * np.uint64(size) + token[rows[known]].astype(np.uint64)
+        place = part[0].find(relative, first[known], end[known])
+        hit = place >= 0
+        found[rows[known[hit]]] = PROBABILITIES[part[2][place[hit]]]
 
 
-def build(docs: DataFrame) -> tuple[str, list[int], int, int]:
-    """Trains on the texts that are not held out; what a task needs to open the trie."""
+def build(docs: DataFrame) -> Model:
+    """Trains on the texts that are not held out."""
     spark = docs.sparkSession
     shards = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = local_path(fresh_path(spark, "trie"))
     os.makedirs(folder)
     docs = thin(docs, "doc_id", "text")
-    starts, total = write_words(docs, folder, shards)
-    if total:
-        write_pairs(docs, folder, starts, total, shards)
-    return folder, starts, total, shards
+    model = write_words(docs, folder, shards)
+    return write_pairs(docs, model) if model.total else model
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -330,20 +429,21 @@ def scores(docs: DataFrame) -> DataFrame:
     among the single unknown word. An empty table gives an empty one.
     """
     model = build(docs)
-    total, vocabulary = model[2], model[1][-1]
+    total, vocabulary = model.total, model.starts[-1]
     rows = thin(docs, "doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(*model)
+        trie = Trie(model)
         for ids, marks, texts in slabs(batches):
-            numbers = trie.words.numbers(texts)
-            before, token = pairs_of(numbers, trie.words.known[END])
-            keys, place = np.unique(before.astype(np.uint64) * np.uint64(vocabulary + 1)
-                                    + token.astype(np.uint64), return_inverse=True)
-            width = np.uint64(vocabulary + 1)
-            logs = trie.log_probs((keys // width).astype(np.int64), (keys % width).astype(np.int64))[place] \
+            level = trie.words
+            places = level.local(texts)
+            before, token = pairs_of(places, level.known[END])
+            table = len(level.number)
+            keys, place = np.unique(before * table + token, return_inverse=True)
+            u, w = keys // table, keys % table
+            logs = trie.log_probs(level.number[u], level.number[w], level.count[u], level.count[w])[place] \
                 if total else np.zeros(len(token))
-            counts = trie.words.counts(token)
+            counts = level.count[token]
             base = np.log10((counts + 0.1) / (total + 0.1 * (vocabulary + 1)))
             sizes = np.array([len(t) + 1 for t in texts])
             at = np.cumsum(sizes) - sizes

@@ -24,8 +24,8 @@ SPACE = "▁"
 UNKNOWN = -1
 #: Longest part whose ids are remembered, and how many a generation remembers. Two
 #: generations are kept; parts in use move to the younger one.
-PART_CHARS, PARTS = 32, 200_000
-PAIRS = 300_000
+PART_CHARS, PARTS = 32, 300_000
+PAIRS = 400_000
 
 
 class PieceModel:
@@ -57,7 +57,7 @@ class PieceModel:
         self.parts = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if separable else r"(?s).+").findall
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
-        self.beside: dict[int, bool] = {}
+        self.forget_pairs()
         self.edges: dict[int, tuple[list[str], list[str]]] = {}
         self.id_text = [str(i) for i in ids]
         self.surface = [
@@ -99,19 +99,13 @@ class PieceModel:
                 self.edges[token] = (left[::-1], right[::-1])
         return self.edges[token]
 
-    def fits(self, a: int, b: int) -> bool:
-        """Whether ``b`` can follow ``a``; equal scores merge from the left."""
-        key = a << 32 | b
-        got = self.beside.get(key)
-        if got is None:
-            if len(self.beside) >= PAIRS:
-                self.beside.clear()
-            got = self.beside[key] = self.seam(a, b)
-        return got
-
-    def seam(self, a: int, b: int) -> bool:
-        if self.edge(a) is None or self.edge(b) is None:
+    def seam(self, a: int | None, b: int) -> bool:
+        """Whether ``b`` can follow ``a``; equal scores merge from the left. At a text's
+        start and after an unknown character every token can stand that merges build."""
+        if self.edge(b) is None:
             return False
+        if a is None or a == UNKNOWN:
+            return True
         xs, ys, score = self.edge(a)[1], self.edge(b)[0], self.score
         i = j = 0
         least = float("-inf")
@@ -129,36 +123,49 @@ class PieceModel:
                 j += 1
 
     def encode_part(self, part: str) -> tuple[int, ...]:
-        last: list[tuple[int, int] | None] = [None] * (len(part) + 1)
-        fits, done, at = self.fits, 0, 0
+        # What may follow the last token of each prefix; None until a prefix has one.
+        after: list[dict[int, bool] | None] = [None] * (len(part) + 1)
+        last, size = [UNKNOWN] * (len(part) + 1), [1] * (len(part) + 1)
+        after[0], anything, at = self.first, self.anything, 0
+        beside, seam = self.beside, self.seam
         for end, (token, length) in self.automaton.iter(part):
             end += 1
-            while done < end - 1:  # characters that no piece ends on
-                done += 1
-                last[done] = last[done] or (UNKNOWN, 1)
-            if at == end:
+            if end == at:
                 continue
-            before = last[end - length]
-            if end == length or before is not None and (
-                    before[0] == UNKNOWN or fits(before[0], token)):
-                if end == length and self.edge(token) is None:
-                    continue
-                last[end] = (token, length)
-                at = done = end
-        for k in range(1, len(part) + 1):
-            last[k] = last[k] or (UNKNOWN, 1)
+            while at < end - 1:  # characters that no piece ends on
+                at += 1
+                after[at] = anything
+            follows = after[end - length]
+            fits = follows.get(token)
+            if fits is None:
+                if self.pairs >= PAIRS:
+                    self.forget_pairs()
+                fits = follows[token] = seam(last[end - length] if end > length else None, token)
+                self.pairs += 1
+            if fits:
+                last[end], size[end], at = token, length, end
+                after[end] = beside.get(token)
+                if after[end] is None:
+                    after[end] = beside[token] = {}
         out: list[int] = []
         k = len(part)
         while k:
-            token, length = last[k]
+            token = last[k]
             if token == UNKNOWN:
                 raw = part[k - 1].encode()
                 out += [self.byte_id[x] for x in reversed(raw)] if self.byte_id else [self.unknown_id]
             else:
                 out.append(token)
-            k -= length
+            k -= size[k]
         return tuple(reversed(out))
 
+    def forget_pairs(self) -> None:
+        """Starts the memory of pairs anew; tables in use keep what they hold."""
+        self.beside: dict[int, dict[int, bool]] = {}
+        self.first: dict[int, bool] = {}
+        self.anything: dict[int, bool] = {}
+        self.pairs = 0
+
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text, with the end id last."""
         ids: list[int] = []

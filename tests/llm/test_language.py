@@ -57,35 +57,42 @@ def test_scores_match_brute_force(spark, monkeypatch, slab):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
-def test_every_context_sums_to_one(spark):
+def test_every_context_sums_to_one(spark, monkeypatch):
+    monkeypatch.setattr(language, "SPREAD", 16)
     docs = samples.documents(spark, n=60)
-    folder, starts, total, shards = language.build(docs)
-    trie = language.Trie(folder, starts, total, shards)
-    trie.words.numbers([[b"na", b"kurz", b"never-seen"]])
-    size = starts[-1]
+    model = language.build(docs)
+    assert model.hot
+    trie = language.Trie(model)
+    size = model.starts[-1]
     for word in (b"na", b"kurz", b"never-seen", language.END):
-        known = trie.words.known[word]
+        known = trie.words.number_of(word)
         mass = (10 ** trie.log_probs(np.full(size + 1, known), np.arange(size + 1))).sum()
         assert abs(mass - 1) < 0.03, word
 
 
-def test_pair_probabilities_match_the_formula(spark):
+@pytest.mark.parametrize("spread", [4, 16])  # with 16, some contexts are hot
+def test_pair_probabilities_match_the_formula(spark, monkeypatch, spread):
+    monkeypatch.setattr(language, "SPREAD", spread)
     rows = [r[:2] for r in samples.rows(n=60)]
     counts, pairs = model(rows)
-    folder, starts, total, shards = language.build(samples.documents(spark, n=60))
+    built = language.build(samples.documents(spark, n=60))
+    starts, total, shards = built.starts, built.total, built.shards
     assert starts[-1] == len(counts) and total == sum(counts.values())
-    trie = language.Trie(folder, starts, total, shards)
+    trie = language.Trie(built)
     names = list(counts)
-    trie.words.numbers([names])
-    number = trie.words.known
+    number = {w: trie.words.number_of(w) for w in names}
     assert sorted(number[w] for w in names) == list(range(len(names)))
     followers = Counter(u for u, _ in pairs)
     asked = list(pairs)[:400]
     logs = trie.log_probs(np.array([number[u] for u, _ in asked]), np.array([number[w] for _, w in asked]))
     single = language.level_one(np.array([counts[w] for _, w in asked]), trie.words)
+    hot = dict(zip(built.hot, built.hot_rest))
+    assert {w for w in names if counts[w] * shards > total} == {w for w in names if number[w] in hot}
     for (u, w), one, got in zip(asked, single, logs):
-        d = trie.shard(number[u] * shards // len(names))[3]
-        p = (pairs[u, w] - d) / counts[u] + d * followers[u] / counts[u] * one
+        home = number[w] if number[u] in hot else number[u]
+        d = trie.shard(home * shards // len(names))[3]["discount"]
+        rest = hot.get(number[u], d * followers[u] / counts[u])
+        p = (pairs[u, w] - d) / counts[u] + rest * one
         assert abs(math.log10(p) - got) <= 0.5 * 10 / 255 + 1e-9
 
 
