@@ -58,17 +58,23 @@ def local_path(path: str) -> str:
     return os.path.abspath(path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], times: int = 1) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about ``times`` SLICE_BYTES; a larger row is one of its own."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * SLICE_BYTES * times // max(batch.nbytes, 1))
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None],
                 schema: str) -> DataFrame:
     """``work`` on slices of the Arrow batches of ``df``; nothing is kept between them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
-            for start in range(0, batch.num_rows, rows):
-                out = work(batch.slice(start, rows))
-                if out is not None and out.num_rows:
-                    yield out
+        for part in slices(batches):
+            out = work(part)
+            if out is not None and out.num_rows:
+                yield out
 
     return df.mapInArrow(run, schema)
 

@@ -9,7 +9,7 @@ two pointers. The levels are files in the shared folder, cut into shards by hash
 map them into memory, so what a machine holds of them is its page cache.
 
 Words are counted in Spark and numbered; pairs are counted by each task for as many
-texts as fit its slab, packed, and summed by shard. No count is dropped. The followers of a
+texts as fit a slice of its input, packed, and summed by shard. No count is dropped. The followers of a
 frequent context would be one large group: they are dealt over all shards by their own
 numbers, and what the shards leave of such a context for single words is summed.
 
@@ -22,25 +22,23 @@ from __future__ import annotations
 
 import itertools
 import os
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmatch.llm.common import fresh_path, local_path, raw_texts, thin
+from postmatch.llm.common import fresh_path, local_path, slices, thin
 from postmatch.llm.eliasfano import Sequence, encoded, load, save
 
 #: Stands for the end of a text, and before its first word; white space is in no word.
 END = b"\n"
 SEED = 42
-#: Tokens that a slab holds at once; a longer text is a slab of its own.
-SLAB = 1 << 19
 #: Words of a shard that can be hot contexts; it would be rare that it had more.
 OFTEN = 16
 #: Shards for each shuffle partition.
@@ -61,27 +59,38 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 10 == 0, F.lit(False))
 
 
+def tokens_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """All tokens of a batch as places in a list of its different words, an end after
+    each text; the tokens of each text; and that list.
+
+    Arrow's ASCII functions lower-case A-Z and cut at ``[\\x20\\x09-\\x0D]`` alone.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(batch.column("text"), "")))
+    words = lists.flatten()
+    full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    text = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))[full]
+    coded = words.filter(pa.array(full)).dictionary_encode()
+    known = [*coded.dictionary.cast(pa.binary()).to_pylist(), END]
+    places = np.full(len(text) + len(lists), len(known) - 1, np.int64)
+    places[np.arange(len(text)) + text] = coded.indices.to_numpy(zero_copy_only=False)
+    return places, np.bincount(text, minlength=len(lists)) + 1, known
+
+
+def hashed(words: list[bytes]) -> np.ndarray:
+    """The hashes that Spark's ``xxhash64`` gives, as unsigned numbers."""
+    return np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
-    """``h, c``: how often each token of the training texts occurs, by the hash that
-    ``xxhash64`` gives. Tasks count what they read before anything is shuffled."""
+    """``h, c``: how often each token of the training texts occurs, by its hash. Tasks
+    count what they read before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in counts), np.uint64, len(counts))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(hashes.view(np.int64)), pa.array(counts.values(), pa.int64())], ["h", "c"])
-
-        for batch in batches:
-            for raw in raw_texts(batch):
-                counts.update(raw.lower().split())
-                counts[END] += 1
-                if len(counts) > REMEMBERED:
-                    yield flush()
-                    counts.clear()
-        if counts:
-            yield flush()
+        for batch in slices(batches, 2):
+            places, _, known = tokens_of(batch)
+            counts = np.bincount(places, minlength=len(known))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hashed(known).view(np.int64)), pa.array(counts)], ["h", "c"])
 
     rows = docs.where(~held_out(F.col("doc_id"))).select("text")
     return rows.mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
@@ -156,19 +165,11 @@ def parts_of(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 class Words:
-    """Level one: numbers and counts of words. Unknown words have the number ``size``.
-
-    Words that were asked for stand in a table; ``local`` gives places in it.
-    """
+    """Level one: numbers and counts of words. Unknown words have the number ``size``."""
 
     def __init__(self, folder: str, starts: list[int], total: int):
         self.folder, self.starts, self.total = folder, np.array(starts), total
         self.size, self.opened = int(starts[-1]), {}
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.number, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def shard(self, k: int) -> tuple[Sequence, np.ndarray]:
         if k not in self.opened:
@@ -176,11 +177,11 @@ class Words:
             self.opened[k] = Sequence(arrays, facts), arrays["counts"]
         return self.opened[k]
 
-    def look_up(self, missing: list[bytes]) -> None:
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in missing), np.uint64, len(missing))
-        hashes ^= np.uint64(SHIFT)
-        number = np.full(len(missing), self.size, np.int64)
-        count = np.zeros(len(missing), np.int64)
+    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers and counts of some words."""
+        hashes = hashed(words) ^ np.uint64(SHIFT)
+        number = np.full(len(words), self.size, np.int64)
+        count = np.zeros(len(words), np.int64)
         shards = ((hashes >> np.uint64(48)).astype(np.int64) * (len(self.starts) - 1)) >> 16
         for k, rows in parts_of(shards):
             if self.starts[k] < self.starts[k + 1]:
@@ -188,25 +189,10 @@ class Words:
                 found = sequence.find(hashes[rows])
                 rows, found = rows[found >= 0], found[found >= 0]
                 number[rows], count[rows] = found + self.starts[k], counts[found]
-        self.known.update(zip(missing, range(len(self.number), len(self.number) + len(missing))))
-        self.number, self.count = np.append(self.number, number), np.append(self.count, count)
-
-    def local(self, texts: list[list[bytes]]) -> np.ndarray:
-        """Places of all tokens in the table, an end after each text."""
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        missing = {END}.union(*texts).difference(self.known)
-        if missing:
-            self.look_up(list(missing))
-        get, end, out = self.known.__getitem__, self.known[END], []
-        for text in texts:
-            out.extend(map(get, text))
-            out.append(end)
-        return np.fromiter(out, np.int64, len(out))
+        return number, count
 
     def number_of(self, word: bytes) -> int:
-        self.local([[word]])
-        return int(self.number[self.known[word]])
+        return int(self.look_up([word])[0][0])
 
     def counts(self, numbers: np.ndarray) -> np.ndarray:
         """The counts of some numbers; 0 for the unknown."""
@@ -217,24 +203,6 @@ class Words:
         return out
 
 
-def slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bool], list[list[bytes]]]]:
-    """Ids, held-out marks and lower-case words of as many texts as fit a slab."""
-    ids, marks, texts, size = [], [], [], 0
-    for batch in batches:
-        for doc, out, raw in zip(batch.column("doc_id").to_pylist(),
-                                 batch.column("held_out").to_pylist(), raw_texts(batch)):
-            own = raw.lower().split()
-            if texts and size + len(own) > SLAB:
-                yield ids, marks, texts
-                ids, marks, texts, size = [], [], [], 0
-            ids.append(doc)
-            marks.append(out)
-            texts.append(own)
-            size += len(own) + 1
-    if texts:
-        yield ids, marks, texts
-
-
 def pairs_of(tokens: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Each token's context and the token; the first of a text follows an end."""
     return np.concatenate([[end], tokens[:-1]]), tokens
@@ -274,9 +242,10 @@ def write_pairs(docs: DataFrame, model: Model) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, often = Words(folder, starts, total), np.array(hot, np.int64)
-        for _, _, texts in slabs(batches):
-            places = level.local(texts)
-            before, token = (level.number[x] for x in pairs_of(places, level.known[END]))
+        for batch in slices(batches, 2):
+            places, _, known = tokens_of(batch)
+            number, _ = level.look_up(known)
+            before, token = (number[x] for x in pairs_of(places, len(known) - 1))
             keys, n = np.unique(before.astype(np.uint64) * np.uint64(size) + token.astype(np.uint64),
                                 return_counts=True)
             context = (keys // np.uint64(size)).astype(np.int64)
@@ -434,23 +403,21 @@ def scores(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(model)
-        for ids, marks, texts in slabs(batches):
-            level = trie.words
-            places = level.local(texts)
-            before, token = pairs_of(places, level.known[END])
-            table = len(level.number)
-            keys, place = np.unique(before * table + token, return_inverse=True)
-            u, w = keys // table, keys % table
-            logs = trie.log_probs(level.number[u], level.number[w], level.count[u], level.count[w])[place] \
+        for batch in slices(batches, 2):
+            places, sizes, known = tokens_of(batch)
+            number, count = trie.words.look_up(known)
+            before, token = pairs_of(places, len(known) - 1)
+            keys, place = np.unique(before * len(known) + token, return_inverse=True)
+            u, w = keys // len(known), keys % len(known)
+            logs = trie.log_probs(number[u], number[w], count[u], count[w])[place] \
                 if total else np.zeros(len(token))
-            counts = level.count[token]
+            counts = count[token]
             base = np.log10((counts + 0.1) / (total + 0.1 * (vocabulary + 1)))
-            sizes = np.array([len(t) + 1 for t in texts])
             at = np.cumsum(sizes) - sizes
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(marks, pa.bool_()), pa.array(sizes, pa.int64()),
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(sizes),
                  pa.array(np.add.reduceat((counts > 0).astype(np.int64), at)),
-                 pa.array(np.full(len(ids), total, np.int64)),
+                 pa.array(np.full(len(sizes), total, np.int64)),
                  pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(logs, at))],
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

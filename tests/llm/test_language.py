@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from postmatch.llm import eliasfano, language
+from postmatch.llm import common, eliasfano, language
 from tests.llm import odd_tables as samples
 
 
@@ -40,9 +40,9 @@ def model(rows):
     return counts, pairs
 
 
-@pytest.mark.parametrize("slab", [300, language.SLAB])
-def test_scores_match_brute_force(spark, monkeypatch, slab):
-    monkeypatch.setattr(language, "SLAB", slab)
+@pytest.mark.parametrize("width", [500, common.SLICE_BYTES])
+def test_scores_match_brute_force(spark, monkeypatch, width):
+    monkeypatch.setattr(common, "SLICE_BYTES", width)
     rows = [r[:2] for r in samples.rows(n=60)]
     counts, pairs = model(rows)
     total, size = sum(counts.values()), len(counts)
