@@ -15,6 +15,7 @@ uses nothing of a document but its text.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,7 +37,7 @@ PASSAGE = 4
 LONG = 24
 THRESHOLD = 0.3
 #: Words whose ratio a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 FEATURES = ("overall", "passage", "worst")
 #: No word speaks more than this against a toxic text; odd spellings are not a virtue.
 FLOOR = -1.0
@@ -111,36 +112,39 @@ class Ratios:
         self.seen, self.fall, self.known = seen, fall, {}
 
     @classmethod
-    def fitted(cls, counts: list[tuple[str, int, int]]) -> Ratios:
-        by_class = [levels({p: r[k] for p, *r in counts if r[k]}) for k in (0, 1)]
-        both = levels({p: a + b for p, a, b in counts})
-        rare = {p for p, a, b in counts if len(p) == ORDER and a + b < LEAST}
-        letters = len(both[1]) + 1
-        total = sum(both[1].values()) or 1
+    def fitted(cls, counts: dict[str, tuple[int, int]]) -> Ratios:
+        both = levels({p: a + b for p, (a, b) in counts.items()})
+        rare = {p for p, (a, b) in counts.items() if len(p) == ORDER and a + b < LEAST}
+        (prob, rest), (toxic, left) = (cls._class(counts, k, both, rare) for k in (0, 1))
+        seen = {p: math.log(toxic[p] / x) for p, x in prob.items()}
+        fall = {h: math.log(left.get(h, 1.0) / rest.get(h, 1.0)) for h in rest.keys() | left.keys()}
+        return cls(seen, fall)
+
+    @classmethod
+    def _class(cls, counts, kind: int, both, rare: set[str]) -> tuple[dict[str, float], dict[str, float]]:
+        """Probability of every window that is not rare, in one class, and the share
+        that each context leaves to the shorter one."""
+        single = levels({p: n[kind] for p, n in counts.items() if n[kind]})
+        letters, total = len(both[1]) + 1, sum(both[1].values()) or 1
         spare = DISCOUNT * len(both[1]) / total
-        prob = [{p: (n - DISCOUNT) / total + spare / letters for p, n in both[1].items()}] * 2
-        prob = [dict(prob[0]), dict(prob[1])]
-        unknown = max(spare, 1e-9) / letters
-        rest: list[dict[str, float]] = [{}, {}]
+        prob = {p: (n - DISCOUNT) / total + spare / letters for p, n in both[1].items()}
+        unknown, rest = max(spare, 1e-9) / letters, {}
         for size in range(2, ORDER + 1):
-            for k in (0, 1):
-                own = both[size] if size <= SHARED else by_class[k][size]
-                totals, kept = Counter(), Counter()
-                for p, n in own.items():
-                    totals[p[:-1]] += n
-                    if p not in rare:
-                        kept[p[:-1]] += n - DISCOUNT
-                for h, t in totals.items():
-                    rest[k][h] = 1 - kept[h] / t
-                for p in both[size]:
-                    if p in rare:
-                        continue
-                    h, low = p[:-1], cls._lower(prob[k], rest[k], p[1:], unknown)
-                    t = totals.get(h)
-                    prob[k][p] = (max(own.get(p, 0) - DISCOUNT, 0) / t + rest[k][h] * low) if t else low
-        seen = {p: math.log(prob[1][p] / prob[0][p]) for p in prob[0]}
-        fall = {h: math.log(rest[1].get(h, 1.0) / rest[0].get(h, 1.0)) for h in rest[0].keys() | rest[1].keys()}
-        return cls(seen, fall)
+            own = both[size] if size <= SHARED else single[size]
+            totals, kept = Counter(), Counter()
+            for p, n in own.items():
+                totals[p[:-1]] += n
+                if p not in rare:
+                    kept[p[:-1]] += n - DISCOUNT
+            for h, t in totals.items():
+                rest[h] = 1 - kept[h] / t
+            for p in both[size]:
+                if p in rare:
+                    continue
+                h, low = p[:-1], cls._lower(prob, rest, p[1:], unknown)
+                t = totals.get(h)
+                prob[p] = (max(own.get(p, 0) - DISCOUNT, 0) / t + rest[h] * low) if t else low
+        return prob, rest
 
     @staticmethod
     def _lower(prob, rest, part: str, unknown: float) -> float:
@@ -201,11 +205,11 @@ def curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 class Shipped:
     """A broadcast model, opened once by each Python worker."""
 
-    opened: dict[int, Ratios] = {}
+    opened: dict[str, Ratios] = {}
 
     def __init__(self, spark, ratios: Ratios):
         packed = [(list(d), np.fromiter(d.values(), np.float32, len(d))) for d in (ratios.seen, ratios.fall)]
-        self.sent, self.key = spark.sparkContext.broadcast(packed), id(packed)
+        self.sent, self.key = spark.sparkContext.broadcast(packed), uuid.uuid4().hex
 
     def open(self) -> Ratios:
         if self.key not in Shipped.opened:
@@ -234,8 +238,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     """
     spark = docs.sparkSession
     rows = training_rows(docs, labels, per_class)
-    counts = [tuple(r) for r in window_counts(rows).toPandas().itertuples(index=False)]
+    found = window_counts(rows).toArrow()
+    counts = dict(zip(found["part"].to_pylist(), zip(found["ordinary"].to_pylist(), found["toxic"].to_pylist())))
+    del found
     shipped = Shipped(spark, Ratios.fitted(counts))
+    del counts
     checked = with_features(rows.where("check").select("text", "toxic"), shipped, "toxic", "int").toPandas()
     y = checked["toxic"].to_numpy(float)
     if len(set(y)) == 2:

@@ -51,7 +51,7 @@ def test_ratios_are_those_of_proper_distributions():
     for kind, word, n in ((0, "bada", 5), (0, "bado", 3), (1, "gruk", 4), (1, "bada", 1), (0, "x", 2)):
         for part in toxicity.letter_windows(word):
             counts.setdefault(part, [0, 0])[kind] += n
-    ratios = toxicity.Ratios.fitted([(p, *n) for p, n in counts.items()])
+    ratios = toxicity.Ratios.fitted({p: tuple(n) for p, n in counts.items()})
     assert ratios.word(b"gruk") > 1 > 0 > ratios.word(b"bado")
     assert abs(ratios.word(b"zzz")) < 1
 
