@@ -1,18 +1,35 @@
-"""Quality rules: simple counts and compression bands."""
+"""Quality rules: simple counts and compression bands.
+
+How far clean text compresses depends on its length more than on anything else, so the
+limits come from the documents themselves: the quartiles of the ratio over all texts of
+a length class that pass the counts, with a margin of some quartile ranges. Up to a
+quarter of a class can be junk at either end without moving its limits much.
+"""
 
 from __future__ import annotations
 
+import bisect
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from postmatch.llm.common import map_batches, raw_texts, thin
+from postmatch.llm.common import map_batches, raw_texts, staged, thin
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
+#: Bytes from which a length class starts: two classes for each doubling.
+CLASSES = [0, *sorted([64 << k for k in range(15)] + [96 << k for k in range(14)])]
+#: Texts that a class needs for limits of its own.
+ENOUGH = 100
+#: Quartile ranges below the lower and above the upper quartile that still pass, and
+#: the least quartile range as a share of the quartiles' mean.
+MARGINS, LEAST_RANGE = (3.5, 2.5), 0.015
+#: Digits of a ratio in quantiles, so that they are exact and few values are counted.
+DIGITS = 3
 
 
 @dataclass(frozen=True)
@@ -21,8 +38,10 @@ class Bands:
 
     ``whole`` holds (bytes from which it applies, least, most) in falling order: short
     texts compress worse, so their band is wider. Every full chunk of ``chunk_bytes``
-    has its own band; a document fails when more than ``odd_share`` of at least
-    ``least_chunks`` chunks lie outside.
+    has its own band, and the rest behind them the band of a text of its length; a
+    document fails when chunks with more than ``odd_share`` of its bytes, out of at
+    least ``least_chunks`` chunks, lie outside. The limits given here hold where too
+    few documents tell narrower ones.
     """
 
     level: int = 3
@@ -33,6 +52,9 @@ class Bands:
     least_chunks: int = 2
     odd_share: float = 0.5
 
+    def limits(self, n_bytes: int) -> tuple[float, float]:
+        return next((a, b) for size, a, b in self.whole if n_bytes >= size)
+
 
 def repeated(words: list[bytes]) -> int:
     """Words inside a 5-word window that occurs twice or more."""
@@ -60,54 +82,128 @@ def ratio(raw: bytes, squeeze) -> float:
     return len(raw) / len(squeeze(raw)) if raw else 1.0
 
 
+def ratios(raw: bytes, bands: Bands, squeeze) -> tuple[float, list[float]]:
+    """Ratio of the whole and of its chunks, the last of which may be shorter."""
+    size = bands.chunk_bytes
+    return ratio(raw, squeeze), [ratio(raw[k:k + size], squeeze) for k in range(0, len(raw), size)]
+
+
+def verdict(n_bytes: int, whole: float, chunks: list[float], bands: Bands) -> tuple[float, bool]:
+    """Share of the bytes that lie in odd chunks, and whether all is in its bands."""
+    least, most = bands.limits(n_bytes)
+    odd = 0
+    for k, value in enumerate(chunks):
+        size = min(bands.chunk_bytes, n_bytes - k * bands.chunk_bytes)
+        low, high = bands.chunk if size == bands.chunk_bytes else bands.limits(size)
+        odd += 0 if low <= value <= high else size
+    share = odd / n_bytes if n_bytes else 0.0
+    return share, least <= whole <= most and (len(chunks) < bands.least_chunks or share <= bands.odd_share)
+
+
 def compression(raw: bytes, bands: Bands, squeeze) -> tuple[float, float, bool]:
     """Ratio of the whole, share of odd chunks, and whether both are in their bands."""
-    whole = ratio(raw, squeeze)
-    least, most = next((a, b) for size, a, b in bands.whole if len(raw) >= size)
-    size = bands.chunk_bytes
-    chunks = [raw[k:k + size] for k in range(0, len(raw) - size + 1, size)]
-    odd = sum(not bands.chunk[0] <= ratio(c, squeeze) <= bands.chunk[1] for c in chunks)
-    share = odd / len(chunks) if chunks else 0.0
-    return whole, share, least <= whole <= most and (
-        len(chunks) < bands.least_chunks or share <= bands.odd_share)
+    whole, chunks = ratios(raw, bands, squeeze)
+    return whole, *verdict(len(raw), whole, chunks, bands)
 
 
 FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
           "base_failed", "ratio", "odd_chunks", "kept")
 
 
-def judged(raw: bytes, bands: Bands, squeeze) -> tuple:
+def counted(raw: bytes) -> tuple:
+    """The counts, and whether they make the text fail."""
     words = raw.split()
     again = repeated(words)
-    failed = len(words) < 10 or 100 * again > 20 * len(words)
-    whole, odd, fine = compression(raw, bands, squeeze)
     return (len(words), code_points(b"".join(words)), len(raw) - len(raw.translate(None, SYMBOLS)),
-            repeated_lines(raw), again, failed, whole, odd, fine and not failed)
+            repeated_lines(raw), again, len(words) < 10 or 100 * again > 20 * len(words))
+
+
+def judged(raw: bytes, bands: Bands, squeeze) -> tuple:
+    counts = counted(raw)
+    whole, odd, fine = compression(raw, bands, squeeze)
+    return *counts, whole, odd, fine and not counts[-1]
+
+
+COUNTS = ("n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
+          "n_repeat_words bigint, base_failed boolean, ratio double")
+KINDS = [pa.int64()] * 5 + [pa.bool_(), pa.float64()]
+
+
+def measured(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
+    """``doc_id`` with its counts, size, length class and ratios, one row per document."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        squeeze = zstandard.ZstdCompressor(level=bands.level).compress
+        rows = []
+        for raw in raw_texts(batch):
+            whole, chunks = ratios(raw, bands, squeeze)
+            rows.append((*counted(raw), whole, chunks, len(raw), CLASSES[bisect.bisect(CLASSES, len(raw)) - 1]))
+        columns = list(zip(*rows)) if rows else [()] * 10
+        kinds = [*KINDS, pa.list_(pa.float64()), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), *map(pa.array, columns, kinds)],
+            ["doc_id", *FIELDS[:7], "chunks", "n_bytes", "size_from"])
+
+    return map_batches(
+        thin(docs, "doc_id", "text"), work,
+        f"doc_id bigint, {COUNTS}, chunks array<double>, n_bytes bigint, size_from bigint")
+
+
+def fitted_bands(found: DataFrame, bands: Bands = Bands()) -> Bands:
+    """``bands`` made narrower where the measured documents tell how clean text lies.
+
+    Documents that fail by their counts tell nothing, and a class of fewer than ENOUGH
+    others keeps its limits. Full chunks are a class of their own.
+    """
+    passed = found.where("NOT base_failed")
+    full = passed.select(
+        F.lit(-1).cast("bigint").alias("size_from"),
+        F.explode(F.expr(f"slice(chunks, 1, int(n_bytes div {bands.chunk_bytes}))")).alias("ratio"))
+    quartiles = (
+        passed.select("size_from", "ratio").unionAll(full)
+        .groupBy("size_from", F.round("ratio", DIGITS).alias("ratio")).agg(F.count("*").alias("n"))
+        .groupBy("size_from").agg(F.sum("n").alias("n"), F.percentile("ratio", [0.25, 0.75], F.col("n")).alias("q"))
+        .where(F.col("n") >= ENOUGH).collect())
+    told = {}
+    for r in quartiles:
+        low, high = r.q
+        spread = max(high - low, LEAST_RANGE * (low + high) / 2)
+        told[r.size_from] = low - MARGINS[0] * spread, high + MARGINS[1] * spread
+
+    def narrower(key: int, least: float, most: float) -> tuple[float, float]:
+        low, high = told.get(key, (least, most))
+        return max(least, low), min(most, high)
+
+    starts = sorted({*CLASSES, *(size for size, _, _ in bands.whole)}, reverse=True)
+    return replace(
+        bands, chunk=narrower(-1, *bands.chunk),
+        whole=tuple((s, *narrower(CLASSES[bisect.bisect(CLASSES, s) - 1], *bands.limits(s))) for s in starts))
 
 
 def quality(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     """``doc_id`` with its counts, compression figures, ``base_failed`` and ``kept``.
 
     A null text counts as empty: no words, so it fails. A null id is carried along,
-    equal rows give equal rows, and an empty table gives an empty one.
+    equal rows give equal rows, and an empty table gives an empty one. ``bands`` are
+    narrowed by the documents of the table.
     """
+    found = staged(measured(docs, bands), "measured")
+    bands = fitted_bands(found, bands)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        squeeze = zstandard.ZstdCompressor(level=bands.level).compress
-        rows = [judged(raw, bands, squeeze) for raw in raw_texts(batch)]
-        columns = list(zip(*rows)) if rows else [()] * len(FIELDS)
-        kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
+        rows = [verdict(*r, bands) for r in zip(
+            *(batch.column(c).to_pylist() for c in ("n_bytes", "ratio", "chunks")))]
+        failed = batch.column("base_failed").to_pylist()
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *map(pa.array, columns, kinds)], ["doc_id", *FIELDS])
+            [*(batch.column(c) for c in ("doc_id", *FIELDS[:7])), pa.array([r[0] for r in rows], pa.float64()),
+             pa.array([r[1] and not f for r, f in zip(rows, failed)], pa.bool_())], ["doc_id", *FIELDS])
 
-    return map_batches(
-        thin(docs, "doc_id", "text"), work,
-        "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
-        "n_repeat_words bigint, base_failed boolean, ratio double, odd_chunks double, kept boolean")
+    return map_batches(found, work, f"doc_id bigint, {COUNTS}, odd_chunks double, kept boolean")
 
 
 def good_documents(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     """The rows of ``docs``, all columns, whose text is kept."""
+    bands = fitted_bands(staged(measured(docs, bands), "measured"), bands)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         squeeze = zstandard.ZstdCompressor(level=bands.level).compress

@@ -44,3 +44,32 @@ def test_rejected_documents_go(spark):
     want = sorted(repr(r.doc_id) for r in quality.quality(docs).where("kept").collect())
     assert sorted(repr(r.doc_id) for r in kept.collect()) == want
     assert quality.quality(samples.empty(spark)).count() == 0
+
+
+def test_bands_alone_reject_what_the_base_passes(spark):
+    rng = random.Random(3)
+    vocabulary = [samples.word(rng) for _ in range(4000)]
+    prose = [samples.prose(rng, rng.randint(300, 340), vocabulary) for _ in range(240)]
+    prose += [samples.prose(rng, 60, vocabulary)[:200] for _ in range(240)]
+    long = [samples.prose(rng, 2200, vocabulary) for _ in range(30)]
+    few = vocabulary[:12]
+    repetitive = [" ".join(rng.choice(few) for _ in range(500))[:n] for n in (1600, 200)]
+    noise = [" ".join("".join(chr(rng.randrange(33, 127)) for _ in range(5)) for _ in range(400))[:n] for n in (1600, 200)]
+    odd = repetitive + noise
+    texts = prose + long + odd
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r for r in quality.quality(docs).collect()}
+    first = len(prose) + len(long)
+    assert all(got[k].kept for k in range(first))
+    assert not any(got[k].base_failed for k in range(first, len(texts)))
+    assert not any(got[k].kept for k in range(first, len(texts)))
+    kept = {r.doc_id for r in quality.good_documents(docs).collect()}
+    assert kept == {k for k, r in got.items() if r.kept}
+
+
+def test_the_last_partial_chunk_counts():
+    squeeze, bands, rng = zstandard.ZstdCompressor(level=3).compress, quality.Bands(), random.Random(1)
+    clean = samples.prose(rng, 3000).encode()[:4096]
+    noise = bytes(rng.randrange(33, 127) for _ in range(4000))
+    share = quality.compression(clean + noise, bands, squeeze)[1]
+    assert share == 4000 / 8096
