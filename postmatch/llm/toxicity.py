@@ -8,8 +8,11 @@ passage of a few words and its most toxic word. A logistic curve, fitted on trai
 rows that the models have not seen, turns the three into a score.
 
 The models are fitted on a bounded sample of labelled rows: ``per_class`` of each
-class, chosen by a hash of the id. Rows held out are never among them, and a score
-uses nothing of a document but its text.
+class, chosen by a hash of the id. Where that bound cuts a class, its rows weigh as many
+as they stand for in the curve, so scores follow the classes' shares among all labels.
+The counts that the classes share need no weights: those that add up rows have the same
+probability in both classes and cancel, and the others count different letters. Rows
+held out are never in the sample, and a score uses nothing of a document but its text.
 """
 
 from __future__ import annotations
@@ -49,8 +52,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """``text, toxic, check`` of the sample; every fourth row checks the models."""
+def sampled(labels: DataFrame, per_class: int = PER_CLASS) -> tuple[DataFrame, tuple[float, float]]:
+    """``doc_id, toxic, turn`` of the sample, and the labelled rows of each class that
+    one of its rows in the sample stands for."""
     known = (
         labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
@@ -59,11 +63,21 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
     for kind in (0, 1):
         part = known.where(F.col("toxic") == kind).orderBy("turn", "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionAll(part)
-    chosen = staged(chosen, "chosen")  # at most twice per_class rows of three numbers
+    total = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    weights = tuple(max(1.0, total.get(kind, 0) / per_class) for kind in (0, 1))
+    return staged(chosen, "chosen"), weights  # at most twice per_class rows of three numbers
+
+
+def rows_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return thin(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
         "text", "toxic", (F.pmod("turn", F.lit(4)) == 0).alias("check"))
 
 
+def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+    """``text, toxic, check`` of the sample; every fourth row checks the models."""
+    return rows_of(docs, sampled(labels, per_class)[0])
+
+
 def letter_windows(word: str) -> Iterator[str]:
     """The window that ends at each letter, and at the end of the word."""
     marked = START + word + END
@@ -188,14 +202,18 @@ class Ratios:
         return float(found.mean()), float((sums[k:] - sums[:-k]).max() / k), float(found.max())
 
 
-def curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Weights of a logistic curve over the features and one, by Newton's method."""
+def curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, share: np.ndarray | None = None) -> np.ndarray:
+    """Weights of a logistic curve over the features and one, by Newton's method.
+
+    Rows count in proportion to ``share``, all together as often as they are.
+    """
     x = np.column_stack([x, np.ones(len(x))])
+    share = np.ones(len(x)) if share is None else share / share.mean()
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + ridge * np.eye(len(w)),
-                               x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((x.T * (share * p * (1 - p))) @ x + ridge * np.eye(len(w)),
+                               x.T @ (share * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -237,7 +255,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     zero without any.
     """
     spark = docs.sparkSession
-    rows = training_rows(docs, labels, per_class)
+    chosen, weights_of = sampled(labels, per_class)
+    rows = rows_of(docs, chosen)
     found = window_counts(rows).toArrow()
     counts = dict(zip(found["part"].to_pylist(), zip(found["ordinary"].to_pylist(), found["toxic"].to_pylist())))
     del found
@@ -246,7 +265,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     checked = with_features(rows.where("check").select("text", "toxic"), shipped, "toxic", "int").toPandas()
     y = checked["toxic"].to_numpy(float)
     if len(set(y)) == 2:
-        *weights, base = map(float, curve(checked[list(FEATURES)].to_numpy(), y))
+        *weights, base = map(float, curve(
+            checked[list(FEATURES)].to_numpy(), y, share=np.array(weights_of)[y.astype(int)]))
         mark = sum((F.lit(w) * F.col(f) for w, f in zip(weights, FEATURES)), F.lit(base))
         score = 1 / (1 + F.exp(-mark))
     else:

@@ -60,3 +60,15 @@ def test_without_labels(spark):
     docs, labels, _ = labelled(spark, 12)
     assert {r.score for r in toxicity.toxicity(docs, labels.where("false")).collect()} == {0.0}
     assert toxicity.toxicity(docs.where("false"), labels).count() == 0
+
+
+def test_a_cut_class_keeps_its_share(spark):
+    rng = random.Random(2)
+    vocabulary = [samples.word(rng) for _ in range(300)]
+    docs = spark.createDataFrame(
+        [(k, samples.prose(rng, 20, vocabulary)) for k in range(1600)], "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(k, int(k % 8 == 0)) for k in range(1600)], "doc_id bigint, toxic int")
+    # Texts tell nothing here, so a score can be no other than the toxic share of all labels.
+    got = toxicity.toxicity(docs, labels, 160).where("held_out").collect()
+    assert 0.06 < np.mean([r.score for r in got]) < 0.22
+    assert np.mean([r.predicted for r in got]) < 0.1
