@@ -8,6 +8,10 @@ the largest such number of its class cannot all be missing: a contained item alw
 shares a sketch hash with the document. Documents too small to hold an item of that
 size are left out. Candidates are then verified on the shingles themselves.
 
+An item of fewer than WIDTH words is one shingle of its own length, while longer texts
+have shingles of WIDTH words only: such an item is found in texts that consist of just
+its words, never inside a longer one.
+
 Only SQL functions are used. Documents are read once for each block of sketches and
 once to verify; what is shuffled is pairs, and the texts of the documents that are
 joined with the candidates.
