@@ -4,7 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmatch.llm import decontaminate, language, pages, pieces, pii, quality, shards, simhash, substrings, toxicity
+from postmatch.llm import (
+    decontaminate,
+    language,
+    pages,
+    periodic,
+    pieces,
+    pii,
+    quality,
+    shards,
+    simhash,
+    substrings,
+    toxicity,
+)
 
 #: The file of the merge-type model, found by the tokenizer package where it is installed.
 PIECES = "piece_bpe_32k.model"
@@ -62,6 +74,10 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.scores(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_pii": op2_pii,
@@ -73,6 +89,7 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_decontamination": op9_decontamination,
     "op10_language_model": op10_language_model,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {"op9_decontamination": decontaminate.ORACLE}
