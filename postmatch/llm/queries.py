@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from postmatch.llm import (
     decontaminate,
     language,
+    negatives,
     pages,
     periodic,
     pieces,
@@ -78,6 +79,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(negatives.whole_rows(table(spark, sf_dir, "embeddings"), relabel=7))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_pii": op2_pii,
@@ -90,6 +95,10 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_language_model": op10_language_model,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
-ORACLES: dict[str, str] = {"op9_decontamination": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {
+    "op9_decontamination": decontaminate.ORACLE,
+    "op12_hard_negatives": negatives.ORACLE,
+}
