@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from postmatch.llm import (
+    chat,
     decontaminate,
     language,
     negatives,
@@ -83,6 +84,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(negatives.whole_rows(table(spark, sf_dir, "embeddings"), relabel=7))
 
 
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_digests(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_pii": op2_pii,
@@ -96,9 +101,11 @@ QUERIES = {
     "op10_language_model": op10_language_model,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_chat_formatting": op13_chat_formatting,
 }
 
 ORACLES: dict[str, str] = {
     "op9_decontamination": decontaminate.ORACLE,
     "op12_hard_negatives": negatives.ORACLE,
+    "op13_chat_formatting": chat.ORACLE,
 }
