@@ -15,6 +15,8 @@ from postmatch.sources.profiles import assemble, readable, split_unreadable
 from postmatch.sources.search import matches_search, posted_recently
 
 THIN = ("posting_id", "profile_id", "job_title", "job_link")
+#: Ranked rows that are sent to every task, at most; a row has some 500 bytes.
+MOST_RANKED = 50_000
 
 
 def selected(postings: DataFrame, options: MatchOptions) -> DataFrame:
@@ -41,9 +43,14 @@ def scored_rows(postings: DataFrame, profiles: DataFrame, options: MatchOptions,
     return scored.select(*THIN, *SCORE_COLUMNS)
 
 
-def top_rows(scored: DataFrame, postings: DataFrame, k: int) -> DataFrame:
-    """The best ``k`` of every profile with their rank and all raw columns."""
-    return with_postings(top_per_profile(scored, k), postings)
+def top_rows(scored: DataFrame, postings: DataFrame, k: int, profiles: int | None = None) -> DataFrame:
+    """The best ``k`` of every profile with their rank and all raw columns.
+
+    The number of ``profiles`` bounds the ranked rows. Within :data:`MOST_RANKED` they
+    travel to the postings, beyond it both sides are joined by id.
+    """
+    few = profiles is not None and profiles * k <= MOST_RANKED
+    return with_postings(top_per_profile(scored, k), postings, few=few)
 
 
 def run_match(spark: SparkSession, postings_path: str, profile_parts: DataFrame,
@@ -65,7 +72,9 @@ def run_match(spark: SparkSession, postings_path: str, profile_parts: DataFrame,
     ``unreadable_path`` their ids are written there and the others go on.
     """
     options = options or MatchOptions()
-    postings = selected(read_postings(spark, postings_path, format, **reading), options)
+    def postings(to_score: bool) -> DataFrame:
+        return selected(read_postings(spark, postings_path, format, to_score=to_score, **reading), options)
+
     profiles = assemble(profile_parts)
     if unreadable_path:
         profiles, empty = split_unreadable(profiles)
@@ -76,12 +85,13 @@ def run_match(spark: SparkSession, postings_path: str, profile_parts: DataFrame,
         profiles = profiles.join(
             profile_parts.select("profile_id", key).distinct(), "profile_id")
     with staging(spark, staging_path) as stage:
-        scored = scored_rows(postings, profiles, options, encoder, key, stage)
+        scored = scored_rows(postings(to_score=True), profiles, options, encoder, key, stage)
         write_scored(stage(scored) if ordered else scored, out_path, ordered=ordered)
     written = spark.read.parquet(out_path)
+    raw = postings(to_score=False)
     if display_path:
-        write_display(written, postings, display_path, display_format, ordered=ordered)
-    top = top_rows(written, postings, options.top_matches)
+        write_display(written, raw, display_path, display_format, ordered=ordered)
+    top = top_rows(written, raw, options.top_matches, profiles.count())
     if report_path:
         write_reports(top, report_path, options.top_matches)
     return top

@@ -21,6 +21,8 @@ POSTING_SCHEMA = T.StructType(
 )
 REQUIRED = ("job_description",)
 OPTIONAL_TEXT = ("job_title", "job_link")
+#: Where a row lies: its file and its number there.
+PLACE = "_place"
 
 
 class MissingColumn(ValueError):
@@ -70,15 +72,27 @@ def spread(df: DataFrame, key: str = "posting_id") -> DataFrame:
 
 def read_postings(spark: SparkSession, path: str, format: str = "parquet", *,
                   schema: T.StructType | None = None,
-                  names: Mapping[str, str] | None = None, **options) -> DataFrame:
+                  names: Mapping[str, str] | None = None, to_score: bool = True,
+                  **options) -> DataFrame:
     """Read a posting table; a path that does not exist is Spark's own error.
 
     Text formats need their columns spelled out and default to
     :data:`POSTING_SCHEMA`; Parquet and ORC carry their own.
+
+    Rows to score are spread over all cores. Rows to look up stay in their scan tasks, and
+    Parquet's have their place as one more column :data:`PLACE`.
     """
     reader = spark.read.format(format).options(**options)
     if schema is not None:
         reader = reader.schema(schema)
     elif format in ("csv", "json"):
         reader = reader.schema(POSTING_SCHEMA)
-    return spread(conform(reader.load(path), names))
+    loaded = reader.load(path)
+    if to_score:
+        return spread(conform(loaded, names))
+    return conform(placed(loaded) if format == "parquet" else loaded, names)
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """A table as Parquet files hold it, with the place of each row."""
+    return df.withColumn(PLACE, F.struct("_metadata.file_path", "_metadata.row_index"))

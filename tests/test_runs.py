@@ -1,3 +1,5 @@
+import re
+import time
 from datetime import datetime
 
 import pytest
@@ -7,7 +9,7 @@ from postmatch import MatchOptions, run_match, score_new_files, score_postings
 from postmatch.operators.rank import top_matches, top_per_profile
 from postmatch.sinks import report
 from postmatch.sinks.tables import (
-    shared_folder, staging, stamped, write_display, write_scored, write_without_clobbering,
+    shared_folder, staging, stamped, with_postings, write_display, write_scored, write_without_clobbering,
 )
 from postmatch.operators.score import SCORE_COLUMNS
 from postmatch.sources.postings import POSTING_SCHEMA
@@ -105,15 +107,77 @@ def test_staging_needs_a_folder_and_goes(spark, tmp_path):
     assert not list(tmp_path.iterdir())
 
 
+def exchanged_rows(df):
+    """Rows that each exchange of an executed plan wrote."""
+    nodes, found = [df._jdf.queryExecution().executedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            nodes.append(node.executedPlan())
+        elif "QueryStage" in name:
+            nodes.append(node.plan())
+        elif name == "Exchange":
+            found.append(node.metrics().apply("shuffleRecordsWritten").value())
+        children = node.children()
+        nodes += [children.apply(k) for k in range(children.size())]
+    return found
+
+
 def test_rows_sent_to_a_ranking_are_few(spark):
     df = spark.range(4000).repartition(8).selectExpr(
         "id AS posting_id", "id % 2 AS profile_id", "double(id * 7919 % 4001) AS ats_score")
     top = top_per_profile(df, 5)
-    top.collect()
-    plan = top._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
-    sent = int(top._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit"))
-    assert sent >= 2 and top.count() == 10
+    assert len(top.collect()) == 10
+    spread, *ranking = sorted(exchanged_rows(top), reverse=True)
+    # From each of eight tasks five rows of each of two profiles, at most.
+    assert spread == 4000 and ranking and max(ranking) <= 8 * 5 * 2
+
+
+def moved_columns(df):
+    """Columns that an exchange or a sort of the plan carries."""
+    text = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    parts = re.findall(r"\(\d+\) (?:Exchange|Sort|SortAggregate)\b[^\n]*\nInput \[\d+\]: \[([^\n]*)\]", text)
+    return {re.sub(r"#.*", "", name) for part in parts for name in part.split(", ")}
+
+
+def test_top_rows_move_no_texts(spark, postings, parts, tmp_path):
+    source = str(tmp_path / "in")
+    twice = postings.unionAll(postings.where("posting_id % 5 = 1").withColumn("job_title", F.lit("again")))
+    twice.write.parquet(source)
+    top = run_match(spark, source, parts, str(tmp_path / "out"))
+    moved = moved_columns(top)
+    assert "ats_score" in moved and "posting_id" in moved
+    assert "job_description" not in moved
+    rows = top.collect()
+    assert len(rows) == 10 and all(r.job_description for r in rows)
+
+
+def test_a_posting_listed_twice_shows_the_same_row_in_any_order(spark, postings, parts):
+    other = postings.where("posting_id < 9").withColumns(
+        {"job_title": F.lit("other"), "job_description": F.concat("job_description", F.lit(" more"))})
+    scored = score_postings(postings, parts.select("profile_id", "text")).select("posting_id", "profile_id", *SCORE_COLUMNS)
+    shown = [
+        as_rows(with_postings(scored, both.repartition(n, "job_title"), few=few))
+        for both, n in ((postings.unionAll(other), 1), (other.unionAll(postings), 5)) for few in (False, True)]
+    assert len(shown[0]) == 60 and all(x == shown[0] for x in shown)
+
+
+def test_writers_at_once_keep_their_tables_apart(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    for turn in range(4):
+        path = str(tmp_path / f"t{turn}.parquet")
+        with ThreadPoolExecutor(4) as pool:
+            paths = list(pool.map(lambda n: write_without_clobbering(spark.range(n), path), range(1000, 1004)))
+        assert len(set(paths)) == 4 and path in paths
+        assert [spark.read.parquet(p).count() for p in paths] == list(range(1000, 1004))
+
+
+def test_a_closed_folder_stops_the_writer_with_its_reason(spark, tmp_path):
+    (tmp_path / "file").write_text("no folder")
+    with pytest.raises(Exception):
+        write_without_clobbering(spark.range(1), str(tmp_path / "file" / "t.parquet"))
 
 
 def test_written_table_is_ordered(spark, postings, parts, tmp_path):
@@ -148,11 +212,11 @@ def test_report(spark):
         )
         return report.report(top).first().html
 
-    linked = page([(1, 1, "A & B", "https://h/jobs/view/123", 88.5, ["selenium", "python"], "Strong match.")])
-    assert '<a href="https://h/jobs/view/123">A &amp; B</a>' in linked
-    assert "<td>88.5%</td><td>selenium, python</td>" in linked
+    linked = page([(1, 1, "Cut & Sew", "https://h/o/9041?x=1&y=2", 61.25, ["linux", "airflow"], "Go on.")])
+    assert '<a href="https://h/o/9041?x=1&amp;y=2">Cut &amp; Sew</a>' in linked
+    assert "<td>61.25%</td><td>linux, airflow</td>" in linked
     for link in ("", "  ", None, "javascript:alert(1)"):
-        plain = page([(1, 1, "A", link, 88.5, [], "x")])
+        plain = page([(1, 1, "A", link, 7.0, [], "x")])
         assert "<a href=" not in plain and "<td>A</td>" in plain
     assert "No jobs were available for scoring." in page([])
     many = page([(i, 1, f"T{i}", "", float(i), [], "x") for i in range(5)])
@@ -178,6 +242,27 @@ def test_incremental_equals_batch_and_reruns_change_nothing(spark, postings, par
     assert as_rows(got.select(*expected.columns)) == as_rows(expected)
     run()
     assert scored_so_far(spark, out).count() == 60
+    # Nothing of the earlier batches is read again: a run goes on without them.
+    (tmp_path / "out").rename(tmp_path / "moved")
+    postings.where("posting_id < 7").withColumn("posting_id", F.col("posting_id") + 58).coalesce(1).write.mode("append").parquet(source)
+    run()
+    assert sorted(r.posting_id for r in scored_so_far(spark, out).collect()) == [60, 61, 62, 63, 64]
+    assert list((tmp_path / "memory" / "state").rglob("*.zip"))
+
+
+def test_a_posting_counts_anew_after_its_retention(spark, postings, parts, tmp_path):
+    source, out, memory = (str(tmp_path / name) for name in ("in", "out", "memory"))
+
+    def landed(ids):
+        postings.where(F.col("posting_id").isin(ids)).coalesce(1).write.mode("append").parquet(source)
+        score_new_files(
+            spark, source, parts.select("profile_id", "text"), out, memory, retention="2 seconds").awaitTermination()
+        return sorted(r.posting_id for r in scored_so_far(spark, out).collect())
+
+    assert landed([1, 2]) == [1, 2]
+    time.sleep(5)
+    assert landed([3]) == [1, 2, 3]  # the batch's time moves on, and with it what is forgotten
+    assert landed([1, 3])[:2] == [1, 1]
 
 
 def plan(df):
