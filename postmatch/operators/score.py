@@ -135,6 +135,10 @@ def score_pairs(pairs: DataFrame, options: MatchOptions) -> DataFrame:
             weighted_score({name: F.col(name) for name in fixed.WEIGHTS}, options.weights)
         ),
     )
+    if options.flag_semantic_errors:
+        # Two texts, but no vector of one of them: its 0 says nothing about the texts.
+        scored = scored.withColumn("semantic_error", has_text & (profile["text"] != "") & (
+            F.col("_vector").isNull() | profile["vector"].isNull()))
     return scored.withColumns(
         {
             "missing_skills": F.col("_missing"),
@@ -167,8 +171,9 @@ def score_postings(postings: DataFrame, profiles: DataFrame,
         pairs = keyed_pairs(left, right, key, size=size)
     else:
         pairs = every_pair(left, right, size=size, max_profiles=max_profiles, stage=stage)
+    flags = ["semantic_error"] if options.flag_semantic_errors else []
     return score_pairs(pairs, options).select(
-        *postings.columns, "profile_id", *SCORE_COLUMNS
+        *postings.columns, "profile_id", *SCORE_COLUMNS, *flags
     )
 
 

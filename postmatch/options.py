@@ -18,7 +18,9 @@ class MatchOptions:
 
     ``stop_words=None`` takes Spark's own English list. ``keyword``, ``location`` and
     ``as_of`` select a run's postings where they are set; ``card_cap`` limits the cards
-    that are read from a page.
+    that are read from a page. ``match_mode`` tells where a skill is found: as a
+    ``"substring"`` anywhere, or as whole ``"token"`` s. ``flag_semantic_errors`` adds a
+    column that tells texts no vector was made of from texts that are unlike.
     """
 
     skills: tuple[str, ...] = fixed.SKILLS
@@ -34,6 +36,12 @@ class MatchOptions:
     keyword: str = ""
     location: str = ""
     as_of: datetime | None = None
+    match_mode: str = "substring"
+    flag_semantic_errors: bool = False
+
+    def __post_init__(self):
+        if self.match_mode not in ("substring", "token"):
+            raise ValueError(f"match_mode is 'substring' or 'token', not {self.match_mode!r}")
 
     def stop_list(self) -> list[str]:
         if self.stop_words is None:

@@ -40,7 +40,7 @@ def scored_rows(postings: DataFrame, profiles: DataFrame, options: MatchOptions,
                 encoder=None, key: str | None = None, stage=None) -> DataFrame:
     """One thin row per pair: ids, title, link and scores. Texts stay where they are."""
     scored = score_postings(postings, profiles, options, encoder, key, stage)
-    return scored.select(*THIN, *SCORE_COLUMNS)
+    return scored.select(*THIN, *scored.columns[scored.columns.index(SCORE_COLUMNS[0]):])
 
 
 def top_rows(scored: DataFrame, postings: DataFrame, k: int, profiles: int | None = None) -> DataFrame:

@@ -8,7 +8,10 @@ options, so the SQL states rules, not copies of them.
 from __future__ import annotations
 
 import re
+from pathlib import Path
+from zipfile import ZipFile
 
+import pyspark
 from pyspark.ml.feature import StopWordsRemover
 
 from postmatch import fixed
@@ -78,9 +81,18 @@ def _markup(x: str) -> str:
     return _strip(_decoded(f"regexp_replace({marked}, '\\x01+', ' ', 'g')"))
 
 
+def _stop_words() -> list[str]:
+    """Spark's own English list. It is read from Spark's library where that is at hand,
+    since asking Spark takes a session and the SQL is text alone."""
+    for jar in Path(pyspark.__file__).parent.glob("jars/spark-mllib_*.jar"):
+        with ZipFile(jar) as files:
+            return files.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split()
+    return StopWordsRemover.loadDefaultStopWords("english")
+
+
 def _steps() -> dict[str, str]:
     """Named steps; a step may use those before it."""
-    stop = _list(StopWordsRemover.loadDefaultStopWords("english"))
+    stop = _list(_stop_words())
     skills = _list(sorted(fixed.SKILLS))
     education = _list(sorted(fixed.EDUCATION_TERMS))
     words = f"regexp_extract_all({{}}, '{fixed.TOKEN_PATTERN}')"
@@ -104,6 +116,8 @@ def _steps() -> dict[str, str]:
     )
     steps = {
         "posting": tables.over_views(tables.POSTINGS),
+        "vocabulary": tables.over_views(tables.VOCABULARY),
+        "text_with_part": tables.over_views(tables.TEXTS_WITH_PARTS),
         "part_of_profile": tables.over_views(tables.PROFILE_PARTS),
         "profile_text": (
             f"SELECT profile_id, {_strip('string_agg(coalesce(text, %s), chr(10) ORDER BY part_no)' % _quoted(''))} AS text "
@@ -335,6 +349,20 @@ def _finals() -> dict[str, str]:
         "percentage": f"SELECT l_orderkey, l_linenumber, {_pct('l_linenumber - 1', 'l_quantity - 1')} AS pct FROM lineitem",
         "list_join": f"SELECT posting_id, {_joined(words)} AS joined FROM p0",
         "skill_extraction": f"SELECT posting_id, {_joined('sk')} AS skills FROM p",
+        "skill_tokens": (
+            f"SELECT posting_id, {_joined('list_filter(%s, lambda s: contains(words, concat(chr(32), s, chr(32))))' % _list(sorted(fixed.SKILLS)))} AS skills "
+            f"FROM (SELECT posting_id, ' ' || array_to_string({words}, ' ') || ' ' AS words FROM p0)"
+        ),
+        "large_vocabulary": (
+            f"SELECT id, {_joined('found')} AS terms FROM (SELECT id, list_sort(list_filter((SELECT list(DISTINCT term) FROM vocabulary "
+            "WHERE term <> ''), lambda t: contains(text, t))) AS found FROM text_with_part) WHERE len(found) > 0"
+        ),
+        "large_vocabulary_tokens": (
+            "SELECT id, string_agg(term, ', ' ORDER BY term) AS terms FROM (SELECT DISTINCT term, "
+            f"' ' || array_to_string(regexp_extract_all(term, '{fixed.TOKEN_PATTERN}'), ' ') || ' ' AS sought FROM vocabulary) v "
+            f"JOIN (SELECT id, ' ' || array_to_string(regexp_extract_all(text, '{fixed.TOKEN_PATTERN}'), ' ') || ' ' AS words FROM text_with_part) d "
+            "ON contains(words, sought) WHERE trim(sought) <> '' GROUP BY id"
+        ),
         "skill_sets": f"SELECT posting_id, profile_id, {_joined('matched')} AS matched, {_joined('missing')} AS missing, {_joined('missing[1:12]')} AS shown FROM compared",
         "skill_match": f"SELECT posting_id, profile_id, {_pct('len(matched)', 'len(sk)')} AS skill_match FROM compared",
         "term_freq": "SELECT posting_id, token, n, first_pos::INT AS first_pos FROM term",

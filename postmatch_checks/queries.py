@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmatch.functions import numbers, text
-from postmatch.operators import features, keywords, rank, skills
+from postmatch.operators import features, keywords, rank, skills, vocabulary
 from postmatch.operators.pairing import every_pair, keyed_pairs
 from postmatch.operators.score import (
     posting_features,
@@ -320,6 +320,34 @@ def skill_extraction(spark, sf_dir):
     )
 
 
+@query
+def skill_tokens(spark, sf_dir):
+    """Skills that match whole tokens: "excellent" is no "excel"."""
+    options = MatchOptions(match_mode="token")
+    normal = text.normalise(F.col("job_description"))
+    return tables.postings(spark, sf_dir).select(
+        "posting_id", text.comma_list(skills.skills_in(normal, options)).alias("skills"))
+
+
+def _vocabulary(spark, sf_dir, find):
+    texts = spread(tables.derive(spark, sf_dir, tables.TEXTS_WITH_PARTS), "id")
+    found = find(texts, tables.derive(spark, sf_dir, tables.VOCABULARY))
+    return found.groupBy("id").agg(F.array_sort(F.collect_list("term")).alias("terms")).select(
+        "id", _joined("terms"))
+
+
+@query
+def large_vocabulary(spark, sf_dir):
+    """Every document against a term per part, and some more."""
+    return _vocabulary(spark, sf_dir, vocabulary.terms_in)
+
+
+@query
+def large_vocabulary_tokens(spark, sf_dir):
+    """The same where terms have to match whole tokens."""
+    return _vocabulary(spark, sf_dir, vocabulary.tokens_in)
+
+
 def _skill_pairs(spark, sf_dir):
     theirs, ours = F.col("_skills"), F.col("profile.skills")
     return (

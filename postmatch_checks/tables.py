@@ -55,6 +55,20 @@ SELECT CAST(profile_id AS BIGINT) AS profile_id, part_no, text FROM (VALUES
 ) AS p(profile_id, part_no, text)
 """
 
+VOCABULARY = """
+SELECT lower(p_name) || '-' || CAST(p_partkey AS STRING) AS term FROM {part}
+UNION ALL SELECT lower(p_name) FROM {part}
+UNION ALL SELECT lower(p_type) FROM {part}
+UNION ALL SELECT lower(p_brand) || ' ' || lower(p_type) || ' ' || CAST(p_size AS STRING) FROM {part}
+UNION ALL SELECT 'c' UNION ALL SELECT 'the' UNION ALL SELECT ''
+"""
+
+TEXTS_WITH_PARTS = """
+SELECT doc_id AS id, lower(text) || ' for ' || lower(p_name) || '-' || CAST(p_partkey AS STRING)
+ || CASE WHEN doc_id % 3 = 0 THEN ', ' || lower(p_brand) || ' ' || lower(p_type) || ' ' || CAST(p_size AS STRING) ELSE '' END AS text
+FROM {documents} JOIN {part} ON p_partkey = doc_id % 150
+"""
+
 CARD_PAGES = """
 SELECT page_id, url, '<ul><li><a href="/home">Home</a></li></ul><MAIN class=x id=main-content>'
  || CASE WHEN page_id % 3 = 0 THEN replace(marked, '</li>', '')
@@ -135,7 +149,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run one of the texts above over the supplied tables."""
-    names = ("documents", "supplier", "pages", "events")
+    names = ("documents", "supplier", "pages", "events", "part")
     used = {n: table(spark, sf_dir, n) for n in names if "{" + n + "}" in sql}
     text = sql
     if used.keys() == {"events"}:  # JSON braces would clash with placeholders
@@ -146,7 +160,7 @@ def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 def over_views(sql: str) -> str:
     """The same text over plain view names."""
-    for name in ("documents", "supplier", "pages", "events"):
+    for name in ("documents", "supplier", "pages", "events", "part"):
         sql = sql.replace("{" + name + "}", name)
     return sql.strip()
 

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.ml.feature import StopWordsRemover
 
 import __spark_entry__ as entry_points
 from postmatch_checks import compare, oracle
@@ -25,5 +26,9 @@ def test_query_equals_its_sql(spark, sf_dir, con, texts, name):
     assert compare.differences(spark, con, name, texts[name], sf_dir) == []
 
 
+def test_sql_needs_no_session(spark):
+    assert oracle._stop_words() == StopWordsRemover.loadDefaultStopWords("english")
+
+
 def test_entry(spark, sf_dir):
     assert entry_points.entry(spark).count() == 10

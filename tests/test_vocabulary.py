@@ -1,0 +1,103 @@
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from postmatch import MatchOptions, fixed, score_postings
+from postmatch.operators.semantic import ModelEncoder
+from postmatch.operators.skills import skills_in
+from postmatch.operators.vocabulary import keyed, terms_in, tokens_in
+from postmatch.sources.postings import POSTING_SCHEMA
+
+TEXTS = ["excellent digital taste; rest, api and c++ 11", "excel git rest api", "", None, "aaaaaa aaaaab", "äöü ünïcode \U0001f600x",
+         "line\nbreak over here", "ab" * 4000 + "needle" + "ba" * 4000]
+TERMS = ["excel", "git", "rest api", "c", "c++", "aaaaa", "aaaab", "aaaaaa aaaaab", "\U0001f600x", "öü ün", "e\nbrea", "needle",
+         "ababababababab", "absent term", "", None, "git", "x" * 300, "t", "11"]
+
+
+def frames(spark, texts, terms):
+    return (spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3),
+            spark.createDataFrame([(t,) for t in terms], "term string"))
+
+
+def pairs(df):
+    return sorted(map(tuple, df.collect()))
+
+
+@pytest.mark.parametrize("more", [{}, {"size": 3}, {"size": 1}, {"max_bytes": 120}])
+def test_terms_match_a_plain_search(spark, more):
+    texts, terms = frames(spark, TEXTS, TERMS)
+    want = sorted((k, t) for k, text in enumerate(TEXTS) if text for t in {x for x in TERMS if x} if t in text)
+    assert pairs(terms_in(texts, terms, **more)) == want
+
+
+def test_random_terms_match_a_plain_search(spark):
+    rng = random.Random(4)
+    some = ["".join(rng.choices("abc ", k=rng.randint(0, 60))) for _ in range(60)]
+    sought = ["".join(rng.choices("abc ", k=rng.randint(1, 9))) for _ in range(400)]
+    texts, terms = frames(spark, some, sought)
+    assert pairs(terms_in(texts, terms)) == sorted((k, t) for k, x in enumerate(some) for t in set(sought) if t in x)
+
+
+def test_whole_tokens(spark):
+    texts, terms = frames(spark, TEXTS, TERMS)
+
+    def words(text):
+        found = re.findall(fixed.TOKEN_PATTERN, text or "")
+        return f" {' '.join(found)} " if found else None
+
+    want = sorted((k, t) for k, x in enumerate(TEXTS) if words(x) for t in {y for y in TERMS if y and words(y)} if words(t) in words(x))
+    assert pairs(tokens_in(texts, terms)) == want
+    assert (0, "excel") not in want and (1, "excel") in want
+
+
+def test_a_key_is_the_gram_that_fewest_terms_share(spark):
+    _, terms = frames(spark, [], ["aaaaab", "aaaaac", "aaaaa", "abc"])
+    got = dict(pairs(keyed(terms)))
+    assert got == {"aaaaab": "aaaab", "aaaaac": "aaaac", "aaaaa": "aaaaa", "abc": "abc"}
+
+
+def test_no_term_or_no_text(spark):
+    texts, terms = frames(spark, TEXTS, [])
+    assert pairs(terms_in(texts, terms)) == []
+    texts, terms = frames(spark, [], TERMS)
+    assert pairs(terms_in(texts, terms)) == []
+
+
+def test_texts_are_neither_exchanged_nor_compared_with_every_term(spark, tmp_path):
+    texts, terms = frames(spark, TEXTS, TERMS)
+    texts.write.parquet(str(tmp_path / "t"))
+    found = terms_in(spark.read.parquet(str(tmp_path / "t")), terms)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "BroadcastHashJoin" in plan
+    main = plan.split("BroadcastExchange")[0]
+    assert "Generate explode" in main and "Exchange hash" not in main
+
+
+def test_skills_in_token_mode(spark):
+    text = "excellent digital taste; rest, api and ci/cd. excel git"
+    both = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(
+        skills_in(F.col("t"), MatchOptions()).alias("a"), skills_in(F.col("t"), MatchOptions(match_mode="token")).alias("b"))
+    first, *none = both.collect()
+    assert first.a == ["api", "ci/cd", "excel", "git"] and first.b == ["api", "excel", "git", "rest api"]
+    assert [r.b for r in none] == [[], []]
+    with pytest.raises(ValueError):
+        MatchOptions(match_mode="word")
+
+
+def test_refused_texts_are_told_from_unlike_ones(spark):
+    def load():
+        def vectors(texts):
+            if any("refuse" in t for t in texts):
+                raise ValueError
+            return [[1.0, 0.0] if "left" in t else [0.0, 1.0] for t in texts]
+        return vectors
+
+    postings = spark.createDataFrame(
+        [(1, 1, "", "", "left"), (2, 2, "", "", "right"), (3, 3, "", "", "refuse"), (4, 4, "", "", "")], POSTING_SCHEMA)
+    profiles = spark.createDataFrame([(1, "left")], "profile_id long, text string")
+    got = score_postings(postings, profiles, MatchOptions(flag_semantic_errors=True), ModelEncoder(load))
+    assert {r.posting_id: (r.semantic_match, r.semantic_error) for r in got.collect()} == {
+        1: (100.0, False), 2: (0.0, False), 3: (0.0, True), 4: (0.0, False)}
+    assert "semantic_error" not in score_postings(postings, profiles).columns
