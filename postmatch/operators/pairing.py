@@ -38,10 +38,11 @@ def table_size(df: DataFrame) -> tuple[int, int]:
 
 def every_pair(postings: DataFrame, profiles: DataFrame, *, size: tuple[int, int] | None = None,
                max_profiles: int = MAX_PROFILES, max_bytes: int = MAX_BYTES,
-               stage=None) -> DataFrame:
+               stage=None, only: str | None = None) -> DataFrame:
     """Each posting with each profile, the profile as a struct column ``profile``.
 
     ``size`` is the rows and bytes of the profiles, measured here if it is not given.
+    ``only`` names a column with the ids of the profiles that a posting is paired with.
     """
     rows, width = size or table_size(profiles)
     packed = profiles.select(F.struct("*").alias("profile"))
@@ -53,7 +54,8 @@ def every_pair(postings: DataFrame, profiles: DataFrame, *, size: tuple[int, int
     def paired(number: int) -> DataFrame:
         own = packed if blocks == 1 else packed.where(block == number)
         gathered = own.agg(F.collect_list("profile").alias("profiles")).scalar()
-        return postings.select("*", F.explode(gathered).alias("profile"))
+        both = postings.select("*", F.explode(gathered).alias("profile"))
+        return both.where(F.array_contains(F.col(only), F.col("profile.profile_id"))) if only else both
 
     return reduce(DataFrame.unionAll, map(paired, range(blocks)))
 

@@ -409,6 +409,7 @@ def _finals() -> dict[str, str]:
         "total_sort": "SELECT posting_id, ats_score FROM one ORDER BY ats_score DESC, posting_id",
         "top10": f"SELECT {_ALL} FROM best",
         "top_per_profile": top,
+        "top_per_profile_pruned": top,
         "preview": "SELECT job_title, ats_score, recommendation FROM best JOIN posting USING (posting_id)",
         "html_escape": f"SELECT page_id, {_escape('html')} AS escaped FROM pages",
         "title_cell": "SELECT posting_id, cell FROM cell",
@@ -477,14 +478,14 @@ def _needed(sql: str, steps: dict[str, str]) -> list[str]:
 
 
 #: Steps that some queries take from other tables.
+_CHATS = (
+    "SELECT * FROM (SELECT conv_id AS profile_id, "
+    + _strip("string_agg(coalesce(text, ''), chr(10) ORDER BY turn)")
+    + " AS text FROM conversations GROUP BY conv_id) WHERE text <> ''"
+)
 OTHER_STEPS = {
-    "pairing_many": {
-        "profile_text": (
-            "SELECT * FROM (SELECT conv_id AS profile_id, "
-            + _strip("string_agg(coalesce(text, ''), chr(10) ORDER BY turn)")
-            + " AS text FROM conversations GROUP BY conv_id) WHERE text <> ''"
-        )
-    }
+    "pairing_many": {"profile_text": _CHATS},
+    "top_per_profile_pruned": {"profile_text": f"SELECT profile_id, text || {tables.CHAT_TAIL} AS text FROM ({_CHATS})"},
 }
 
 

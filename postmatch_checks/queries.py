@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmatch.functions import numbers, text
-from postmatch.operators import features, keywords, rank, skills, vocabulary
+from postmatch.operators import features, keywords, pruned, rank, skills, vocabulary
 from postmatch.operators.pairing import every_pair, keyed_pairs
 from postmatch.operators.score import (
     posting_features,
@@ -592,6 +592,19 @@ def top_per_profile(spark, sf_dir):
     return rank.top_per_profile(thin)
 
 
+@query
+def top_per_profile_pruned(spark, sf_dir):
+    """The best ten of each of many profiles, of which few pairs are scored."""
+    stage = sink.Stage(spark, _folder(spark))
+    return pruned.pruned_top(tables.postings(spark, sf_dir), _writers(spark, sf_dir), _options(), stage=stage)
+
+
+def _writers(spark, sf_dir):
+    """Chats as profiles, each with what its writer can do."""
+    chats = assemble(tables.table(spark, sf_dir, "conversations"), profile="conv_id", part="turn")
+    return chats.where("text != ''").withColumn("text", F.expr(f"text || {tables.CHAT_TAIL}"))
+
+
 @query
 def preview(spark, sf_dir):
     return rank.preview(rank.top_matches(_scored(spark, sf_dir, one=True)))

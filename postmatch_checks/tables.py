@@ -55,6 +55,13 @@ SELECT CAST(profile_id AS BIGINT) AS profile_id, part_no, text FROM (VALUES
 ) AS p(profile_id, part_no, text)
 """
 
+#: What a chat's writer can do, so that the chat's text serves as a profile.
+CHAT_TAIL = """CASE WHEN profile_id % 5 = 0 THEN ' Browser automation engineer: Cypress, Playwright, Robot Framework, REST API, MySQL, Git, Jenkins, Linux. 6 years.'
+ WHEN profile_id % 5 = 1 THEN ' Data platform developer, 4 yrs exp: Airflow, ETL, Python, PostgreSQL, Kubernetes, AWS, CI/CD. AWS certified, bachelor degree in computer science.'
+ WHEN profile_id % 5 = 2 THEN ' Test lead: manual testing, TestNG, Appium, JMeter, Postman, Jira, BDD, Java, Azure. Master degree, 9 years.'
+ WHEN profile_id % 5 = 3 THEN ' Front-end web developer: JavaScript, TypeScript, Cypress, GraphQL, GitHub Actions, Excel. 3 years.'
+ ELSE ' Florist for weddings: bouquets, deliveries, counter service. 12 years.' END"""
+
 VOCABULARY = """
 SELECT lower(p_name) || '-' || CAST(p_partkey AS STRING) AS term FROM {part}
 UNION ALL SELECT lower(p_name) FROM {part}
