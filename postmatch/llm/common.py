@@ -99,6 +99,14 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer by as many ``_`` as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def thin(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that further ones cannot clash with results."""
     return docs.select(*(F.col(f"`{n}`") for n in names))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmatch.functions.arrays import bind
-from postmatch.llm.common import lower_ascii, staged, thin, words
+from postmatch.llm.common import free_name, lower_ascii, staged, thin, words
 
 WIDTH = 5
 PERCENT = 80
@@ -119,8 +119,9 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no item."""
-    leaked = staged(find_leaks(docs, items).select(F.col("key").alias("_leak_key")).distinct(), "leaked")
-    kept = docs.join(leaked, text_key(F.col("text")) == F.col("_leak_key"), "left_anti")
+    own = free_name(docs, "_leak_key")
+    leaked = staged(find_leaks(docs, items).select(F.col("key").alias(own)).distinct(), "leaked")
+    kept = docs.join(leaked, text_key(F.col("text")) == F.col(own), "left_anti")
     return kept.select(*(F.col(f"`{n}`") for n in docs.columns))
 
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmatch.llm.common import map_batches, raw_texts, staged, thin
+from postmatch.llm.common import free_name, map_batches, raw_texts, staged, thin
 
 BITS = 64
 ERRORS = 3
@@ -240,7 +240,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     stay, since nothing tells which of them would stand for a group.
     """
     found = components(docs)
-    kept = staged(found.where("doc_id = component_id").select(
-        F.col("doc_id").alias("_kept_id")).distinct(), "kept")
-    stay = docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi")
+    own = free_name(docs, "_kept_id")
+    kept = staged(found.where("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct(), "kept")
+    stay = docs.join(kept, F.col("doc_id") == F.col(own), "left_semi")
     return stay.dropDuplicates(["doc_id", "text"]).unionAll(docs.where("doc_id IS NULL"))

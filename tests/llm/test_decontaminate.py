@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from postmatch.llm import decontaminate
 from tests.llm import odd_tables as samples
 
@@ -68,3 +70,11 @@ def test_empty_tables(spark):
     assert decontaminate.find_leaks(frame.where("false"), asked).count() == 0
     assert decontaminate.find_leaks(frame, asked.where("false")).count() == 0
     assert decontaminate.without_leaks(frame, asked.where("false")).count() == len(docs)
+
+
+def test_a_column_may_have_any_name(spark):
+    docs, items, (frame, asked) = tables(spark)
+    named = frame.withColumn("_leak_key", F.lit("own"))
+    kept = decontaminate.without_leaks(named, asked)
+    assert kept.columns == named.columns
+    assert kept.where("_leak_key = 'own'").count() == decontaminate.without_leaks(frame, asked).count()

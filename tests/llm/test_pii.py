@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from postmatch.llm import pii
 from tests.llm import odd_tables as samples
@@ -75,3 +76,22 @@ def test_documents(spark):
     assert (done.text, done.n_chars) == ("x [EMAIL] [IP]", 14)
     found = pii.find_pii(row).first().found
     assert [(x.kind, x.start, x.end) for x in found] == [("email", 2, 8), ("ip", 9, 16)]
+
+
+def test_further_spans_keep_off_all_base_spans():
+    rng = random.Random(6)
+    pieces = ["GB82 WEST 1234 5698 7654 32", "021000021", "routing number", "123-45-6789", "social security", "a@b.cd",
+              "+49 30 1234567890", "4111 1111 1111 1111", "1.2.3.4", "x", ".", "GB82WEST12345698765432"]
+    for _ in range(400):
+        text = "".join(rng.choice(pieces) + rng.choice((" ", " ", "", "-")) for _ in range(rng.randint(1, 12)))
+        base = pii.base_spans(text)
+        want = [(k, a, b) for k, a, b in pii.more_spans(text) if not any(a < y and x < b for _, x, y in base)]
+        got = [(s.kind, s.start, s.end) for s in pii.spans(text) if s.kind not in pii.BASE]
+        assert sorted(got) == sorted(x for x in want if pii.scored(text, *x).score >= pii.THRESHOLD)
+
+
+def test_a_long_text_of_spans_takes_time_in_proportion():
+    line = "mail a.b@c.de, call 10.0.0.1 or social security 123-45-6789 now\n"
+    began = time.perf_counter()
+    found = pii.spans(line * 20_000)
+    assert len(found) == 60_000 and time.perf_counter() - began < 60

@@ -1,5 +1,6 @@
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from postmatch.llm import simhash
 from tests.llm import odd_tables as samples
@@ -93,3 +94,10 @@ def test_a_chain_has_one_least_node(spark):
     edges = spark.createDataFrame([(k + 1, k) for k in range(60)], "a bigint, b bigint").repartition(4)
     found = simhash.connected(edges).collect()
     assert {r.root for r in found} == {0} and len(found) == 60
+
+
+def test_a_column_may_have_any_name(spark):
+    docs = samples.documents(spark).withColumn("_kept_id", F.lit("own")).withColumn("_KEPT_ID_", F.lit(1))
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert kept.where("_kept_id = 'own'").count() == simhash.one_of_each(samples.documents(spark)).count()
