@@ -6,7 +6,8 @@ Three exact ways:
   scalar subquery and each posting is expanded over it, so the plan has no join and
   no exchange of postings;
 * more profiles than one array may hold: the same for one block of profiles after
-  another, so no posting is ever shuffled or repeated for a shuffle;
+  another, so no posting is ever shuffled or repeated for a shuffle; with a ``stage`` both
+  sides are made once and a block reads its part of the profiles alone;
 * a key such as the search a posting came from: an equi-join, broadcast behind a
   check of the profiles' size, else shuffled with hot keys split.
 
@@ -45,14 +46,16 @@ def every_pair(postings: DataFrame, profiles: DataFrame, *, size: tuple[int, int
     ``only`` names a column with the ids of the profiles that a posting is paired with.
     """
     rows, width = size or table_size(profiles)
-    packed = profiles.select(F.struct("*").alias("profile"))
     blocks = max(ceil(rows / max_profiles), ceil(width / max_bytes), 1)
-    if blocks > 1 and stage is not None:
-        postings = stage(postings)
-    block = F.pmod(F.xxhash64("profile.profile_id"), F.lit(blocks))
+    packed = profiles.select(F.struct("*").alias("profile"))
+    if blocks > 1:
+        packed = packed.withColumn("_part", F.pmod(F.xxhash64("profile.profile_id"), F.lit(blocks)).cast("int"))
+        if stage is not None:
+            # Made once: each block then reads its own folder of profiles.
+            postings, packed = stage(postings), stage(packed, by="_part")
 
     def paired(number: int) -> DataFrame:
-        own = packed if blocks == 1 else packed.where(block == number)
+        own = packed if blocks == 1 else packed.where(F.col("_part") == number)
         gathered = own.agg(F.collect_list("profile").alias("profiles")).scalar()
         both = postings.select("*", F.explode(gathered).alias("profile"))
         return both.where(F.array_contains(F.col(only), F.col("profile.profile_id"))) if only else both

@@ -538,7 +538,8 @@ def pairing_many(spark, sf_dir):
     """A table of profiles in several blocks: each one's best postings."""
     chats = assemble(tables.table(spark, sf_dir, "conversations"), profile="conv_id", part="turn")
     right = chats.where("text != ''")
-    scored = score_postings(tables.postings(spark, sf_dir), right, _options(), max_profiles=32)
+    scored = score_postings(
+        tables.postings(spark, sf_dir), right, _options(), stage=sink.Stage(spark, _folder(spark)), max_profiles=32)
     return rank.top_per_profile(scored.select("profile_id", "posting_id", "ats_score"), 3)
 
 

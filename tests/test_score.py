@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from postmatch import MatchOptions, fixed, score_postings
 from postmatch.operators.score import SCORE_COLUMNS, recommendation, report_columns, weighted_score
 from postmatch.operators.semantic import HashingEncoder, ModelEncoder, StoredVectors
+from postmatch.sinks.tables import staging
 from tests.samples import CASES, RESUME, STRONG, WEAK
 
 POSTING = "posting_id long, job_title string, job_link string, job_description string"
@@ -137,6 +138,19 @@ def test_blocks_of_profiles_give_the_same_pairs_without_shuffling_postings(spark
     assert moved == [] and "Join" not in plan
 
 
+def test_profiles_are_assembled_once_for_all_blocks(spark, tmp_path):
+    posting(spark, ("", "linux"), ("", "sql")).write.parquet(str(tmp_path / "p"))
+    profile(spark, *[f"{RESUME} word{i}" for i in range(25)]).write.parquet(str(tmp_path / "whole"))
+    postings, many = (spark.read.parquet(str(tmp_path / name)) for name in ("p", "whole"))
+    with staging(spark, str(tmp_path / "stage")) as stage:
+        parts = score_postings(postings, many, max_profiles=4, stage=stage)
+        plan = parts._jdf.queryExecution().executedPlan().toString()
+        assert f"{tmp_path}/whole" not in plan and f"{tmp_path}/p]" not in plan
+        # Seven blocks, each of which reads its own folder of the staged profiles.
+        assert plan.count("PartitionFilters: [isnotnull(_part") >= 7
+        assert sorted(map(str, parts.collect())) == sorted(map(str, score_postings(postings, many).collect()))
+
+
 def test_an_encoder_is_not_run_to_measure_profiles(spark):
     class Counting(StoredVectors):
         def encode(self, df, text, words, out):
