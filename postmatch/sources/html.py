@@ -30,6 +30,7 @@ _UNSEEN = (
     r"""|/?[a-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*>)"""
 )
 _ANCHOR = r"""(?is)<a(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+_BASE = r"(?is)^<base(?=[\s/>])"
 #: Comments, scripts, tags and the texts between them, in order and whole.
 _PIECE = (
     r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)"
@@ -283,6 +284,17 @@ def absolute(link: Column, page_url: Column) -> Column:
     return _plain_ascii(_without_dots(resolved))
 
 
+def base_url(html: Column, page_url: Column) -> Column:
+    """The address that a page's links are relative to: the first ``base`` element with
+    a link says so, itself relative to the page, else it is the page's own."""
+    tags = keep(_pieces(html), f"x -> regexp_like(x, {quoted(_BASE)})")
+    named = F.get(keep(tags, f"x -> {_value('x', 'href')} != ''"), F.lit(0))
+    found = F.replace(bind("b", _value("b.x", "href"), x=named), F.lit("&amp;"), F.lit("&"))
+    address = F.nullif(strip(found), F.lit(""))
+    return F.when(F.regexp_like(html, F.lit(_BASE.replace("^", ""))) & address.isNotNull(),
+                  absolute(address, page_url)).otherwise(page_url)
+
+
 def card_link(card: Column, page_url: Column, marker: str = fixed.LINK_MARKER,
               css_class: str = fixed.LINK_CLASS) -> Column:
     """Absolute link of a card, or the empty string."""

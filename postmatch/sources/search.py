@@ -70,27 +70,30 @@ def page_cards(pages: DataFrame, cap: int | None = None, *, url: str = "url",
     """One row per card of each page, or its first ``cap`` cards, numbered from 1.
 
     ``total_cards`` counts before the cap; ``scope`` is that of :func:`html.cards`.
-    Everything happens inside the page's row.
+    ``base_url`` is what links are relative to. Everything happens inside the page's row.
     """
-    listed = pages.withColumn("_cards", html.cards(F.col(markup), scope))
+    listed = pages.withColumns({
+        "_cards": html.cards(F.col(markup), scope), "base_url": html.base_url(F.col(markup), F.col(url))})
     shown = F.col("_cards") if cap is None else F.slice("_cards", 1, cap)
     return listed.select(
         *carry,
         url,
+        "base_url",
         F.size("_cards").alias("total_cards"),
         F.posexplode_outer(shown).alias("_at", "card"),
     ).where(F.col("card").isNotNull()).select(
-        *carry, url, "total_cards", (F.col("_at") + 1).alias("position"), "card"
+        *carry, url, "base_url", "total_cards", (F.col("_at") + 1).alias("position"), "card"
     )
 
 
 def card_rows(cards: DataFrame, marker: str = fixed.LINK_MARKER,
               id_pattern: str = fixed.ID_IN_LINK, url: str = "url") -> DataFrame:
     """Add the card's title text, link and posting id."""
+    base = "base_url" if "base_url" in cards.columns else url
     linked = cards.withColumn("_href", html.href(F.col("card"), marker)).withColumns(
         {
             "job_title": html.card_text(F.col("card")),
-            "job_link": html.absolute(F.col("_href"), F.col(url)),
+            "job_link": html.absolute(F.col("_href"), F.col(base)),
         }
     ).drop("_href")
     return linked.withColumn(

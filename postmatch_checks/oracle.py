@@ -334,6 +334,7 @@ def _finals() -> dict[str, str]:
         "total_cards": r"SELECT page_id, len(regexp_extract_all(html, '(?s)<li\b[^>]*>.*?</li>'))::INT AS total_cards FROM pages",
         "card_text": "SELECT page_id, position, total_cards, job_title FROM card",
         "page_link": "SELECT page_id, position, job_link FROM card",
+        "page_base_link": "SELECT page_id, position, job_link FROM card",
         "page_id": "SELECT page_id, position, job_id FROM card",
         "source_fallback": (
             "SELECT posting_id, description_source, md5(CASE description_source WHEN 'page' THEN page_text "
@@ -483,7 +484,10 @@ _CHATS = (
     + _strip("string_agg(coalesce(text, ''), chr(10) ORDER BY turn)")
     + " AS text FROM conversations GROUP BY conv_id) WHERE text <> ''"
 )
+_ORIGIN = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin"
 OTHER_STEPS = {
+    "page_base_link": lambda steps: {
+        "item": steps["item"].replace(_ORIGIN, "regexp_extract(url, '^[a-z]+:', 0) || '//base.example.org' AS origin")},
     "pairing_many": {"profile_text": _CHATS},
     "top_per_profile_pruned": {"profile_text": f"SELECT profile_id, text || {tables.CHAT_TAIL} AS text FROM ({_CHATS})"},
 }
@@ -492,7 +496,9 @@ OTHER_STEPS = {
 def all_sql() -> dict[str, str]:
     result = {}
     for name, sql in _finals().items():
-        steps = _steps() | OTHER_STEPS.get(name, {})
+        steps = _steps()
+        other = OTHER_STEPS.get(name, {})
+        steps |= other(steps) if callable(other) else other
         used = _needed(sql, steps)
         head = ",\n".join(f"{step} AS ({steps[step]})" for step in used)
         result[name] = f"WITH {head}\n{sql}" if used else sql

@@ -211,6 +211,14 @@ def page_link(spark, sf_dir):
     return _cards(spark, sf_dir).select("page_id", "position", "job_link")
 
 
+@query
+def page_base_link(spark, sf_dir):
+    """Links of pages that say what their links are relative to."""
+    pages = spread(tables.derive(spark, sf_dir, tables.BASED_PAGES), "page_id")
+    found = search.card_rows(search.page_cards(pages, carry=["page_id"]))
+    return found.select("page_id", "position", "job_link")
+
+
 @query
 def page_id(spark, sf_dir):
     return _cards(spark, sf_dir).select("page_id", "position", "job_id")

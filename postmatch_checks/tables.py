@@ -90,6 +90,10 @@ FROM (SELECT page_id, url,
 FROM {pages})
 """
 
+BASED_PAGES = """
+SELECT page_id, url, '<!-- <base href="/no"> --><base target=_top><BASE HREF=''//base.example.org/d/x?a=1&amp;b#c''><base href="/late">'
+ || html AS html FROM (""" + CARD_PAGES + ")"
+
 CLASS_PAGES = """
 SELECT page_id, replace(replace(html, '<article>',
  '<SECTION id=x class="clamp show-more-less-html__markup"><section>Lead</section>'), '</article>', '</SECTION>') AS html

@@ -328,3 +328,16 @@ def test_description_source(spark):
         (5, "", "none"), (6, "ui6", "ui"), (7, "json e", "json"), (8, "page a", "page"),
         (9, "ui9", "ui"), (10, "good page text", "page"), (11, "kept", "page"), (12, "a text", "page"),
     ]
+
+
+@pytest.mark.parametrize("markup, expected", [
+    ("<p>x", "https://h.org/a/b"), ("<base href=/c/d>", "https://h.org/c/d"), ("<BASE target=x HREF='../up/'><base href=late>", "https://h.org/up/"),
+    ("<!-- <base href=/no> --><script>'<base href=/no>'</script>", "https://h.org/a/b"), ("<base href=' '>", "https://h.org/a/b"),
+    ('<base href="//o.net/x?a=1&amp;b">', "https://o.net/x?a=1&b"), ("<basefont href=/no>", "https://h.org/a/b"), ("", "https://h.org/a/b"),
+])
+def test_base_of_a_page(one, markup, expected):
+    assert one(html.base_url(F.col("m"), F.col("u")), m=markup, u="https://h.org/a/b") == expected
+
+
+def test_base_of_no_page(one):
+    assert one(html.base_url(F.col("m"), F.col("u")), m=None, u="https://h.org/a") == "https://h.org/a"
