@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -63,10 +64,11 @@ CLOSES = {
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']++|\"[^\"]{0,20000}+\"|'[^']{0,20000}+')*+)>"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>"
     r"|<[!?/][^<>]*(?:>|\Z)", re.S)
-#: Elements open at once; what is nested deeper belongs to the deepest of them.
+#: Elements nested deeper are not counted as template of their own, since each level
+#: reads its source once more; they go with an outer one, and by kind or class as any.
 DEPTH = 256
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
@@ -98,6 +100,7 @@ class Page:
         self.tag, self.up, self.begin, self.end, self.noisy = ["#"], [0], [0], [len(source)], [False]
         self.items: list[tuple[int, str] | None] = []
         self.source = source
+        self.level, self.standing = [0], Counter()
         self._read(source)
 
     def _open(self, stack: list[int], tag: str, attributes: str, at: int) -> None:
@@ -106,15 +109,20 @@ class Page:
         self.begin.append(at)
         self.end.append(len(self.source))
         self.noisy.append(noise(tag, attributes))
+        self.level.append(len(stack))
+        self.standing[tag] += 1
         stack.append(len(self.tag) - 1)
 
     def _close(self, stack: list[int], names, until, at: int) -> bool:
         """Ends the elements down to the innermost of these names, if it stands open."""
+        if not any(self.standing[name] for name in names):
+            return False
         for k in range(len(stack) - 1, 0, -1):
             tag = self.tag[stack[k]]
             if tag in names:
                 for node in stack[k:]:
                     self.end[node] = at
+                    self.standing[self.tag[node]] -= 1
                 del stack[k:]
                 return True
             if tag in until:
@@ -153,7 +161,8 @@ class Page:
                     shut = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(source, end)
                     at = shut.end() if shut else len(source)
                     self.end[stack.pop()] = at
-                elif tag not in VOID and not attributes.endswith("/") and len(stack) < DEPTH:
+                    self.standing[tag] -= 1
+                elif tag not in VOID and not attributes.endswith("/"):
                     self._open(stack, tag, attributes, start)
             token = TOKEN.search(source, at)
         if at < len(source):
@@ -177,6 +186,8 @@ class Page:
         for k in range(1, len(self.tag)):
             if self.tag[k] not in BLOCK or self.tag[k] in NEVER or self.up[k] and self.tag[k] == "li":
                 continue
+            if self.level[k] >= DEPTH:
+                continue
             if inside[k] and self.tag[k] in TEXT:
                 continue
             piece = " ".join(self.source[self.begin[k]:self.end[k]].split())

@@ -69,3 +69,21 @@ def test_article_text_stays_however_often_it_recurs(spark):
 def test_empty_table(spark):
     frame = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert pages.main_text(frame).count() == 0
+
+
+def test_menus_and_adverts_go_at_any_depth():
+    deep = "<div>" * 300 + "<p>story</p><nav>MENU</nav><div class=ad>ADVERT<p>more</p></div><p>end</p>" + "</div>" * 300
+    assert pages.Page(f"<body>{deep}</body>").text(set()) == "story\nend"
+    assert pages.Page(f"<article>{deep}</article>").text(set()) == "story\nend"
+
+
+def test_long_attributes_are_no_text():
+    long = "x> <y " * 10_000
+    assert pages.Page(f'<p title="{long}">one</p><p title=\'{long}\'>two</p>').text(set()) == "one\ntwo"
+    assert pages.Page('<p title="open>one</p><p>two</p>').text(set()) == "one\ntwo"
+
+
+def test_many_unclosed_elements_take_time_in_proportion():
+    began = time.perf_counter()
+    page = pages.Page("<div>" * 40_000 + "x</p></span>" * 20_000)
+    assert page.text(set()) and time.perf_counter() - began < 60
