@@ -1,9 +1,10 @@
 """Shards along a Hilbert curve over several dimensions of the documents' metadata.
 
-Each dimension is cut into equally filled bins at approximate quantiles. The bins of a
-row are a cell of a grid, and the curve's number of the cell orders the rows, so a run
-of rows is compact in all dimensions at once and a reader can skip files by any of
-them. Runs of equal numbers of rows (at most one apart) become the shards.
+Each dimension is cut into equally filled bins: numbers at approximate quantiles, strings
+at the whole strings where equal shares of the rows end. The bins of a row are a cell of a
+grid, and the curve's number of the cell orders the rows, so a run of rows is compact in
+all dimensions at once and a reader can skip files by any of them. Runs of equal numbers
+of rows (at most one apart) become the shards.
 
 Rows are ordered by a range exchange that ties are broken in by text checksum and id,
 so a cell that holds a third of all rows is dealt over as many tasks as it needs.
@@ -52,36 +53,57 @@ def curve_numbers(cells: list[np.ndarray], bits: int = BITS) -> np.ndarray:
     return out
 
 
-def as_number(column: Column) -> Column:
-    """The first seven bytes of a string as a number of the same order; null is least."""
-    head = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 7)), 14, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("bigint"), F.lit(-1).cast("bigint"))
+def string_edges(rows: DataFrame, name: str, bits: int = BITS) -> list[str]:
+    """The strings at which equal shares of the rows end, by whole strings and exact.
+
+    Rows are counted by string first; the strings are then ordered by a range exchange
+    and their counts summed up within its tasks and over them.
+    """
+    parts = 1 << bits
+    counts = rows.groupBy(name).agg(F.count("*").alias("n"))
+    ordered = staged(counts.repartitionByRange(name).withColumn("part", F.spark_partition_id()), "strings")
+    within = F.sum("n").over(Window.partitionBy("part").orderBy(name))
+    over_all = Window.orderBy("part")
+    starts = ordered.groupBy("part").agg(F.sum("n").alias("m")).select(
+        "part", (F.sum("m").over(over_all) - F.col("m")).alias("before"),
+        F.sum("m").over(over_all.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
+    reached = ordered.withColumn("upto", within).join(F.broadcast(starts), "part").withColumn("upto", F.expr("before + upto"))
+    ends = reached.where(f"least({parts - 1}, upto * {parts} div total) > (upto - n) * {parts} div total")
+    return sorted((r[0] for r in ends.select(name).collect()), key=str.encode)
+
+
+def string_cell(column: Column, edges: list[str], bits: int = BITS) -> Column:
+    """The bin of a string: how many edges lie before it, spread over the grid's side."""
+    before = F.lit(0)
+    for edge in edges:
+        before = before + (column > F.lit(edge)).cast("int")
+    return F.floor(before * (1 << bits) / (len(edges) + 1)).cast("int")
 
 
 def text_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + OVERHEAD
 
 
-def on_curve(rows: DataFrame, numbers: list[str], bits: int = BITS) -> DataFrame:
-    """``rows`` with ``curve``, from bins of the named columns."""
+def on_curve(rows: DataFrame, number: str, strings: list[str], bits: int = BITS) -> DataFrame:
+    """``rows`` with ``curve``, from bins of a numeric column and of string columns."""
     shares = [k / (1 << bits) for k in range(1, 1 << bits)]
-    found = rows.agg(*(F.percentile_approx(n, shares, 1000).alias(n) for n in numbers)).first()
-    edges = [np.unique(np.array(found[n] or [], np.int64)) for n in numbers]
+    found = rows.agg(F.percentile_approx(number, shares, 1000)).first()[0]
+    edges = np.unique(np.array(found or [], np.int64))
+    cells = [string_cell(F.col(n), string_edges(rows, n, bits), bits) for n in strings]
 
     @F.pandas_udf("bigint")
-    def curve(*columns: pd.Series) -> pd.Series:
+    def curve(numbers: pd.Series, *others: pd.Series) -> pd.Series:
         # Few different values are spread over the side: each counts as much as any dimension.
-        cells = [(np.searchsorted(e, c.to_numpy(), side="left") << bits) // (len(e) + 1)
-                 for e, c in zip(edges, columns)]
-        return pd.Series(curve_numbers(cells, bits))
+        first = (np.searchsorted(edges, numbers.to_numpy(), side="left") << bits) // (len(edges) + 1)
+        return pd.Series(curve_numbers([first, *(c.to_numpy() for c in others)], bits))
 
-    return rows.withColumn("curve", curve(*numbers))
+    return rows.withColumn("curve", curve(F.col(number), *cells))
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS, dimensions=DIMENSIONS, whole: bool = False) -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot`` of every row, and ``row`` if ``whole``.
 
-    A null text has no bytes; null dimensions come first. Rows with a null id or with
+    A null text has no bytes; a null dimension counts as empty and comes first. Rows with a null id or with
     equal ids are dealt like any other; which of two equal rows comes first does not
     matter. An empty table gives an empty one.
     """
@@ -89,11 +111,11 @@ def sharded(docs: DataFrame, shards: int = SHARDS, dimensions=DIMENSIONS, whole:
         F.col("doc_id"),
         text_size(F.col("text")).alias("size"),
         F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"),
-        *(as_number(F.col(f"`{d}`")).alias(f"d{k}") for k, d in enumerate(dimensions)),
+        *(F.coalesce(F.col(f"`{d}`").cast("string"), F.lit("")).alias(f"d{k}") for k, d in enumerate(dimensions)),
         *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if whole else []),
     )
     order = ["curve", "text_crc32", "doc_id"]
-    placed = on_curve(staged(rows, "measured"), ["size", *(f"d{k}" for k in range(len(dimensions)))])
+    placed = on_curve(staged(rows, "measured"), "size", [f"d{k}" for k in range(len(dimensions))])
     ordered = staged(
         placed.repartitionByRange(*order).sortWithinPartitions(*order)
         .withColumn("part", F.spark_partition_id())

@@ -1,4 +1,5 @@
 import itertools
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -61,3 +62,35 @@ def test_written_shards(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(c for c in back.columns if c != "shard") == sorted(docs.columns)
     assert back.count() == docs.count() and back.select("shard").distinct().count() == 6
+
+
+def plain_edges(values, bits=shards.BITS):
+    ordered, parts = sorted(values, key=str.encode), 1 << bits
+    return sorted({ordered[-(-k * len(ordered) // parts) - 1] for k in range(1, parts)}, key=str.encode) if ordered else []
+
+
+def test_string_edges_match_brute_force(spark):
+    rng = random.Random(5)
+    for n, kinds in ((0, 1), (3, 9), (700, 5), (700, 300)):
+        values = [f"https://example.org/{'z' * rng.randint(0, 2)}{rng.randrange(kinds) ** 2 // kinds}é" for _ in range(n)]
+        rows = spark.createDataFrame([(v,) for v in values], "d string").repartition(3)
+        assert shards.string_edges(rows, "d") == plain_edges(values)
+
+
+def test_order_matches_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(k, "x" * rng.randint(0, 90), rng.choice(["en", "de", None, ""]), f"dataset_of_web_pages_{rng.randrange(40)}")
+            for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(3)
+    shares = ", ".join(str(k / 32) for k in range(1, 32))
+    size_edges = sorted(set(docs.selectExpr(f"percentile_approx(length(text) + 16L, array({shares}), 1000)").first()[0]))
+    edges = [plain_edges([r[c] or "" for r in rows]) for c in (2, 3)]
+
+    def place(row):
+        cells = [sum(e < len(row[1]) + 16 for e in size_edges) * 32 // (len(size_edges) + 1)]
+        cells += [sum(e.encode() < (row[c] or "").encode() for e in own) * 32 // (len(own) + 1) for c, own in zip((2, 3), edges)]
+        number = shards.curve_numbers([np.array([c]) for c in cells])[0]
+        return (int(number), zlib.crc32(row[1].encode()), row[0])
+
+    got = [r.doc_id for r in shards.sharded(docs).orderBy("shard", "slot").collect()]
+    assert got == [r[0] for r in sorted(rows, key=place)]
