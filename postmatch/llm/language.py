@@ -13,9 +13,9 @@ texts as fit a slice of its input, packed, and summed by shard. No count is drop
 frequent context would be one large group: they are dealt over all shards by their own
 numbers, and what the shards leave of such a context for single words is summed.
 
-Smoothing is absolute discounting: a shard's discount comes from its pairs seen once
-and twice, and what is taken from a context's pairs goes to the words' own distribution,
-which keeps a share for unknown words.
+Smoothing is absolute discounting: every pair gives up the same part of a count,
+PAIR_DISCOUNT, however many shards there are, and what is taken from a context's pairs goes
+to the words' own distribution, which keeps a share for unknown words.
 """
 
 from __future__ import annotations
@@ -52,6 +52,8 @@ PROBABILITIES = 10 ** (np.arange(STEPS + 1) * (LEAST / STEPS))
 SHIFT = 1 << 63
 #: Discount of single words.
 WORD_DISCOUNT = 0.5
+#: What each pair gives up; a constant, so that no score follows the number of shards.
+PAIR_DISCOUNT = 0.75
 
 
 def held_out(doc_id: Column) -> Column:
@@ -290,10 +292,8 @@ def write_shard(level: Words, folder: str, shard: int, shards: int, hot: np.ndar
     relative = local.astype(np.uint64) * np.uint64(size) + token
     order = np.argsort(relative, kind="stable")
     relative, local, n = relative[order], local[order], n[order]
-    once, twice = int((n == 1).sum()), int((n == 2).sum())
-    discount = once / (once + 2 * twice) if once and twice else 0.5
     counts = level.counts(np.concatenate([np.arange(low, low + contexts), hot]))
-    step = np.clip(np.rint(np.log10((n - discount) / counts[local]) / LEAST * STEPS), 0, STEPS).astype(np.uint8)
+    step = np.clip(np.rint(np.log10((n - PAIR_DISCOUNT) / counts[local]) / LEAST * STEPS), 0, STEPS).astype(np.uint8)
     pointers = np.zeros(len(counts) + 1, np.int64)
     np.cumsum(np.bincount(local, minlength=len(counts)), out=pointers[1:])
     followers, facts = encoded(relative, len(counts) * size)
@@ -301,8 +301,8 @@ def write_shard(level: Words, folder: str, shard: int, shards: int, hot: np.ndar
     save(f"{folder}/pairs-{shard}",
          {**{"f." + k: v for k, v in followers.items()}, **{"p." + k: v for k, v in starts.items()},
           "step": step},
-         {"followers": facts, "pointers": more, "discount": discount, "low": low, "contexts": contexts})
-    return discount * np.diff(pointers)[contexts:] / np.maximum(counts[contexts:], 1)
+         {"followers": facts, "pointers": more, "low": low, "contexts": contexts})
+    return PAIR_DISCOUNT * np.diff(pointers)[contexts:] / np.maximum(counts[contexts:], 1)
 
 
 def level_one(counts: np.ndarray, level: Words) -> np.ndarray:
@@ -354,7 +354,7 @@ class Trie:
             rows = np.repeat(first_rows[own] - (np.cumsum(each[own]) - each[own]), each[own])
             rows += np.arange(len(rows))
             rest[rows] = np.repeat(
-                part[3]["discount"] * (end - first) / before_counts[first_rows[own]], each[own])
+                PAIR_DISCOUNT * (end - first) / before_counts[first_rows[own]], each[own])
             self._followers(part, rows, token, found, *(np.repeat(x, each[own]) for x in (context, first, end)))
         which = np.repeat(which, each)
         rows = np.flatnonzero(which >= 0)

@@ -89,13 +89,42 @@ def test_pair_probabilities_match_the_formula(spark, monkeypatch, spread):
     hot = dict(zip(built.hot, built.hot_rest))
     assert {w for w in names if counts[w] * shards > total} == {w for w in names if number[w] in hot}
     for (u, w), one, got in zip(asked, single, logs):
-        home = number[w] if number[u] in hot else number[u]
-        d = trie.shard(home * shards // len(names))[3]["discount"]
+        d = language.PAIR_DISCOUNT
         rest = hot.get(number[u], d * followers[u] / counts[u])
         p = (pairs[u, w] - d) / counts[u] + rest * one
         assert abs(math.log10(p) - got) <= 0.5 * 10 / 255 + 1e-9
 
 
+def plain_score(text, counts, pairs, followers):
+    total, size, d, score = sum(counts.values()), len(counts), language.PAIR_DISCOUNT, 0.0
+    own = tokens(text)
+    for u, w in zip([language.END, *own], own):
+        one = max(counts[w] - 0.5, 0) / total + 0.5 * size / total / (size + 1)
+        p = d * followers[u] / counts[u] * one if counts[u] else one
+        if (u, w) in pairs:
+            step = round(math.log10((pairs[u, w] - d) / counts[u]) / language.LEAST * language.STEPS)
+            p += 10 ** (min(max(step, 0), language.STEPS) * language.LEAST / language.STEPS)
+        score += math.log10(p)
+    return score
+
+
+def test_scores_match_the_formula_under_any_number_of_partitions(spark):
+    rows = [r[:2] for r in samples.rows(n=60)]
+    counts, pairs = model(rows)
+    followers = Counter(u for u, _ in pairs)
+    want = sorted((repr(doc), round(plain_score(text, counts, pairs, followers), 5)) for doc, text in rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("2", "9"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = language.scores(samples.documents(spark, n=60)).collect()
+            found = sorted((repr(r.doc_id), round(r.score, 5)) for r in got)
+            assert [x for x, _ in found] == [x for x, _ in want]
+            assert max(abs(a - b) for (_, a), (_, b) in zip(found, want)) < 1e-4
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_no_training_rows(spark):
     held = next(k for k in range(1000) if zlib.crc32(str(k).encode()) % 10 == 0)
     row = language.scores(spark.createDataFrame([(held, "a b")], "doc_id bigint, text string")).first()
