@@ -7,7 +7,12 @@ windows and answers in runs. A task packs what it read in slabs: of windows that
 holds more than once only those of the smallest document travel, the rest are known to
 be repeats. So a passage that most documents share costs one entry per slab.
 
-In a bucket, windows with equal hashes meet; those outside the smallest document are
+A part that many different windows share, such as a common line, would make its bucket
+large. So what all slabs would send is counted first, by bucket, and a bucket of more
+than GROUP windows is split by the windows' own hashes: equal ones still meet. What
+cannot be split is one window's entries, one per slab that holds it.
+
+In a group, windows with equal hashes meet; those outside the smallest document are
 repeats. Runs of them are the removal intervals, joined to the texts by document.
 
 Two different windows count as equal when 56 bits of hash and the bucket agree: among n
@@ -18,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +41,8 @@ SLAB = 1 << 19
 REMEMBERED = 1 << 19
 #: Buckets for each shuffle partition.
 SPREAD = 4
+#: Windows that a group holds, about; larger buckets are split into several.
+GROUP = 1 << 21
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -114,13 +122,20 @@ def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(d, size), at, wide.view(np.uint64).ravel()
 
 
-def _slab(docs: list[tuple[int, np.ndarray]], buckets: int) -> Iterator[tuple]:
-    """What a slab sends: windows by bucket, and repeats that it sees itself."""
+class Slab(NamedTuple):
+    """The windows that a slab sends, and the runs of repeats that it sees itself."""
+
+    doc: np.ndarray
+    at: np.ndarray
+    hashes: np.ndarray
+    least: np.ndarray
+    known: tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _slab(docs: list[tuple[int, np.ndarray]]) -> Slab | None:
     docs.sort(key=lambda x: x[0])
     sizes = np.array([len(w) for _, w in docs])
     words = np.concatenate([w for _, w in docs])
-    if len(words) < WINDOW:
-        return
     row = np.repeat(np.arange(len(docs)), sizes)
     ids = np.array([d for d, _ in docs], np.int64)
     at = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -129,55 +144,87 @@ def _slab(docs: list[tuple[int, np.ndarray]], buckets: int) -> Iterator[tuple]:
     hashes, least = hashes[own], least[own]
     doc, at = ids[row[:len(own)][own]], at[:len(own)][own]
     if not len(hashes):
-        return
+        return None
     order = np.argsort(hashes, kind="stable")
     starts = np.flatnonzero(np.concatenate([[True], np.diff(hashes[order]) != 0]))
     smallest = np.empty_like(doc)
     smallest[order] = np.repeat(doc[order][starts], np.diff(np.append(starts, len(order))))
     again = doc > smallest
-    for d, start, size in zip(*runs(doc[again], at[again])):
-        yield int(d) % buckets, None, int(d), int(start), int(size)
-    doc, at, hashes = doc[~again], at[~again], hashes[~again]
-    bucket = (least[~again] % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    bucket, doc, at, hashes = bucket[order], doc[order], at[order], hashes[order]
-    edge = np.append(np.flatnonzero(np.concatenate([[True], np.diff(bucket) != 0])), len(bucket))
-    for a, b in zip(edge[:-1], edge[1:]):
-        yield int(bucket[a]), packed(doc[a:b], at[a:b], hashes[a:b]), None, None, None
+    known = runs(doc[again], at[again])
+    return Slab(doc[~again], at[~again], hashes[~again], least[~again], known)
+
+
+def _slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[Slab]:
+    """Slabs of whole documents, as they are read."""
+    remembered, held, size = WordHashes(), [], 0
+    for batch in batches:
+        for doc, raw in zip(batch.column("doc_id").to_pylist(), raw_texts(batch)):
+            words = raw.split()
+            if doc is None or len(words) < WINDOW:
+                continue
+            if held and size + len(words) > SLAB:
+                yield _slab(held)
+                held, size = [], 0
+            held.append((doc, np.fromiter(map(remembered.__getitem__, words), np.uint64, len(words))))
+            size += len(words)
+    if held:
+        yield _slab(held)
+
 
+def splits(docs: DataFrame, buckets: int) -> np.ndarray:
+    """Into how many groups each bucket goes, by the windows that all slabs would send."""
 
-def windows(docs: DataFrame, buckets: int) -> DataFrame:
-    """``bucket, blob`` of packed windows, or ``doc_id, start, size`` of known repeats."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(buckets, np.int64)
+        for slab in filter(None, _slabs(batches)):
+            total += np.bincount((slab.least % np.uint64(buckets)).astype(np.int64), minlength=buckets)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
+
+    counted = thin(docs, "doc_id", "text").mapInArrow(run, "bucket bigint, n bigint")
+    groups = np.ones(buckets, np.int64)
+    for row in counted.groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # one row per bucket
+        groups[row.bucket] = -(-row.n // GROUP)
+    return groups
+
+
+def windows(docs: DataFrame, groups: np.ndarray) -> DataFrame:
+    """``bucket, blob`` of packed windows, numbered through all groups of all buckets, or
+    ``doc_id, start, size`` of known repeats."""
+    buckets = len(groups)
+    first = np.cumsum(groups) - groups
+
+    def rows(slab: Slab) -> Iterator[tuple]:
+        for d, start, size in zip(*slab.known):
+            yield int(d) % buckets, None, int(d), int(start), int(size)
+        bucket = (slab.least % np.uint64(buckets)).astype(np.int64)
+        # The upper half of a hash chooses the group.
+        piece = ((slab.hashes >> np.uint64(32)) * groups[bucket].astype(np.uint64)) >> np.uint64(32)
+        bucket = first[bucket] + piece.astype(np.int64)
+        for k, own in _in_order(bucket):
+            yield k, packed(slab.doc[own], slab.at[own], slab.hashes[own]), None, None, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, size = WordHashes(), [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            rows = list(_slab(held, buckets)) if held else []
-            if rows:
-                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
-                    ["bucket", "blob", "doc_id", "start", "size"])
-
-        for batch in batches:
-            for doc, raw in zip(batch.column("doc_id").to_pylist(), raw_texts(batch)):
-                words = raw.split()
-                if doc is None or len(words) < WINDOW:
-                    continue
-                if held and size + len(words) > SLAB:
-                    yield from flush()
-                    held, size = [], 0
-                held.append((doc, np.fromiter(map(known.__getitem__, words), np.uint64, len(words))))
-                size += len(words)
-        yield from flush()
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        for slab in filter(None, _slabs(batches)):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(zip(*rows(slab)), kinds)],
+                ["bucket", "blob", "doc_id", "start", "size"])
 
     return thin(docs, "doc_id", "text").mapInArrow(
         run, "bucket bigint, blob binary, doc_id bigint, start bigint, size bigint")
 
 
+def _in_order(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each different key with the places where it stands, in their order."""
+    order = np.argsort(keys, kind="stable")
+    edges = np.flatnonzero(np.diff(keys[order], prepend=-1, append=-1))
+    for a, b in zip(edges, edges[1:]):
+        yield int(keys[order[a]]), order[a:b]
+
+
 def _meet(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The runs of a bucket's windows that a smaller document holds too."""
+    """The runs of a group's windows that a smaller document holds too."""
     doc, at, hashes = (np.concatenate(x) for x in zip(*map(unpacked, blobs)))
     order = np.argsort(hashes, kind="stable")
     starts = np.flatnonzero(np.concatenate([[True], np.diff(hashes[order]) != 0]))
@@ -188,7 +235,7 @@ def _meet(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Known repeats pass through; the packed windows of a bucket meet."""
+    """Known repeats pass through; the packed windows of a group meet."""
     names = ["doc_id", "start", "size"]
     at, blobs = None, []
 
@@ -215,10 +262,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, start, size``: runs of windows that a smaller document holds too.
 
     The number of buckets follows ``spark.sql.shuffle.partitions``, which a cluster
-    sets by its input; a bucket's windows meet in memory.
+    sets by its input; a group's windows meet in memory. The texts are read twice: to
+    count, and to deal.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = windows(docs, SPREAD * parts).repartition("bucket").sortWithinPartitions("bucket")
+    dealt = windows(docs, splits(docs, SPREAD * parts)).repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(_answers, "doc_id bigint, start bigint, size bigint")
 
 

@@ -67,3 +67,37 @@ def test_rolled_hashes_are_those_of_the_windows():
     whole, least = substrings.window_hashes(words)
     again = [substrings.window_hashes(words[k:k + 50]) for k in range(351)]
     assert whole.tolist() == [int(w[0]) for w, _ in again] and least.tolist() == [int(m[0]) for _, m in again]
+
+
+def common_line(rng):
+    """A line of 40 words in a third of the documents, each time between other words."""
+    line = samples.prose(rng, 40)
+    return [(k, f"{samples.prose(rng, 30)} {line if k % 3 == 0 else ''} {samples.prose(rng, 30)}") for k in range(300)]
+
+
+def group_sizes(docs, groups):
+    sizes = {}
+    for row in substrings.windows(docs, groups).where("blob IS NOT NULL").collect():
+        sizes[row.bucket] = sizes.get(row.bucket, 0) + len(substrings.unpacked(bytes(row.blob))[0])
+    return sizes
+
+
+def test_no_group_grows_with_a_common_line(spark, monkeypatch):
+    docs = spark.createDataFrame(common_line(random.Random(4)), "doc_id bigint, text string").repartition(4, "doc_id")
+    whole = group_sizes(docs, np.ones(16, np.int64))
+    monkeypatch.setattr(substrings, "GROUP", 200)
+    split = group_sizes(docs, substrings.splits(docs, 16))
+    assert sum(split.values()) == sum(whole.values())
+    assert max(whole.values()) > 1500 and max(split.values()) < 400
+
+
+def test_split_buckets_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "GROUP", 40)
+    monkeypatch.setattr(substrings, "SLAB", 500)
+    rng = random.Random(5)
+    rows = common_line(rng)
+    rows += [(1000 + k, f"{rows[3 * k][1]} {samples.prose(rng, 20)}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = substrings.removal_digests(docs).collect()
+    assert sorted(repr(tuple(r)) for r in got) == plain(rows)
+    assert sum(r.n_removed > 0 for r in got) >= 60
