@@ -3,7 +3,8 @@
 How far clean text compresses depends on its length more than on anything else, so the
 limits come from the documents themselves: the quartiles of the ratio over all texts of
 a length class that pass the counts, with a margin of some quartile ranges. Up to a
-quarter of a class can be junk at either end without moving its limits much.
+quarter of a class can be junk at either end without moving its limits much. The fewer
+texts a class has, the less its quartiles tell, and the wider its margin is.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 #: Bytes from which a length class starts: two classes for each doubling.
 CLASSES = [0, *sorted([64 << k for k in range(15)] + [96 << k for k in range(14)])]
-#: Texts that a class needs for limits of its own.
-ENOUGH = 100
+#: A margin of n texts is wider by this many n-ths.
+DOUBT = 20
 #: Quartile ranges below the lower and above the upper quartile that still pass, and
 #: the least quartile range as a share of the quartiles' mean.
 MARGINS, LEAST_RANGE = (3.5, 2.5), 0.015
@@ -40,8 +41,8 @@ class Bands:
     texts compress worse, so their band is wider. Every full chunk of ``chunk_bytes``
     has its own band, and the rest behind them the band of a text of its length; a
     document fails when chunks with more than ``odd_share`` of its bytes, out of at
-    least ``least_chunks`` chunks, lie outside. The limits given here hold where too
-    few documents tell narrower ones.
+    least ``least_chunks`` chunks, lie outside. The limits given here are the widest:
+    documents tell narrower ones only.
     """
 
     level: int = 3
@@ -152,8 +153,9 @@ def measured(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
 def fitted_bands(found: DataFrame, bands: Bands = Bands()) -> Bands:
     """``bands`` made narrower where the measured documents tell how clean text lies.
 
-    Documents that fail by their counts tell nothing, and a class of fewer than ENOUGH
-    others keeps its limits. Full chunks are a class of their own.
+    Documents that fail by their counts tell nothing. Margins follow the number of the
+    others without a step, so that a class of few is judged mildly and one of many by its
+    quartiles. Full chunks are a class of their own.
     """
     passed = found.where("NOT base_failed")
     full = passed.select(
@@ -163,11 +165,11 @@ def fitted_bands(found: DataFrame, bands: Bands = Bands()) -> Bands:
         passed.select("size_from", "ratio").unionAll(full)
         .groupBy("size_from", F.round("ratio", DIGITS).alias("ratio")).agg(F.count("*").alias("n"))
         .groupBy("size_from").agg(F.sum("n").alias("n"), F.percentile("ratio", [0.25, 0.75], F.col("n")).alias("q"))
-        .where(F.col("n") >= ENOUGH).collect())
+        .collect())  # one row per length class
     told = {}
     for r in quartiles:
         low, high = r.q
-        spread = max(high - low, LEAST_RANGE * (low + high) / 2)
+        spread = max(high - low, LEAST_RANGE * (low + high) / 2) * (1 + DOUBT / r.n)
         told[r.size_from] = low - MARGINS[0] * spread, high + MARGINS[1] * spread
 
     def narrower(key: int, least: float, most: float) -> tuple[float, float]:

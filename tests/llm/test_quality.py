@@ -73,3 +73,22 @@ def test_the_last_partial_chunk_counts():
     noise = bytes(rng.randrange(33, 127) for _ in range(4000))
     share = quality.compression(clean + noise, bands, squeeze)[1]
     assert share == 4000 / 8096
+
+
+def test_limits_follow_the_number_of_texts_without_a_step(spark):
+    rng = random.Random(6)
+    vocabulary = [samples.word(rng) for _ in range(4000)]
+    prose = [samples.prose(rng, rng.randint(300, 340), vocabulary)[:1600] for _ in range(202)]
+    noise = "".join(chr(rng.randrange(33, 127)) + " " * (k % 5 == 4) for k in range(1600))
+
+    def limits(n):
+        rows = list(enumerate([*prose[:n // 2], *prose[:n - n // 2]]))
+        found = quality.measured(spark.createDataFrame(rows, "doc_id bigint, text string"))
+        return quality.fitted_bands(found).limits(1600)
+
+    below, above = limits(98), limits(102)
+    assert all(abs(a - b) < 0.01 for a, b in zip(below, above))
+    widths = [high - low for low, high in (limits(8), limits(40), limits(202))]
+    assert widths == sorted(widths, reverse=True)
+    docs = spark.createDataFrame(list(enumerate([*prose[:30], noise])), "doc_id bigint, text string")
+    assert [r.doc_id for r in quality.quality(docs).where("NOT kept").collect()] == [30]
