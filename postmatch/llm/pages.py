@@ -4,7 +4,8 @@ Every block element is hashed by its source. Spark counts the hashes per host, a
 element that recurs on many pages of its host is template: it is deleted with all that
 it holds. What a site varies from page to page (adverts, forms, reader comments) is
 told by its element or class. If a page marks its article, text blocks inside it are
-the article's own and stay however often they recur.
+the article's own and stay however often they recur. What is left beside the article goes
+too if the article holds at least half of all that is left; a lone teaser does not.
 """
 
 from __future__ import annotations
@@ -195,12 +196,14 @@ class Page:
 
     def text(self, template: set[int]) -> str:
         inside = self._article()
-        marked = any(inside)
         gone = [False] * len(self.tag)
         repeated = {k for k, h in self.blocks() if h in template} if template else ()
         for k in range(1, len(self.tag)):
             page_header = self.tag[k] == "header" and not inside[k]
             gone[k] = gone[self.up[k]] or self.noisy[k] or page_header or k in repeated
+        left = [x for x in self.items if x is not None and not gone[x[0]]]
+        size = {own: sum(len("".join(t.split())) for k, t in left if inside[k] == own) for own in (True, False)}
+        marked = any(inside) and size[True] >= size[False]
         out, part = [], []
         for item in [*self.items, None]:
             if item is None:

@@ -87,3 +87,9 @@ def test_many_unclosed_elements_take_time_in_proportion():
     began = time.perf_counter()
     page = pages.Page("<div>" * 40_000 + "x</p></span>" * 20_000)
     assert page.text(set()) and time.perf_counter() - began < 60
+
+
+def test_a_teaser_does_not_hide_the_story():
+    story = "<div>" + "a long story " * 20 + "</div>"
+    assert pages.Page(f"{story}<article>teaser</article>").text(set()) == ("a long story " * 20).strip() + "\nteaser"
+    assert pages.Page(f"<div>short</div><article>{story}</article>").text(set()) == ("a long story " * 20).strip()
