@@ -5,7 +5,8 @@ term is keyed by one of its grams, stretches of GRAM characters, the one that th
 terms share. A text's distinct grams are joined to those keys, and only the terms whose
 key occurs are looked for in the text. Texts stay in their scan tasks: the keys travel, in
 blocks of bounded size, and a text's grams, join and check are one pipeline, so no
-text is exchanged or copied per gram.
+text is exchanged or copied per gram. Where the keys need several blocks, those that occur
+in no text are left out first, which takes one pass over the texts in place of one a block.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmatch.functions.text import tokens
+from postmatch.functions.text import contained_terms, tokens
 from postmatch.operators.pairing import MAX_BYTES, table_size
 
 GRAM = 5
+#: Terms shorter than a gram that are looked up one by one, at most.
+FEW_SHORT = 16
 
 
 def grams(text: Column, sizes: Sequence[int]) -> Column:
@@ -50,21 +53,35 @@ def terms_in(texts: DataFrame, terms: DataFrame, *, size: int = GRAM, max_bytes:
     ``texts`` has ``id, text`` and ``terms`` has ``term``; both are compared as they are.
     A null text has no term. A vocabulary of more than ``max_bytes`` passes over the
     texts block after block. ``stage``, a function that writes a table and reads it again,
-    keeps the keys from being chosen once per block.
+    keeps the keys from being chosen once per block, and those in no text from needing blocks.
     """
     keys = keyed(terms, size)
     keys = stage(keys) if stage is not None else keys
+    tiny = F.char_length("gram") < size
+    short = [r[0] for r in keys.where(tiny).select("term").limit(FEW_SHORT + 1).collect()]
+    parts = []
+    sizes = [size]
+    if len(short) > FEW_SHORT:
+        sizes = sorted({size} | {r[0] for r in keys.select(F.char_length("gram")).distinct().collect()})
+    else:
+        keys = keys.where(~tiny)
+        if short:
+            # Grams of each short length would cost as much as those of the whole vocabulary.
+            parts.append(texts.select("id", F.explode(contained_terms(F.col("text"), sorted(short))).alias("term")))
     _, width = table_size(keys)
-    blocks = max(1, ceil(width / max_bytes))
-    sizes = sorted(r[0] for r in keys.select(F.char_length("gram")).distinct().collect()) or [size]
-    own = F.pmod(F.xxhash64("gram"), F.lit(blocks))
+    blocks = ceil(width / max_bytes)
     cut = texts.select("id", "text", F.explode(grams(F.col("text"), sizes)).alias("gram"))
+    if blocks > 1 and stage is not None:
+        keys = stage(keys.join(cut.select("gram").distinct(), "gram", "left_semi").select("term", "gram"))
+        _, width = table_size(keys)
+        blocks = ceil(width / max_bytes)
+    own = F.pmod(F.xxhash64("gram"), F.lit(max(blocks, 1)))
 
     def found(block: int) -> DataFrame:
-        part = keys if blocks == 1 else keys.where(own == block)
+        part = keys if blocks <= 1 else keys.where(own == block)
         return cut.join(F.broadcast(part), "gram").where(F.contains("text", "term")).select("id", "term")
 
-    return reduce(DataFrame.unionAll, map(found, range(blocks)))
+    return reduce(DataFrame.unionAll, parts + [found(block) for block in range(max(blocks, 1))])
 
 
 def as_tokens(text: Column) -> Column:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from postmatch import MatchOptions, fixed, score_postings
 from postmatch.operators.semantic import ModelEncoder
 from postmatch.operators.skills import skills_in
-from postmatch.operators.vocabulary import keyed, terms_in, tokens_in
+from postmatch.operators.vocabulary import FEW_SHORT, keyed, terms_in, tokens_in
+from postmatch.sinks.tables import Stage
 from postmatch.sources.postings import POSTING_SCHEMA
 
 TEXTS = ["excellent digital taste; rest, api and c++ 11", "excel git rest api", "", None, "aaaaaa aaaaab", "äöü ünïcode \U0001f600x",
@@ -101,3 +102,22 @@ def test_refused_texts_are_told_from_unlike_ones(spark):
     assert {r.posting_id: (r.semantic_match, r.semantic_error) for r in got.collect()} == {
         1: (100.0, False), 2: (0.0, False), 3: (0.0, True), 4: (0.0, False)}
     assert "semantic_error" not in score_postings(postings, profiles).columns
+
+
+def test_short_terms_few_or_many_match_a_plain_search(spark):
+    rng = random.Random(6)
+    some = ["".join(rng.choices("abcd ", k=rng.randint(0, 50))) for _ in range(40)] + [None]
+    for n in (3, FEW_SHORT, 60):
+        sought = ["".join(rng.choices("abcd ", k=rng.randint(1, 4))) for _ in range(n)] + ["abcabc", "dddddd"]
+        texts, terms = frames(spark, some, sought)
+        want = sorted((k, t) for k, x in enumerate(some) if x for t in set(sought) if t in x)
+        assert pairs(terms_in(texts, terms)) == want
+
+
+def test_a_vocabulary_of_many_blocks_passes_over_the_texts_once_for_what_they_hold(spark, tmp_path):
+    """Of 400 keys that need many blocks the two that a text holds are left, in one block."""
+    some = ["find term number 17 here", "and term number 305", "nothing"]
+    texts, terms = frames(spark, some, [f"term number {n}" for n in range(100, 500)] + ["term number 17"])
+    found = terms_in(texts, terms, max_bytes=400, stage=Stage(spark, str(tmp_path)))
+    assert pairs(found) == [(0, "term number 17"), (1, "term number 305")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") <= 2
