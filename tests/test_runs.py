@@ -14,6 +14,7 @@ from postmatch.sinks.tables import (
 from postmatch.operators.score import SCORE_COLUMNS
 from postmatch.sources.postings import POSTING_SCHEMA
 from postmatch.streaming.incremental import scored_so_far
+from postmatch_checks import queries
 from tests.samples import RESUME, STRONG, WEAK
 
 
@@ -286,3 +287,16 @@ def test_keywords_are_computed_once(spark, postings, parts):
     scored = score_postings(postings, parts.select("profile_id", "text"))
     best = plan(top_matches(scored).select("posting_id", F.size("matched_skills")))
     assert best.count("regexp_extract_all(_text") <= 4
+
+
+def test_landed_files_grow_with_the_table(spark, monkeypatch, tmp_path):
+    """No task writes or reads a third of a table, and each posting counts once."""
+    spark.range(90).selectExpr("id AS doc_id", "concat('text ', id) AS text", "'en' AS lang").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "s", -1.0)], "s_suppkey long, s_name string, s_acctbal double").write.parquet(
+        f"{tmp_path}/supplier.parquet")
+    monkeypatch.setattr(queries, "LANDED_BYTES", 1_000)
+    folder = queries._landed(spark, str(tmp_path))
+    assert len(spark.read.parquet(f"{folder}/landed").inputFiles()) > 4
+    got = scored_so_far(spark, f"{folder}/scored")
+    assert sorted(r[0] for r in got.select("posting_id").collect()) == [*range(90), 1_000_000_001]
