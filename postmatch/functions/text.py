@@ -12,7 +12,8 @@ from postmatch.functions.arrays import bind, in_list, keep, strings
 
 # Whitespace as Unicode defines it, plus the four ASCII separators.
 _SPACE = r"[\s\x1c-\x1f]"
-_SPACES = f"(?U){_SPACE}+"
+# Runs that one space has to replace: all but a lone space, which most are.
+_SPACES = rf"(?U) {_SPACE}+|[\s\x1c-\x1f&&[^ ]]{_SPACE}*"
 _EDGES = f"(?U)^{_SPACE}+|{_SPACE}+$"
 
 

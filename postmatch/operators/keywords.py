@@ -1,7 +1,8 @@
 """Weighted keywords of one posting, computed inside its own row.
 
 A posting's tokens never leave the row: they are sorted, counted by the gaps
-between the starts of equal runs, and ranked as packed integers. There is no
+between the starts of equal runs, and those seen more than once or boosted are ranked as
+packed integers. There is no
 explode, no grouping and no exchange, so the cost grows with the text alone and no
 key can become hot.
 """
@@ -59,45 +60,54 @@ def weighted_keywords(words: Column, skills: Column, top: int | None = None) ->
     not tokens carry the boost alone and come after the tokens of that weight, by
     name. A posting without tokens has no keywords at all. ``top`` keeps the first
     so many.
+
+    Most tokens of a text occur once and weigh 1. They come last, in their order, so only
+    the others are counted and sorted with their positions.
     """
-    terms = bind(
+    # A token seen n times stands n - 1 times in ``more``, and once for each point of a boost.
+    again = bind("s", "filter(s.words, (w, i) -> w = get(s.words, i + 1))", words=F.sort_array(words))
+    sides = bind(
         "b",
-        """struct(b.words, b.runs,
-            transform(b.skills, s -> array_position(b.words, s) - 1) AS boosted,
-            IF(size(b.runs) = 0, array(),
+        f"""struct(b.words, sort_array(concat(
+                b.again, flatten(array_repeat(array_intersect(b.skills, b.words), {SKILL_BOOST})))) AS more,
+            IF(size(b.words) = 0, filter(b.skills, s -> false),
                filter(b.skills, s -> NOT array_contains(b.words, s))) AS added)""",
         words=words,
         skills=skills,
-        runs=_runs(words),
+        again=again,
     )
-    # Tokens seen once and not boosted weigh 1. They matter only where fewer than
-    # ``top`` keywords weigh more, so most texts rank a fraction of their tokens.
-    heavy = """filter(b.t.runs, r -> (r & 2147483647L) > 1
-        OR array_contains(b.t.boosted, shiftright(r, 31)))"""
-    ranked = "b.t.runs" if top is None else (
-        f"get(transform(array({heavy}), h -> "
-        f"IF(size(h) + size(b.t.added) < {int(top)}, b.t.runs, h)), 0)"
+    once = "array_except(b.t.words, b.t.more)"
+    if top is not None:
+        once = f"""IF(size(array_distinct(b.t.more)) + size(b.t.added) >= {int(top)},
+            filter(b.t.more, w -> false), slice({once}, 1, {int(top)}))"""
+    placed = bind(
+        "b",
+        f"""struct(b.t.added, b.t.more, array_intersect(b.t.words, b.t.more) AS tokens, {once} AS once,
+            filter(sequence(0, size(b.t.more)), i -> i < size(b.t.more)
+                AND (i = 0 OR get(b.t.more, i) != get(b.t.more, i - 1))) AS start)""",
+        t=sides,
     )
-    pool = bind("b", f"struct(b.t, {ranked} AS runs)", t=terms)
+    # Tokens in the order of their runs, each with its turn by first appearance.
+    turns = bind(
+        "b", "struct(b.p, sort_array(transform(b.p.tokens, (w, i) -> struct(w, i AS at))) AS turn)", p=placed)
     keys = bind(
         "b",
-        f"""struct(b.p.t.words, b.p.t.added, sort_array(concat(
-            transform(b.p.runs, r -> shiftright(r, 31) - shiftleft((r & 2147483647L)
-                + IF(array_contains(b.p.t.boosted, shiftright(r, 31)), {SKILL_BOOST}L, 0L), 31)),
-            transform(b.p.t.added, (s, i) -> {AFTER_TOKENS}L + i - shiftleft({SKILL_BOOST}L, 31))
+        f"""struct(b.r.p.tokens, b.r.p.added, b.r.p.once, sort_array(concat(
+            transform(b.r.p.start, (at, j) -> get(b.r.turn, j).at
+                - shiftleft(CAST(coalesce(get(b.r.p.start, j + 1), size(b.r.p.more)) - at + 1 AS BIGINT), 31)),
+            transform(b.r.p.added, (s, i) -> {AFTER_TOKENS}L + i - shiftleft({SKILL_BOOST}L, 31))
             )) AS keys)""",
-        p=pool,
-    )
-    best = "b.k.keys" if top is None else f"slice(b.k.keys, 1, {int(top)})"
-    return bind(
-        "b",
-        f"""transform({best}, (key, i) -> struct(
-            IF((key & 2147483647L) < {AFTER_TOKENS},
-               get(b.k.words, CAST(key & 2147483647L AS INT)),
-               get(b.k.added, CAST((key & 2147483647L) - {AFTER_TOKENS} AS INT))) AS token,
-            -shiftright(key, 31) AS weight, i + 1 AS rank))""",
-        k=keys,
+        r=turns,
     )
+    ranked = """concat(
+            transform(b.k.keys, (key, i) -> struct(
+                IF((key & 2147483647L) < %d,
+                   get(b.k.tokens, CAST(key & 2147483647L AS INT)),
+                   get(b.k.added, CAST((key & 2147483647L) - %d AS INT))) AS token,
+                -shiftright(key, 31) AS weight, i + 1 AS rank)),
+            transform(b.k.once, (w, i) -> struct(w AS token, 1L AS weight, size(b.k.keys) + i + 1 AS rank)))""" % (
+        AFTER_TOKENS, AFTER_TOKENS)
+    return bind("b", ranked if top is None else f"slice({ranked}, 1, {int(top)})", k=keys)
 
 
 def total_weight(keywords: Column) -> Column:

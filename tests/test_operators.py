@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -211,3 +212,32 @@ def test_ranking(spark):
     assert [(r.posting_id, r.profile_id) for r in top_matches(df, 2).collect()] == [(1, 2), (2, 1)]
     best = top_per_profile(df, 2)
     assert rows(best.select("profile_id", "posting_id", "rank")) == [(1, 2, 1), (1, 3, 2), (2, 1, 1), (2, 3, 2)]
+
+
+def test_weighted_keywords_as_counted_plainly(spark):
+    """Every cut, texts with few or many repeated tokens, skills that are tokens or not."""
+    rng = random.Random(5)
+    rows = []
+    for n in (0, 1, 3, 30, 30, 200, 200):
+        words = [rng.choice(["sql", "git", *(f"w{i}" for i in range(rng.choice([4, 80])))]) for _ in range(n)]
+        rows.append((len(rows), words, sorted(rng.sample(["ci/cd", "git", "java", "rest api", "sql"], rng.randint(0, 5)))))
+
+    def plain(words, skills, top):
+        if not words:
+            return []
+        weight = {w: words.count(w) + 2 * (w in skills) for w in words}
+        order = [(-n, 0, words.index(w), w) for w, n in weight.items()]
+        order += [(-2, 1, i, s) for i, s in enumerate(sorted(set(skills) - set(words)))]
+        return [(w, -n, i) for i, (n, _, _, w) in enumerate(sorted(order)[:top], 1)]
+
+    df = spark.createDataFrame(rows, "id int, words array<string>, skills array<string>")
+    for top in (None, 1, 5, 25):
+        for row in df.withColumn("got", keywords.weighted_keywords(F.col("words"), F.col("skills"), top)).collect():
+            assert [tuple(k) for k in row.got] == plain(row.words, row.skills, top), (row.id, top)
+
+
+def test_tokens_seen_once_are_not_sorted_with_their_positions(spark):
+    """Only repeated or boosted tokens get a struct; the texts' other tokens are sorted as strings."""
+    df = spark.createDataFrame([(["b", "a", "c"], ["x"])], "words array<string>, skills array<string>")
+    plan = df.select(keywords.weighted_keywords(F.col("words"), F.col("skills"), 25))._jdf.queryExecution().analyzed().toString()
+    assert "sort_array(words" in plan and "array_except" in plan
