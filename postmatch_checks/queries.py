@@ -400,7 +400,7 @@ def term_freq(spark, sf_dir):
 @query
 def boosted_terms(spark, sf_dir):
     """Every weighted keyword, before the cut."""
-    terms = keywords.weighted_keywords(F.col("_words"), F.col("_skills"))
+    terms = keywords.weighted_keywords(F.col("_words"), F.col("_skills"), in_batches=True)
     return (
         _features(spark, sf_dir)
         .select("posting_id", F.explode_outer(terms).alias("term"))
