@@ -24,6 +24,8 @@ EDUCATION_TERMS = (
 
 # --- fixed values: patterns -------------------------------------------------
 TOKEN_PATTERN = r"[a-z][a-z0-9+#./-]*"
+#: The tokens of more than two characters.
+LONG_TOKEN_PATTERN = r"[a-z][a-z0-9+#./-][a-z0-9+#./-]+"
 YEARS_PATTERN = (
     r"(\d+(?:\.\d+)?)\s*\+?\s*(?:years?|yrs?)\s*(?:of)?\s*(?:experience|exp)?"
 )

@@ -37,6 +37,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(fixed.TOKEN_PATTERN), F.lit(0))
 
 
+def content_words(text: Column, stop_words: Sequence[str]) -> Column:
+    """:func:`content_tokens` of the :func:`tokens` of a text: shorter ones are not even listed."""
+    return content_tokens(F.regexp_extract_all(text, F.lit(fixed.LONG_TOKEN_PATTERN), F.lit(0)), stop_words)
+
+
 def content_tokens(words: Column, stop_words: Sequence[str]) -> Column:
     """Keep tokens longer than two characters that are not stop words."""
     return keep(words, f"w -> length(w) > 2 AND w NOT IN ({in_list(stop_words)})")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from postmatch import fixed
 from postmatch.functions.numbers import bounded_percentage, nonzero, norm, sparse_norm
-from postmatch.functions.text import comma_list, content_tokens, normalise, tokens
+from postmatch.functions.text import comma_list, content_words, normalise
 from postmatch.operators import features, keywords, skills
 from postmatch.operators.measure import block_signals
 from postmatch.operators.pairing import MAX_PROFILES, MEASURED, every_pair, keyed_pairs, table_size
@@ -33,7 +33,7 @@ def posting_features(postings: DataFrame, options: MatchOptions, encoder) -> Dat
     found = read.withColumns(
         {
             "_has_text": F.col("_text") != "",
-            "_words": content_tokens(tokens(F.col("_text")), options.stop_list()),
+            "_words": content_words(F.col("_text"), options.stop_list()),
             "_skills": skills.skills_in(F.col("_text"), options),
             "_title_words": features.title_tokens(
                 normalise(F.col("job_title")), options
@@ -45,7 +45,7 @@ def posting_features(postings: DataFrame, options: MatchOptions, encoder) -> Dat
     weighed = found.withColumn(
         "_keywords",
         keywords.weighted_keywords(
-            F.col("_words"), F.col("_skills"), options.top_keywords
+            F.col("_words"), F.col("_skills"), options.top_keywords, in_batches=True
         ),
     ).withColumn("_weight", keywords.total_weight(F.col("_keywords")))
     coded = encoder.encode(weighed, "_text", "_words", "_vector")
@@ -56,7 +56,7 @@ def profile_features(profiles: DataFrame, options: MatchOptions, encoder,
                      key: str | None = None) -> DataFrame:
     """The profile side of every signal, once per profile."""
     read = profiles.withColumn("text", normalise(F.col("text"))).withColumn(
-        "words", content_tokens(tokens(F.col("text")), options.stop_list())
+        "words", content_words(F.col("text"), options.stop_list())
     )
     coded = encoder.encode(read, "text", "words", "vector")
     return coded.withColumn("vector", nonzero(F.col("vector"))).select(

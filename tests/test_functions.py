@@ -1,3 +1,4 @@
+import random
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +34,14 @@ def test_tokens(one):
     assert found == ["c++", "c#", "node.js", "agile.", "ci/cd", "d"]
 
 
+def test_content_words_are_the_content_tokens_of_the_tokens(one):
+    rng = random.Random(1)
+    for _ in range(40):
+        x = "".join(rng.choices("abz09+#./- \n,é𝒳_", k=60)) + " the and with"
+        assert one(text.content_words(F.col("x"), ["the", "with"]), x=x) == one(
+            text.content_tokens(text.tokens(F.col("x")), ["the", "with"]), x=x)
+
+
 def test_content_tokens(one):
     words = text.content_tokens(text.tokens(F.col("x")), ["with", "it's"])
     assert one(words, x="go with it is java java") == ["java", "java"]
