@@ -108,7 +108,8 @@ def _in_batches(words: Column, skills: Column, top: int | None) -> Column:
             at = stop
         return pa.concat_arrays(parts) if parts else _counted(words, skills, top)
 
-    return ranked(words, skills)
+    # Named twice, both stay columns of their own: Spark 4.1 leaves a Python function of some inlined lambdas unevaluated.
+    return F.when((F.size(words) >= 0) & (F.size(skills) >= 0), ranked(words, skills))
 
 
 def weighted_keywords(words: Column, skills: Column, top: int | None = None, *, in_batches: bool = False) -> Column:
@@ -121,7 +122,8 @@ def weighted_keywords(words: Column, skills: Column, top: int | None = None, *,
 
     Most tokens of a text occur once and weigh 1. They come last, in their order, so only
     the others are counted and sorted with their positions. ``in_batches`` counts the tokens
-    of many rows at once in Python workers, which takes whole tables a fraction of the time.
+    of many rows at once in Python workers, faster over whole tables; ``words`` and ``skills``
+    then have to be columns of the table, not expressions over it.
     """
     if in_batches:
         return _in_batches(words, skills, top)

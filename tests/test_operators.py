@@ -10,6 +10,8 @@ from postmatch.functions.text import content_tokens, normalise, tokens
 from postmatch.operators import features, keywords, skills
 from postmatch.operators.pairing import every_pair, keyed_pairs
 from postmatch.operators.rank import by_score, top_matches, top_per_profile
+from postmatch.operators.score import posting_features
+from postmatch.operators.semantic import HashingEncoder
 from postmatch.operators.skew import salted_join, top_per_group
 from postmatch.options import MatchOptions
 
@@ -264,3 +266,14 @@ def test_keywords_in_batches_equal_those_of_a_row(spark):
     whole = keywords._counted(*lists, 25).to_pylist()
     parts = [keywords._counted(*(x.slice(k, 3) for x in lists), 25) for k in range(0, len(rows), 3)]
     assert pa.concat_arrays(parts).to_pylist() == whole
+
+
+@pytest.mark.parametrize("wanted", [["_keywords"], ["_weight"], ["_keywords", "_weight"], ["posting_id", "_keywords", "_vector"]])
+def test_keywords_come_whatever_else_is_read(spark, wanted):
+    """Spark inlines features that nothing else reads; the function over them is still evaluated."""
+    postings = spark.createDataFrame([(1, "x", "sql sql river 4 years"), (2, "", None)], "posting_id long, job_title string, job_description string")
+    found = posting_features(postings, OPTIONS, HashingEncoder(8)).select(*wanted)
+    assert found.count() == 2 and len(found.collect()) == 2
+    if "_keywords" in wanted:
+        listed = found.select(F.explode_outer("_keywords").alias("k")).where("k IS NOT NULL").select("k.token", "k.weight")
+        assert rows(listed) == [("river", 1), ("sql", 4), ("years", 1)]
