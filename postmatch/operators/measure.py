@@ -82,27 +82,31 @@ class Block:
 
     def __init__(self, profiles: pa.StructArray):
         self.texts = pc.struct_field(profiles, "text").to_pylist()
+        self.has_text = np.array([bool(t) for t in self.texts], dtype=bool)
+        self.words = [frozenset((t or "").split(" ")) for t in self.texts]
+        self.long = [any(len(w) > LONGEST_WORD for w in words) for words in self.words]
+        self.stretches: dict[int, list[frozenset[str]]] = {}
+        self._read(profiles)
+
+    def _read(self, profiles: pa.StructArray) -> None:
+        """All but the texts."""
         self.skills = [frozenset(s or ()) for s in pc.struct_field(profiles, "skills").to_pylist()]
         self.years = numbers(pc.struct_field(profiles, "years"))
         self.norm = numbers(pc.struct_field(profiles, "norm"))
-        self.has_text = np.array([bool(t) for t in self.texts], dtype=bool)
         vectors = pc.struct_field(profiles, "vector")
         self.has_vector = vectors.is_valid().to_numpy(zero_copy_only=False)
         sizes = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         entries = vectors.flatten()
         at = pc.struct_field(entries, "at").to_numpy(zero_copy_only=False).astype(np.int64)
-        self.held = np.zeros((int(at.max()) + 1 if len(at) else 0, len(self.texts)), dtype=bool)
+        self.held = np.zeros((int(at.max()) + 1 if len(at) else 0, len(self)), dtype=bool)
         self.vectors = np.zeros(self.held.shape)
-        whose = np.repeat(np.arange(len(self.texts)), sizes)
+        whose = np.repeat(np.arange(len(self)), sizes)
         self.held[at, whose] = True
         self.vectors[at, whose] = numbers(pc.struct_field(entries, "x"))
-        self.whole = _whole(self.vectors)
-        self.words = [frozenset((t or "").split(" ")) for t in self.texts]
-        self.long = [any(len(w) > LONGEST_WORD for w in words) for words in self.words]
-        self.stretches: dict[int, list[frozenset[str]]] = {}
+        self.whole = whole(self.vectors)
 
     def __len__(self) -> int:
-        return len(self.texts)
+        return len(self.has_text)
 
     def _of_length(self, n: int) -> list[frozenset[str]]:
         if n not in self.stretches:
@@ -130,7 +134,8 @@ class Block:
     def skilled(self, terms: list[str]) -> np.ndarray:
         return np.array([[t in s for s in self.skills] for t in terms], dtype=float).reshape(len(terms), len(self))
 
-    def dots(self, vectors: pa.Array) -> np.ndarray:
+    def dense(self, vectors: pa.Array) -> np.ndarray:
+        """Vectors as rows of as many entries as the profiles have, NaN where there is none."""
         sizes = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         dense = np.full((len(vectors), max(int(sizes.max()) if len(sizes) else 0, len(self.held))), np.nan)
         flat = numbers(vectors.flatten())
@@ -140,8 +145,11 @@ class Block:
             ends = np.cumsum(sizes)
             row = np.repeat(np.arange(len(sizes)), sizes)
             dense[row, np.arange(len(flat)) - np.repeat(ends - sizes, sizes)] = flat
-        dense = dense[:, :len(self.held)]
-        if self.whole and _whole(dense):
+        return dense[:, :len(self.held)]
+
+    def dots(self, vectors: pa.Array) -> np.ndarray:
+        dense = self.dense(vectors)
+        if self.whole and whole(dense):
             return dense @ self.vectors
         out = np.zeros((len(vectors), len(self)))
         for d in np.flatnonzero(self.held.any(axis=1)):
@@ -149,6 +157,21 @@ class Block:
             out[:, whose] += dense[:, d, None] * self.vectors[d, whose]
         return out
 
+    def plain(self, skills, title_words, years, education) -> dict[str, np.ndarray]:
+        """The signals of a posting's kind, kinds by profiles."""
+        own, title, terms = Lists(skills), Lists(title_words), Lists(education)
+        required = numbers(years)[:, None]
+        share = bounded(np.divide(
+            self.years, required, out=np.full((len(required), len(self)), np.nan), where=required != 0) * 100)
+        return {
+            "skill_match": percentage(own.sums(self.skilled(own.terms)), own.sizes[:, None].astype(float)),
+            "title_match": percentage(title.sums(self.contained(title.terms)), title.sizes[:, None].astype(float)),
+            "experience_match": np.where(np.isnan(required) | (self.years >= required), 100.0, share),
+            "education_bonus": np.where(
+                terms.sizes[:, None] == 0, 100.0,
+                percentage(terms.sums(self.contained(terms.terms)), terms.sizes[:, None].astype(float))),
+        }
+
     def measured(self, weights: Mapping[str, float], has_text, skills, keywords, weight, title_words, years, education,
                  vector, norm) -> dict[str, np.ndarray]:
         """Every signal, postings by profiles."""
@@ -156,19 +179,10 @@ class Block:
         semantic = bounded(np.divide(self.dots(vector), product, out=np.full(product.shape, np.nan), where=product != 0) * 100)
         semantic[~vector.is_valid().to_numpy(zero_copy_only=False)] = 0.0
         semantic[:, ~(self.has_vector & self.has_text)] = 0.0
-        own, weighed, title, terms = Lists(skills), Lists(keywords, True), Lists(title_words), Lists(education)
-        required = numbers(years)[:, None]
-        share = bounded(np.divide(self.years, required, out=np.full(product.shape, np.nan), where=required != 0) * 100)
-        experience = np.where(np.isnan(required) | (self.years >= required), 100.0, share)
-        parts = {
+        weighed = Lists(keywords, True)
+        parts = self.plain(skills, title_words, years, education) | {
             "semantic_match": semantic,
-            "skill_match": percentage(own.sums(self.skilled(own.terms)), own.sizes[:, None].astype(float)),
             "keyword_match": percentage(weighed.sums(self.contained(weighed.terms)), numbers(weight)[:, None]),
-            "title_match": percentage(title.sums(self.contained(title.terms)), title.sizes[:, None].astype(float)),
-            "experience_match": experience,
-            "education_bonus": np.where(
-                terms.sizes[:, None] == 0, 100.0,
-                percentage(terms.sums(self.contained(terms.terms)), terms.sizes[:, None].astype(float))),
         }
         empty = ~has_text.fill_null(False).to_numpy(zero_copy_only=False)
         total = 0.0
@@ -178,7 +192,7 @@ class Block:
         return parts | {"ats_score": bounded(total)}
 
 
-def _whole(values: np.ndarray) -> bool:
+def whole(values: np.ndarray) -> bool:
     """Whether all sums of products are whole numbers that a double holds."""
     return bool(np.isfinite(values).all() and (np.abs(values) <= 1 << 20).all() and (values == np.rint(values)).all())
 

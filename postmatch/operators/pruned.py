@@ -4,24 +4,33 @@ Postings are sorted so that alike ones stand together and cut into blocks of BLO
 A block's summary bounds what any of its postings can score with a profile: the part of
 skills, title, years and education is exact for each kind of posting in the block, the
 semantic part is bounded by the block's largest and smallest vector entries, and the
-keyword part by an inverted index from keywords to blocks.
+keyword part counts as full until the others are known posting by posting.
 
 For every profile the blocks of the highest bounds are scored first, as many as hold k
 postings. Their kth best score is the profile's threshold, and only blocks whose bound
 reaches it are scored after that. What is left out cannot be among the best k, so the
 result is that of scoring everything.
+
+Bounds and scores are made for a block of profiles at once (:mod:`postmatch.operators.seekers`); which
+of the postings' terms a profile's text holds is found once, by
+:func:`postmatch.operators.vocabulary.terms_in`. Blocks of profiles travel one by one, postings stay
+in their scan tasks, and a task returns at most k postings of a profile.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmatch.functions.arrays import bind, fold
-from postmatch.operators import features, skills
-from postmatch.operators.pairing import MAX_PROFILES, every_pair, table_size
+from postmatch.operators.pairing import MAX_BYTES, ROW_BITS, table_size
 from postmatch.operators.rank import top_per_profile
-from postmatch.operators.score import posting_features, profile_features, score_pairs
+from postmatch.operators.score import posting_features, profile_features
+from postmatch.operators.seekers import KIND, best_blocks, best_pairs
 from postmatch.operators.semantic import HashingEncoder
 from postmatch.operators.skew import top_per_group
 from postmatch.operators.vocabulary import terms_in
@@ -30,10 +39,11 @@ from postmatch.options import MatchOptions
 #: Postings of a block, a power of two.
 BLOCK_BITS = 5
 BLOCK_ROWS = 1 << BLOCK_BITS
-#: What rounding of the parts and of the score can add to a score, generously.
-SLACK = 0.05
+#: Profiles that meet postings at once, and blocks of them that are broadcast at the same time.
+SEEKERS = 2048
+AT_ONCE = 8
 
-_KIND = ("_has_text", "_skills", "_title_words", "_years", "_education")
+_USED = ("posting_id", "_block", "_kind", *KIND, "_keywords", "_weight", "_vector", "_norm")
 
 
 def in_blocks(found: DataFrame, stage) -> DataFrame:
@@ -49,7 +59,8 @@ def in_blocks(found: DataFrame, stage) -> DataFrame:
     order = ("_has_text", "_by_skills", "_by_title", "_years", "_by_terms", "_by_vector", "posting_id")
     ranged = found.withColumns(keys).repartitionByRange(*order).sortWithinPartitions(*order).drop(*keys)
     # The id counts on within a task and leaps between tasks: no block spans two.
-    return stage(ranged.withColumn("_block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)))
+    return stage(ranged.withColumns({
+        "_block": F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS), "_kind": F.to_json(F.struct(*KIND))}))
 
 
 def summaries(placed: DataFrame) -> DataFrame:
@@ -57,7 +68,7 @@ def summaries(placed: DataFrame) -> DataFrame:
     unit = F.when(F.col("_norm") > 0, bind(
         "b", "transform(b.v, x -> try_divide(CAST(x AS DOUBLE), b.n))", v=F.col("_vector"), n=F.col("_norm")))
     grouped = placed.groupBy("_block").agg(
-        F.count(F.lit(1)).alias("_rows"), F.collect_set(F.struct(*_KIND)).alias("_kinds"),
+        F.count(F.lit(1)).alias("_rows"), F.collect_set(F.struct("_kind", *KIND)).alias("_kinds"),
         F.collect_list(unit).alias("_vectors"))
 
     def extreme(pick: str) -> Column:
@@ -67,48 +78,22 @@ def summaries(placed: DataFrame) -> DataFrame:
     return grouped.select("_block", "_rows", "_kinds", extreme("greatest").alias("_high"), extreme("least").alias("_low"))
 
 
-def keyword_bounds(placed: DataFrame, profiles: DataFrame) -> DataFrame:
-    """``profile_id, _block, _share``: what part of a posting's keyword weight, at most, a
-    profile's text holds in a block; pairs that share no keyword have no row."""
-    index = placed.select("_block", "_weight", F.explode("_keywords").alias("k")).groupBy("_block", "k.token").agg(
-        F.max(F.col("k.weight") / F.col("_weight")).alias("_share"))
-    sought = index.select(F.col("token").alias("term")).distinct()
-    known = terms_in(profiles.select(F.col("profile_id").alias("id"), "text"), sought)
-    return known.join(index, F.col("term") == F.col("token")).groupBy(F.col("id").alias("profile_id"), "_block").agg(
-        F.sum("_share").alias("_share"))
-
-
-def bounds(placed: DataFrame, right: DataFrame, options: MatchOptions, size: tuple[int, int],
-           max_profiles: int) -> DataFrame:
-    """``profile_id, _block, _rows, _bound`` for every profile and block."""
-    weights = options.weights
-    profile = F.col("profile")
-
-    def exact(kind: Column) -> Column:
-        matched = skills.matched_skills(kind["_skills"], profile["skills"])
-        total = (
-            weights["skill_match"] * skills.skill_match(matched, kind["_skills"])
-            + weights["title_match"] * features.title_match(profile["text"], kind["_title_words"])
-            + weights["experience_match"] * features.experience_match(kind["_years"], profile["years"])
-            + weights["education_bonus"] * features.education_bonus(profile["text"], kind["_education"]))
-        return F.when(kind["_has_text"], total).otherwise(0.0)
-
-    nearest = bind(
-        "b", "try_divide(aggregate(b.e, 0D, (total, e) -> total + "
-        "coalesce(e.x * get(IF(e.x > 0, b.high, b.low), e.at), 0D)), b.norm)",
-        e=profile["vector"], high=F.col("_high"), low=F.col("_low"), norm=profile["norm"])
-    semantic = F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.coalesce(F.nanvl(nearest, F.lit(1.0)), F.lit(0.0)) * 100))
-    pairs = every_pair(summaries(placed), right, size=size, max_profiles=max_profiles).select(
-        profile["profile_id"].alias("profile_id"), "_block", "_rows",
-        (F.array_max(F.transform("_kinds", exact)) + weights["semantic_match"] * semantic).alias("_known"))
-    share = F.least(F.lit(1.0), F.coalesce("_share", F.lit(0.0))) * 100
-    return pairs.join(keyword_bounds(placed, right), ["profile_id", "_block"], "left").select(
-        "profile_id", "_block", "_rows",
-        (F.col("_known") + weights["keyword_match"] * share + SLACK).alias("_bound"))
+def with_known_terms(right: DataFrame, placed: DataFrame, stage) -> DataFrame:
+    """Profile features with ``known``, the postings' keywords, title words and education terms
+    that are in a profile's text, and a number ``_row`` in place of the text."""
+    right = stage(right.withColumn("_row", F.monotonically_increasing_id()))
+    terms = F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in (
+        F.col("_keywords.token"), F.col("_title_words"), F.col("_education"))])
+    sought = stage(placed.select(F.explode(terms).alias("term")).distinct())
+    found = terms_in(right.select(F.col("_row").alias("id"), "text"), sought, stage=stage)
+    known = found.groupBy(F.col("id").alias("_row")).agg(F.collect_list("term").alias("known"))
+    return right.join(known, "_row", "left").select(
+        "_row", "profile_id", (F.col("text") != "").alias("has_text"), "skills", "years", "vector", "norm",
+        F.coalesce("known", F.array().cast("array<string>")).alias("known"))
 
 
 def scored_candidates(postings: DataFrame, profiles: DataFrame, options: MatchOptions | None = None,
-                      k: int = 10, *, stage, encoder=None, max_profiles: int = MAX_PROFILES) -> DataFrame:
+                      k: int = 10, *, stage, encoder=None, max_profiles: int = SEEKERS) -> DataFrame:
     """``profile_id, posting_id, ats_score`` of every pair that may be among a profile's
     best ``k``. ``stage`` writes a table and reads it again."""
     options = options or MatchOptions()
@@ -118,25 +103,47 @@ def scored_candidates(postings: DataFrame, profiles: DataFrame, options: MatchOp
     unused = [c for c in postings.columns if c != "posting_id"]
     found = stage(posting_features(postings, options, encoder).drop("_text", "_words", *unused))
     placed = in_blocks(found, stage)
-    size = table_size(profiles.select("profile_id", "text"))
-    right = stage(profile_features(profiles, options, encoder))
-    limits = stage(bounds(placed, right, options, size, max_profiles))
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.groupBy("_block").agg(F.collect_set("profile_id").alias("_wanted"))
-        paired = every_pair(placed.join(wanted, "_block"), right, size=size, max_profiles=max_profiles, only="_wanted")
-        return score_pairs(paired, options).select("profile_id", "posting_id", "ats_score")
-
-    best = top_per_group(limits, ["profile_id"], [F.desc("_bound"), F.asc("_block")], k, rank="_turn")
-    before = Window.partitionBy("profile_id").orderBy("_turn").rowsBetween(Window.unboundedPreceding, -1)
+    rows, width = table_size(profiles.select("profile_id", "text"))
+    blocks = max(ceil(rows / max_profiles), ceil(width / MAX_BYTES), 1)
+    part = F.pmod(F.xxhash64("_row"), F.lit(blocks)).cast("int")
+    right = stage(with_known_terms(profile_features(profiles, options, encoder), placed, stage).withColumn(
+        "_part", part), by="_part")
+    ids = {name: dict(df.dtypes)[name] for name, df in (("profile_id", profiles), ("posting_id", placed))}
+    pair = f"_row long, profile_id {ids['profile_id']}, posting_id {ids['posting_id']}, ats_score double"
+
+    def met(left: DataFrame, limits: DataFrame, task: Callable, schema: str, wanted: DataFrame | None = None) -> DataFrame:
+        """What a task finds for each block of profiles, which go with their limits; a few blocks
+        are broadcast and written, then the next, so that memory holds no more of them."""
+        def one(number: int) -> DataFrame:
+            own = right.where(F.col("_part") == number).join(limits, "_row", "left")
+            sent = own.agg(F.collect_list(F.struct(*own.columns)).alias("_profiles"))
+            rows = left if wanted is None else left.join(
+                F.broadcast(wanted.where(part == number).select("_block").distinct()), "_block", "left_semi")
+            begins = F.monotonically_increasing_id().bitwiseAND((1 << ROW_BITS) - 1) == 0
+            # Broadcast: a literal would go with every task. Only a task's first row keeps the profiles.
+            return rows.crossJoin(F.broadcast(sent)).withColumn(
+                "_profiles", F.when(begins, F.col("_profiles"))).mapInArrow(task, schema)
+
+        parts = [one(number) for number in range(blocks)]
+        return reduce(DataFrame.unionAll, [
+            stage(reduce(DataFrame.unionAll, parts[at:at + AT_ONCE])) for at in range(0, blocks, AT_ONCE)])
+
+    unlimited = right.select("_row", F.lit(None).cast("double").alias("_least"),
+                             F.array().cast("array<bigint>").alias("_first"))
+    limits = met(stage(summaries(placed)), unlimited, best_blocks(options.weights, k),
+                 "_row long, _block long, _rows long, _bound double")
+    best = top_per_group(limits, ["_row"], [F.desc("_bound"), F.asc("_block")], k, rank="_turn")
+    before = Window.partitionBy("_row").orderBy("_turn").rowsBetween(Window.unboundedPreceding, -1)
     first = stage(best.withColumn("_held", F.coalesce(F.sum("_rows").over(before), F.lit(0))).where(
-        F.col("_held") < k).select("profile_id", "_block"))
-    began = stage(scored(first))
-    reached = top_per_group(began, ["profile_id"], [F.desc("ats_score"), F.asc("posting_id")], k).groupBy("profile_id").agg(
+        F.col("_held") < k).select("_row", "_block"))
+    begun = first.groupBy("_row").agg(F.collect_list("_block").alias("_first"))
+    left = placed.select(*_USED)
+    began = met(left, begun.withColumn("_least", F.lit(None).cast("double")),
+                best_pairs(options.weights, k, True), pair, first)
+    reached = top_per_group(began, ["_row"], [F.desc("ats_score"), F.asc("posting_id")], k).groupBy("_row").agg(
         F.when(F.count(F.lit(1)) == k, F.min("ats_score")).alias("_least"))
-    left = limits.join(reached, "profile_id").where("_least IS NULL OR _bound >= _least").join(
-        first, ["profile_id", "_block"], "left_anti")
-    return began.unionAll(stage(scored(left)))
+    others = met(left, stage(begun.join(reached, "_row", "left")), best_pairs(options.weights, k, False), pair)
+    return began.unionAll(others).select("profile_id", "posting_id", "ats_score")
 
 
 def pruned_top(postings: DataFrame, profiles: DataFrame, options: MatchOptions | None = None,

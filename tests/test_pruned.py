@@ -77,3 +77,42 @@ def test_a_weight_below_zero_is_refused(spark, tables, tmp_path):
     weights = dict(MatchOptions().weights, title_match=-0.1)
     with pytest.raises(ValueError):
         pruned_top(*tables, MatchOptions(weights=weights), stage=Stage(spark, str(tmp_path)))
+
+
+def test_alike_postings_are_not_all_returned(spark, tables, tmp_path):
+    """Where bounds tell no postings apart, a task still returns at most k of them for a profile."""
+    rng = random.Random(5)
+    rows = [(k, k, "Gardener", "", " ".join(rng.choices(WORDS, k=12))) for k in range(400)]
+    postings = spark.createDataFrame(rows, POSTING_SCHEMA).repartition(4)
+    people = spark.createDataFrame([(p, " ".join(rng.choices(WORDS, k=8))) for p in range(6)], "profile_id long, text string")
+    pairs = scored_candidates(postings, people, k=2, stage=Stage(spark, str(tmp_path)), max_profiles=4)
+    # Four tasks, two passes.
+    assert pairs.groupBy("profile_id").count().where("count > 2 * 4 * 2").count() == 0
+    assert as_rows(top_per_profile(pairs, 2)) == as_rows(top_per_profile(score_postings(postings, people), 2))
+
+
+def test_ids_that_repeat_or_are_none(spark, tables, tmp_path):
+    postings, profiles = tables
+    postings = postings.where("posting_id % 5 = 0")
+    postings = postings.unionAll(postings.where("posting_id % 20 = 0")).unionAll(
+        postings.where("posting_id = 25").withColumn("posting_id", F.lit(None).cast("long")))
+    none = profiles.where("profile_id < 2").withColumn("profile_id", F.lit(None).cast("long"))
+    whose = profiles.unionAll(profiles.where("profile_id = 3")).unionAll(none)
+    got = pruned_top(postings, whose, stage=Stage(spark, str(tmp_path)), max_profiles=8)
+    want = top_per_profile(score_postings(postings, whose))
+    columns = ["profile_id", "posting_id", "ats_score", "rank"]
+    assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+
+
+def test_vectors_that_are_not_finite_or_not_there(spark, tables, tmp_path):
+    rng = random.Random(6)
+    odd = [None, [], [1.5], [0.1, None, 0.3], [float("nan"), 1.0, 2.0], [float("inf"), 1.0, 0.0], [0.0, 0.0, 0.0, 0.0]]
+    vectors = spark.createDataFrame(
+        [(k, odd[k] if k < len(odd) else [rng.uniform(-1, 1) for _ in range(rng.choice((3, 5)))]) for k in range(80)],
+        "id long, v array<float>")
+    postings, profiles = tables
+    coded = postings.join(vectors.withColumnRenamed("id", "posting_id"), "posting_id")
+    whose = profiles.join(vectors.withColumnRenamed("id", "profile_id"), "profile_id", "left")
+    options = MatchOptions(weights={n: 1 / 3 for n in MatchOptions().weights}, top_keywords=4)
+    got = pruned_top(coded, whose, options, k=3, stage=Stage(spark, str(tmp_path)), encoder=StoredVectors("v"), max_profiles=5)
+    assert as_rows(got) == as_rows(top_per_profile(score_postings(coded, whose, options, StoredVectors("v")), 3))
