@@ -13,7 +13,7 @@ result is that of scoring everything.
 
 Bounds and scores are made for a block of profiles at once (:mod:`postmatch.operators.seekers`); which
 of the postings' terms a profile's text holds is found once, by
-:func:`postmatch.operators.vocabulary.terms_in`. Blocks of profiles travel one by one, postings stay
+:func:`postmatch.operators.vocabulary.terms_in` over the distinct words of all texts. Blocks of profiles travel one by one, postings stay
 in their scan tasks, and a task returns at most k postings of a profile.
 """
 
@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmatch.functions.arrays import bind, fold
+from postmatch.functions.text import contained_terms
 from postmatch.operators.pairing import MAX_BYTES, ROW_BITS, table_size
 from postmatch.operators.rank import top_per_profile
 from postmatch.operators.score import posting_features, profile_features
@@ -42,6 +43,8 @@ BLOCK_ROWS = 1 << BLOCK_BITS
 #: Profiles that meet postings at once, and blocks of them that are broadcast at the same time.
 SEEKERS = 2048
 AT_ONCE = 8
+#: Sought terms of several words that are looked up one by one, at most.
+FEW_SPACED = 64
 
 _USED = ("posting_id", "_block", "_kind", *KIND, "_keywords", "_weight", "_vector", "_norm")
 
@@ -78,6 +81,27 @@ def summaries(placed: DataFrame) -> DataFrame:
     return grouped.select("_block", "_rows", "_kinds", extreme("greatest").alias("_high"), extreme("least").alias("_low"))
 
 
+def known_terms(right: DataFrame, sought: DataFrame, stage) -> DataFrame:
+    """``_row, known``: the sought terms in each profile's text.
+
+    A term without a space is in a text if it is in one of its words, so the terms are looked for
+    in each distinct word of all texts once.
+    """
+    spaced = F.contains("term", F.lit(" "))
+    words = right.select("_row", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    each = stage(words.select("word").distinct())
+    inside = terms_in(each.select(F.col("word").alias("id"), F.col("word").alias("text")), sought.where(~spaced), stage=stage)
+    parts = [words.join(stage(inside.groupBy(F.col("id").alias("word")).agg(F.collect_list("term").alias("terms"))), "word")]
+    few = [r[0] for r in sought.where(spaced).limit(FEW_SPACED + 1).collect()]
+    if len(few) > FEW_SPACED:
+        found = terms_in(right.select(F.col("_row").alias("id"), "text"), sought.where(spaced), stage=stage)
+        parts.append(found.select(F.col("id").alias("_row"), F.array("term").alias("terms")))
+    elif few:
+        parts.append(right.select("_row", contained_terms(F.col("text"), sorted(few)).alias("terms")))
+    return reduce(DataFrame.unionAll, [p.select("_row", "terms") for p in parts]).groupBy("_row").agg(
+        F.array_distinct(F.flatten(F.collect_list("terms"))).alias("known"))
+
+
 def with_known_terms(right: DataFrame, placed: DataFrame, stage) -> DataFrame:
     """Profile features with ``known``, the postings' keywords, title words and education terms
     that are in a profile's text, and a number ``_row`` in place of the text."""
@@ -85,8 +109,7 @@ def with_known_terms(right: DataFrame, placed: DataFrame, stage) -> DataFrame:
     terms = F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in (
         F.col("_keywords.token"), F.col("_title_words"), F.col("_education"))])
     sought = stage(placed.select(F.explode(terms).alias("term")).distinct())
-    found = terms_in(right.select(F.col("_row").alias("id"), "text"), sought, stage=stage)
-    known = found.groupBy(F.col("id").alias("_row")).agg(F.collect_list("term").alias("known"))
+    known = known_terms(right, sought, stage)
     return right.join(known, "_row", "left").select(
         "_row", "profile_id", (F.col("text") != "").alias("has_text"), "skills", "years", "vector", "norm",
         F.coalesce("known", F.array().cast("array<string>")).alias("known"))

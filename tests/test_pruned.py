@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postmatch import MatchOptions, score_postings
+from postmatch.operators import pruned
 from postmatch.operators.pruned import pruned_top, scored_candidates
 from postmatch.operators.rank import top_per_profile
 from postmatch.operators.semantic import StoredVectors
@@ -116,3 +117,15 @@ def test_vectors_that_are_not_finite_or_not_there(spark, tables, tmp_path):
     options = MatchOptions(weights={n: 1 / 3 for n in MatchOptions().weights}, top_keywords=4)
     got = pruned_top(coded, whose, options, k=3, stage=Stage(spark, str(tmp_path)), encoder=StoredVectors("v"), max_profiles=5)
     assert as_rows(got) == as_rows(top_per_profile(score_postings(coded, whose, options, StoredVectors("v")), 3))
+
+
+@pytest.mark.parametrize("few", [0, 64])
+def test_terms_are_known_as_they_are_in_a_text(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(pruned, "FEW_SPACED", few)
+    texts = ["rest api in c++ and ci/cd", "", "z" * 600 + " sql", "éa straße rest", "restapi"]
+    terms = ["rest api", "api in c", "c++", "t a", "z" * 30, "zsql", "sql", "rest", "ß", "cd"]
+    right = spark.createDataFrame(list(enumerate(texts)), "_row long, text string")
+    found = pruned.known_terms(right, spark.createDataFrame([(t,) for t in terms], "term string"), Stage(spark, str(tmp_path)))
+    got = {row: sorted(known) for row, known in found.collect() if known}
+    want = {row: sorted(t for t in terms if t in text) for row, text in enumerate(texts)}
+    assert got == {row: known for row, known in want.items() if known}
