@@ -28,10 +28,11 @@ from pyspark.sql import functions as F
 
 from postmatch.functions.arrays import bind, fold
 from postmatch.functions.text import contained_terms
+from postmatch.operators.measure import KIND
 from postmatch.operators.pairing import MAX_BYTES, ROW_BITS, table_size
 from postmatch.operators.rank import top_per_profile
 from postmatch.operators.score import posting_features, profile_features
-from postmatch.operators.seekers import KIND, best_blocks, best_pairs
+from postmatch.operators.seekers import best_blocks, best_pairs
 from postmatch.operators.semantic import HashingEncoder
 from postmatch.operators.skew import top_per_group
 from postmatch.operators.vocabulary import terms_in

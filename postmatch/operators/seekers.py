@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from postmatch import fixed
-from postmatch.operators.measure import Block, bounded, numbers, percentage, whole
+from postmatch.operators.measure import KIND, Block, Kinds, bounded, numbers, percentage, whole
 
 #: What rounding of the parts and of the score can add to a score, generously.
 SLACK = 0.05
@@ -85,17 +85,17 @@ class Seekers(Block):
         self.by_profile = np.ascontiguousarray(self.vectors.T)
         self.inverse = np.divide(1.0, self.norm, out=np.zeros(len(self)), where=self.comparable)
 
-    def contained(self, terms: list[str]) -> np.ndarray:
-        out = self.known.rows(self.known.codes(pa.array(terms, pa.string())))
-        out[[k for k, term in enumerate(terms) if term == ""]] = 1
+    def holders(self, terms: list[str]) -> np.ndarray:
+        out = self.known.bits[self.known.codes(pa.array(terms, pa.string()))]
+        out[[k for k, term in enumerate(terms) if term == ""]] = 255
         return out
 
     def skilled(self, terms: list[str]) -> np.ndarray:
-        return self.own.rows(self.own.codes(pa.array(terms, pa.string())))
+        return self.own.bits[self.own.codes(pa.array(terms, pa.string()))]
 
     def kinds(self, weights: Mapping[str, float], has_text, *columns) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """The signals of kinds of postings and what they add up to, kinds by profiles."""
-        parts = self.plain(*columns)
+        parts = self.plain(Kinds(self, *columns), np.arange(len(has_text)))
         empty = ~has_text.fill_null(False).to_numpy(zero_copy_only=False)
         for name in _PLAIN:
             parts[name][empty] = 0.0
@@ -202,10 +202,6 @@ def _filled(block: Seekers, vectors: pa.Array) -> np.ndarray:
     return dense[:, :width]
 
 
-#: What makes a kind of posting.
-KIND = ("_has_text", "_skills", "_title_words", "_years", "_education")
-
-
 class Rows:
     """Some postings that meet a block of profiles."""
 

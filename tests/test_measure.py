@@ -1,11 +1,12 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from postmatch import MatchOptions, score_postings
-from postmatch.operators import measure
+from postmatch.operators import measure, pairing
 from postmatch.operators.semantic import HashingEncoder, StoredVectors
 from postmatch.sinks.tables import Stage
 from postmatch.sources.postings import POSTING_SCHEMA
@@ -75,3 +76,36 @@ def test_terms_are_found_as_in_a_text():
         ["text", "skills", "years", "norm", "vector"]))
     terms = ["rest api", "t a", "c++", "c", "z" * 30, "zsql", " sql", "sql", "a s", "ß", "", "q" * 700]
     assert block.contained(terms).tolist() == [[float(t in text) for text in texts] for t in terms]
+
+
+def test_blocks_pass_over_the_postings_together(spark, tables, tmp_path, monkeypatch):
+    postings, profiles = tables
+    want = as_rows(score_postings(postings, profiles))
+
+    def scored(folder):
+        parts = score_postings(postings, profiles, stage=Stage(spark, str(tmp_path / folder)), max_profiles=3)
+        plan = parts.select("posting_id", "profile_id", "ats_score")._jdf.queryExecution().optimizedPlan().toString()
+        # A pair's score alone leaves the arrays.
+        assert "_measured_ats_score" in plan and "_measured_skill_match" not in plan
+        return as_rows(parts), plan.count("signals(")
+
+    assert scored("one") == (want, 1)
+    monkeypatch.setattr(pairing, "MAX_PROFILES", 6)
+    assert scored("six") == (want, 6)
+
+
+@pytest.mark.parametrize("most", [1, 7, 40, 1 << 22])
+def test_few_sums_at_once_give_the_same(monkeypatch, most):
+    monkeypatch.setattr(measure, "MOST_SUMS", most)
+    rng = random.Random(most)
+    texts = ["".join(rng.choices("ab ", k=rng.randint(0, 40))) for _ in range(19)] + [None, "b" * 600 + "a"]
+    entry = pa.array([[]] * 21, pa.list_(pa.struct([("at", pa.int32()), ("x", pa.float64())])))
+    block = measure.Block(pa.StructArray.from_arrays(
+        [pa.array(texts), pa.array([[]] * 21, pa.list_(pa.string())), pa.array([None] * 21, pa.float64()), pa.array([0.0] * 21), entry],
+        ["text", "skills", "years", "norm", "vector"]))
+    lists = [["a", "ab", "bb"], None, [], ["aab"], ["b", "a b", "aaaa", "bab", "ba"] * 3]
+    coded = measure.Lists(pa.array([None if x is None else [{"token": t, "weight": k} for k, t in enumerate(x)] for x in lists],
+                                   pa.list_(pa.struct([("token", pa.string()), ("weight", pa.int64())]))), True)
+    rows = [4, 0, 1, 3, 4, 2]
+    got = coded.sums(block.holders(coded.terms), 21, np.array(rows))
+    assert got.tolist() == [[float(sum(k for k, t in enumerate(lists[r] or []) if t in (text or ""))) for text in texts] for r in rows]
