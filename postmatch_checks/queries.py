@@ -341,7 +341,7 @@ def skill_tokens(spark, sf_dir):
 
 
 def _vocabulary(spark, sf_dir, find):
-    texts = spread(tables.derive(spark, sf_dir, tables.TEXTS_WITH_PARTS), "id")
+    texts = spread(tables.texts_with_parts(spark, sf_dir), "id")
     found = find(texts, tables.derive(spark, sf_dir, tables.VOCABULARY), stage=sink.Stage(spark, _folder(spark)))
     return found.groupBy("id").agg(F.array_sort(F.collect_list("term")).alias("terms")).select(
         "id", _joined("terms"))

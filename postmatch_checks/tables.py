@@ -9,6 +9,7 @@ Spark (through placeholders) and in the comparison engine (over views).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from postmatch.sources.postings import spread
 from postmatch.sources.profiles import assemble, readable
@@ -158,10 +159,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Run one of the texts above over the supplied tables."""
+def derive(spark: SparkSession, sf_dir: str, sql: str, **given: DataFrame) -> DataFrame:
+    """Run one of the texts above over the supplied tables, or over those ``given`` in their place."""
     names = ("documents", "supplier", "pages", "events", "part")
-    used = {n: table(spark, sf_dir, n) for n in names if "{" + n + "}" in sql}
+    used = {n: given[n] if n in given else table(spark, sf_dir, n) for n in names if "{" + n + "}" in sql}
     text = sql
     if used.keys() == {"events"}:  # JSON braces would clash with placeholders
         text = sql.replace("{events}", "\0").replace("{", "{{").replace("}", "}}")
@@ -169,6 +170,13 @@ def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(text, **used)
 
 
+def texts_with_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their part. Only parts numbered as a remainder of 150 can be joined, so those
+    are broadcast: a join by so few keys would exchange and sort every text."""
+    near = F.broadcast(table(spark, sf_dir, "part").where("p_partkey BETWEEN -149 AND 149"))
+    return derive(spark, sf_dir, TEXTS_WITH_PARTS, part=near)
+
+
 def over_views(sql: str) -> str:
     """The same text over plain view names."""
     for name in ("documents", "supplier", "pages", "events", "part"):

@@ -1,15 +1,20 @@
 import random
 import re
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from postmatch import MatchOptions, fixed, score_postings
+from postmatch.operators import vocabulary
 from postmatch.operators.semantic import ModelEncoder
 from postmatch.operators.skills import skills_in
 from postmatch.operators.vocabulary import FEW_SHORT, keyed, terms_in, tokens_in
 from postmatch.sinks.tables import Stage
 from postmatch.sources.postings import POSTING_SCHEMA
+from postmatch_checks import tables
 
 TEXTS = ["excellent digital taste; rest, api and c++ 11", "excel git rest api", "", None, "aaaaaa aaaaab", "äöü ünïcode \U0001f600x",
          "line\nbreak over here", "ab" * 4000 + "needle" + "ba" * 4000]
@@ -121,3 +126,49 @@ def test_a_vocabulary_of_many_blocks_passes_over_the_texts_once_for_what_they_ho
     found = terms_in(texts, terms, max_bytes=400, stage=Stage(spark, str(tmp_path)))
     assert pairs(found) == [(0, "term number 17"), (1, "term number 305")]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") <= 2
+
+
+def test_long_terms_have_keys_that_few_share(spark):
+    """Numbers of five digits occur in any text; with what stands before them they hardly do."""
+    _, terms = frames(spark, [], [f"old plate-{n}" for n in range(10_000, 10_400)] + ["old plate"])
+    got = pairs(keyed(terms))
+    shared = Counter(gram for _, gram in got)
+    assert all(gram in term and len(gram) == (10 if len(term) >= 10 else 5) for term, gram in got)
+    assert len(got) == 401 and max(shared.values()) <= 10
+
+
+def test_only_stretches_that_may_be_keys_become_rows(spark):
+    rng = random.Random(8)
+    some = ["".join(rng.choices("abcdé\U0001f600 ", k=rng.randint(0, 300))) for _ in range(50)] + [None, ""]
+    grams = pa.array([x[3:8] for x in some[:20] if x and len(x) > 8] + [x[1:11] for x in some[20:30] if x and len(x) > 11])
+    keys = spark.createDataFrame([(g,) for g in grams.to_pylist()], "gram string")
+    marks = vocabulary._key_marks(keys, len(grams))
+    found = vocabulary._maybe_keys([5, 10], marks).func(pa.array(some)).to_pylist()
+    for text, got in zip(some, found, strict=True):
+        want = {g for g in grams.to_pylist() if text and g in text}
+        assert len(got) == len(set(got)) and want <= set(got) and all(g in text for g in got)
+    assert sum(map(len, found)) < 3 * len(grams)
+
+
+def test_texts_in_slices_are_cut_as_one(spark, monkeypatch):
+    some = pa.array(["abcdefgh", "", None, "xabcdex", "éabcdeé" * 3, "abcd", "e"])
+    every = np.full(1 << 13, 255, np.uint8)
+    want = [sorted({(t or "")[k:k + 5] for k in range(len(t or "") - 4)}) for t in some.to_pylist()]
+    for most in (1, 9, 1 << 20):
+        monkeypatch.setattr(vocabulary, "MOST_TEXT", most)
+        assert [sorted(x) for x in vocabulary._maybe_keys([5], every).func(some).to_pylist()] == want
+
+
+def test_texts_with_parts_are_not_exchanged(spark, tmp_path):
+    spark.range(400).selectExpr("id - 200 AS doc_id", "concat('Text ', id) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(k, f"Part {k}", "B", "T", 1) for k in [*range(-160, 300), 7, None]]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(
+        f"{tmp_path}/part.parquet")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = tables.texts_with_parts(spark, str(tmp_path))
+        assert "BroadcastHashJoin" in texts._jdf.queryExecution().executedPlan().toString()
+        assert pairs(texts) == pairs(tables.derive(spark, str(tmp_path), tables.TEXTS_WITH_PARTS))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
