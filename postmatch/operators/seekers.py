@@ -202,10 +202,32 @@ def _filled(block: Seekers, vectors: pa.Array) -> np.ndarray:
     return dense[:, :width]
 
 
+class Keywords:
+    """The keywords of a batch of postings that any profile's text of a block has, coded once a
+    batch: a look at the profiles' terms costs as much as all of them."""
+
+    def __init__(self, block: Seekers, lists: pa.ListArray):
+        flat = lists.flatten()
+        coded = pc.struct_field(flat, "token").dictionary_encode()
+        codes = block.known.codes(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        held = codes >= 0
+        #: Row, term and weight of each, by row.
+        self.all = (np.repeat(np.arange(len(sizes)), sizes)[held], codes[held],
+                    numbers(pc.struct_field(flat, "weight"))[held])
+
+    def of(self, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Those of some rows, which count from 0."""
+        row, codes, weights = self.all
+        own = slice(*np.searchsorted(row, [begin, end]))
+        return row[own] - begin, codes[own], weights[own]
+
+
 class Rows:
     """Some postings that meet a block of profiles."""
 
-    def __init__(self, block: Seekers, weights: Mapping[str, float], rows: pa.RecordBatch):
+    def __init__(self, block: Seekers, weights: Mapping[str, float], rows: pa.RecordBatch,
+                 keywords: tuple[np.ndarray, np.ndarray, np.ndarray]):
         self.block, self.weights = block, weights
         self.ids = rows.column("posting_id")
         self.has_text = rows.column("_has_text").fill_null(False).to_numpy(zero_copy_only=False)
@@ -221,13 +243,7 @@ class Rows:
         usable = self.comparable & (self.norm != 0)
         self.unit = np.divide(self.vectors, self.norm[:, None], out=np.zeros_like(self.vectors), where=usable[:, None])
         self.inverse = np.divide(1.0, self.norm, out=np.zeros(len(usable)), where=usable)
-        flat = rows.column("_keywords").flatten()
-        coded = pc.struct_field(flat, "token").dictionary_encode()
-        codes = block.known.codes(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
-        sizes = rows.column("_keywords").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        held = codes >= 0
-        #: The keywords that any profile's text has: row, term and weight of each, by row.
-        self.keyword = np.repeat(np.arange(len(sizes)), sizes)[held], codes[held], numbers(pc.struct_field(flat, "weight"))[held]
+        self.keyword = keywords
         self.weight = numbers(rows.column("_weight"))
         blocks = rows.column("_block").to_numpy()
         self.begins = np.flatnonzero(np.diff(blocks, prepend=blocks[0] - 1))
@@ -326,8 +342,9 @@ def best_pairs(weights: Mapping[str, float], k: int, first: bool) -> Callable:
             if new:
                 yield from listed(best)
                 best = Best(block, k)
-            for part in _steps(batch, max(1, MOST_CELLS // max(1, len(block)))):
-                rows = Rows(block, weights, part)
+            keywords, size = Keywords(block, batch.column("_keywords")), max(1, MOST_CELLS // max(1, len(block)))
+            for at, part in zip(range(0, len(batch), size), _steps(batch, size), strict=True):
+                rows = Rows(block, weights, part, keywords.of(at, at + len(part)))
                 for number, begin, end in rows.runs():
                     whose = block.first.get(int(rows.blocks[number]), np.empty(0, int))
                     if not first:

@@ -1,10 +1,11 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from postmatch import MatchOptions, score_postings
-from postmatch.operators import pruned
+from postmatch import MatchOptions, fixed, score_postings
+from postmatch.operators import pruned, seekers
 from postmatch.operators.pruned import pruned_top, scored_candidates
 from postmatch.operators.rank import top_per_profile
 from postmatch.operators.semantic import StoredVectors
@@ -129,3 +130,35 @@ def test_terms_are_known_as_they_are_in_a_text(spark, tmp_path, monkeypatch, few
     got = {row: sorted(known) for row, known in found.collect() if known}
     want = {row: sorted(t for t in terms if t in text) for row, text in enumerate(texts)}
     assert got == {row: known for row, known in want.items() if known}
+
+
+def test_profiles_terms_are_looked_at_once_a_batch(monkeypatch):
+    """However few rows are met at once."""
+    entry = pa.list_(pa.struct([("at", pa.int32()), ("x", pa.float64())]))
+    words = pa.list_(pa.string())
+    profiles = pa.StructArray.from_arrays(
+        [pa.array([0, 1]), pa.array([7, 8]), pa.array([True, True]), pa.array([["sql"], []], words), pa.array([1.0, None]),
+         pa.array([[(0, 1.0)], [(1, 2.0)]], entry), pa.array([1.0, 2.0]), pa.array([["sql", "river"], ["river"]], words),
+         pa.array([[], []], pa.list_(pa.int64())), pa.array([None, None], pa.float64())],
+        ["_row", "profile_id", "has_text", "skills", "years", "vector", "norm", "known", "_first", "_least"])
+    n = 40
+    keywords = pa.array([[{"token": t, "weight": 1 + k % 3} for t in ("river", "sql", "none")[:k % 4]] for k in range(n)],
+                        pa.list_(pa.struct([("token", pa.string()), ("weight", pa.int64())])))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(n)), pa.array([k >> 5 for k in range(n)]), pa.array(["a"] * n), pa.array([True] * n), pa.array([["sql"]] * n, words),
+         pa.array([["river"]] * n, words), pa.array([None] * n, pa.float64()), pa.array([[]] * n, words), keywords, pa.array([9] * n),
+         pa.array([[1.0, float(k)] for k in range(n)], pa.list_(pa.float32())), pa.array([(1 + k * k) ** 0.5 for k in range(n)]),
+         pa.ListArray.from_arrays(pa.array([0] + [2] * n, pa.int32()), profiles, mask=pa.array([False] + [True] * (n - 1)))],
+        ["posting_id", "_block", "_kind", *seekers.KIND, "_keywords", "_weight", "_vector", "_norm", "_profiles"])
+    looks = []
+    codes = seekers.Index.codes
+    monkeypatch.setattr(seekers.Index, "codes", lambda self, terms: looks.append(len(terms)) or codes(self, terms))
+
+    def found():
+        return [part.to_pydict() for part in seekers.best_pairs(fixed.WEIGHTS, 3, False)(iter([batch]))]
+
+    want = found()
+    monkeypatch.setattr(seekers, "MOST_CELLS", 8)
+    looks.clear()
+    assert found() == want and len(want[0]["ats_score"]) == 6
+    assert looks.count(3) == 1  # the three keywords; kinds of postings look for one term each
